@@ -29,3 +29,20 @@ def status_of(n_rows: Column, n_values: Column) -> Column:
     return (F.when(F.coalesce(n_rows, F.lit(0)) == 0, F.lit("empty"))
             .when(F.coalesce(n_values, F.lit(0)) == 0, F.lit("missing"))
             .otherwise(F.lit("ok")))
+
+
+def feature_availability(spark: SparkSession, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per cohort and column: rows, non-null values and ``empty``/``missing``/``ok``.
+
+    One aggregate over the frame, then the per-column counts are unpivoted with ``stack``.
+    """
+    agg = df.groupBy("generator").agg(F.count(F.lit(1)).alias("n_rows"),
+                                      *[F.count(c).alias(f"v_{c}") for c in columns])
+    pairs = ", ".join(f"'{c}', v_{c}" for c in columns)
+    long = agg.selectExpr("generator", "n_rows", f"stack({len(columns)}, {pairs}) as (column_name, n_values)")
+    names = F.array(*[F.lit(c) for c in columns])
+    grid = cohort_dim(spark).select("generator", F.explode(names).alias("column_name"))
+    out = grid.join(long, ["generator", "column_name"], "left")
+    return out.select("generator", "column_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+                      F.coalesce("n_values", F.lit(0)).alias("n_values"),
+                      status_of(F.col("n_rows"), F.col("n_values")).alias("status"))

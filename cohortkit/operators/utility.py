@@ -37,3 +37,98 @@ def spend_summary(spark: SparkSession, receipts: DataFrame, exact_median: bool =
         stat6(F.col("median_total")).alias("median_total"),
         status_of(F.col("n_receipts"), F.col("n_values")).alias("status"),
     )
+
+
+def _weekly_input(receipts: DataFrame) -> DataFrame:
+    """Receipts usable for weekly spend: non-null keys and total, in cohorts with more than one
+    customer and more than one week (A3).
+
+    ``nunique() > 1`` is tested as ``min <> max``: one pass, no distinct aggregation.
+    """
+    f = receipts.dropna(subset=["customer_id", "week_num", "total_amount"])
+    guard = (f.groupBy("generator")
+             .agg(F.min("customer_id").alias("c0"), F.max("customer_id").alias("c1"),
+                  F.min("week_num").alias("w0"), F.max("week_num").alias("w1"))
+             .filter((F.col("c0") != F.col("c1")) & (F.col("w0") != F.col("w1")))
+             .select("generator"))
+    # one row per cohort at most: a size-proven broadcast
+    return f.join(F.broadcast(guard), "generator", "left_semi")
+
+
+def weekly_spend(receipts: DataFrame) -> DataFrame:
+    """Spend per cohort, customer and week (A4)."""
+    return (_weekly_input(receipts)
+            .groupBy("generator", "customer_id", "week_num")
+            .agg(F.sum("total_amount").cast(MONEY).alias("weekly_total")))
+
+
+def _avg_weekly(receipts: DataFrame) -> DataFrame:
+    return (weekly_spend(receipts)
+            .groupBy("generator", "customer_id")
+            .agg(F.count(F.lit(1)).alias("n_weeks"), mean_exact(F.col("weekly_total")).alias("avg_weekly")))
+
+
+def avg_weekly_spend(receipts: DataFrame) -> DataFrame:
+    """Mean weekly spend per customer over the weeks with a receipt (A5)."""
+    return _avg_weekly(receipts).select("generator", "customer_id", "n_weeks",
+                                         stat6(F.col("avg_weekly")).alias("avg_weekly_spend"))
+
+
+def avg_weekly_spend_summary(receipts: DataFrame, exact_median: bool = True, accuracy: int = 10000) -> DataFrame:
+    """Mean and median over customers of the mean weekly spend."""
+    med = F.median("avg_weekly") if exact_median else F.percentile_approx("avg_weekly", 0.5, accuracy)
+    return (_avg_weekly(receipts).groupBy("generator")
+            .agg(F.count(F.lit(1)).alias("n_customers"),
+                 stat6(F.avg("avg_weekly")).alias("mean_avg_weekly"),
+                 stat6(med).alias("median_avg_weekly")))
+
+
+def value_counts(items: DataFrame, column: str) -> DataFrame:
+    """Frequency of each non-null value per cohort."""
+    return (items.filter(F.col(column).isNotNull())
+            .groupBy("generator", column).agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def top_n(counts: DataFrame, column: str, n: int) -> DataFrame:
+    """Top ``n`` values per cohort by count, ties by value ascending (L2, Q10).
+
+    The window runs on already-aggregated counts (one row per distinct value), partitioned by
+    cohort.
+    """
+    w = Window.partitionBy("generator").orderBy(F.desc("cnt"), F.asc(column))
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def top_list(top: DataFrame, column: str) -> DataFrame:
+    """Ordered top list per cohort as an array."""
+    return (top.groupBy("generator")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", column))), lambda s: s[column])
+                 .alias(f"top_{column}s")))
+
+
+def day_of_week(spark: SparkSession, receipts: DataFrame) -> DataFrame:
+    """Receipts per weekday per cohort, all seven days in Monday-first order, zero-filled."""
+    valid = receipts.filter(F.col("receipt_datetime").isNotNull())
+    counts = valid.groupBy("generator", weekday_name(F.col("receipt_datetime")).alias("day_of_week")) \
+        .agg(F.count(F.lit(1)).alias("n_receipts"))
+    days = F.array(*[F.lit(d) for d in K.WEEKDAYS])
+    # every cohort with a valid date gets the seven fixed weekdays (a literal array, no join)
+    grid = counts.select("generator").distinct().select(
+        "generator", F.posexplode(days).alias("pos", "day_of_week")).withColumn("day_idx", (F.col("pos") + 1).cast("int"))
+    return (grid.join(counts, ["generator", "day_of_week"], "left")
+            .select("generator", "day_idx", "day_of_week", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts")))
+
+
+def utility_flag(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """Whether at least one utility analysis ran per cohort."""
+    r = receipts.groupBy("generator").agg(
+        F.count(F.lit(1)).alias("n_receipts"),
+        F.count("total_amount").alias("n_totals"),
+        F.count("receipt_datetime").alias("n_dates"))
+    i = items.groupBy("generator").agg(F.count(F.lit(1)).alias("n_items"))
+    wk = _weekly_input(receipts).groupBy("generator").agg(F.count(F.lit(1)).alias("n_weekly"))
+    out = cohort_dim(spark).join(r, "generator", "left").join(i, "generator", "left").join(wk, "generator", "left")
+    ok = (F.coalesce("n_receipts", F.lit(0)) > 0) & (
+        (F.coalesce("n_totals", F.lit(0)) > 0) | (F.coalesce("n_weekly", F.lit(0)) > 0)
+        | (F.coalesce("n_items", F.lit(0)) > 0) | (F.coalesce("n_dates", F.lit(0)) > 0))
+    return out.select("generator", ok.alias("analysis_possible"))

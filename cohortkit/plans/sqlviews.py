@@ -28,7 +28,10 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS (\n{SQL_VIEWS[n]}\n)" for n in order)
-    return f"WITH {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    return f"WITH {ctes}\n{body}"
 
 
 def sql_cents(expr: str) -> str:
@@ -79,3 +82,48 @@ JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
 """, ["priced_lines_fx"])
+
+view("weekly_fx", """
+SELECT generator, customer_id, week_num, cast(sum(total_amount) AS DECIMAL(18,2)) AS weekly_total
+FROM receipts_fx
+WHERE customer_id IS NOT NULL AND week_num IS NOT NULL AND total_amount IS NOT NULL
+  AND generator IN (SELECT generator FROM receipts_fx
+                    WHERE customer_id IS NOT NULL AND week_num IS NOT NULL AND total_amount IS NOT NULL
+                    GROUP BY generator
+                    HAVING min(customer_id) <> max(customer_id) AND min(week_num) <> max(week_num))
+GROUP BY generator, customer_id, week_num
+""", ["receipts_fx"])
+
+view("avg_weekly_fx", """
+SELECT generator, customer_id, count(*) AS n_weeks,
+       cast(sum(weekly_total) AS DOUBLE) / count(*) AS avg_weekly
+FROM weekly_fx GROUP BY generator, customer_id
+""", ["weekly_fx"])
+
+view("features_fx", """
+SELECT generator, 'num_items' AS feature, cast(num_items AS DECIMAL(18,2)) AS value FROM receipts_fx
+UNION ALL SELECT generator, 'subtotal', cast(subtotal AS DECIMAL(18,2)) FROM receipts_fx
+UNION ALL SELECT generator, 'total_amount', cast(total_amount AS DECIMAL(18,2)) FROM receipts_fx
+""", ["receipts_fx"])
+
+view("weekdays", """
+SELECT * FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'), (5, 'Friday'),
+                      (6, 'Saturday'), (7, 'Sunday')) AS d(day_idx, day_of_week)
+""")
+
+
+def sql_topn(source: str, column: str, n: int) -> str:
+    return f"""
+SELECT generator, {column}, cnt, rank FROM (
+  SELECT generator, {column}, count(*) AS cnt,
+         cast(row_number() OVER (PARTITION BY generator ORDER BY count(*) DESC, {column} ASC) AS INTEGER) AS rank
+  FROM {source} WHERE {column} IS NOT NULL GROUP BY generator, {column}) t
+WHERE rank <= {n}"""
+
+
+def sql_ks_pvalue(d: str, n_a: str, n_b: str) -> str:
+    lam = f"({d} * sqrt(cast({n_a} AS DOUBLE) * {n_b} / ({n_a} + {n_b})))"
+    series = (f"list_reduce(list_transform(range(1, 101), lambda k: "
+              f"(CASE WHEN k % 2 = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END) * "
+              f"exp(CAST(-2 AS DOUBLE) * cast(k * k AS DOUBLE) * {lam} * {lam})), lambda a, x: a + x)")
+    return f"(CASE WHEN {lam} < 0.2 THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), 2 * {series})) END)"
