@@ -93,3 +93,83 @@ def receipts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         (subtotal + tax).cast(MONEY).alias("total_amount"),
         gen.alias("generator"),
     )
+
+
+# ---- model responses (FIXTURES.md §3 classes, residue o_orderkey % 20) ------------------------
+
+def _jstr(c: Column) -> Column:
+    """JSON text of a string value (``null`` for NULL), escaped by Spark's JSON writer."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+
+
+def _pair(key: str, value_json: Column) -> Column:
+    return F.concat(F.lit(f'"{key}": '), value_json)
+
+
+QTY_VARIANTS = ['"2"', '" 2 "', "2.9", "true"]   # class 10, cycled by line position
+
+
+def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw model response per order that has lines: ``(attempt, raw, damage)``.
+
+    The clean text is the order as a receipt object, lines ordered by all their columns;
+    ``o_orderkey % 20`` selects one damage class of FIXTURES.md §3 (first variant of each).
+    """
+    lines = _priced_lines(spark, sf_dir)
+    per_order = lines.groupBy("order_key").agg(
+        F.array_sort(F.collect_list(F.struct("item_name", "category", "quantity", "unit_price",
+                                             F.col("declared_total").alias("item_total")))).alias("lines"),
+        F.sum("item_total").cast(MONEY).alias("subtotal"))
+    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    customer = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    geo = F.broadcast(load(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+                      .join(F.broadcast(load(spark, sf_dir, "region", "r_regionkey", "r_name")),
+                            F.col("n_regionkey") == F.col("r_regionkey")))
+    o = (per_order.join(orders, per_order.order_key == orders.o_orderkey)
+         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+         .join(geo, F.col("c_nationkey") == F.col("n_nationkey")))
+    cls = (F.col("order_key") % 20).cast("int")
+
+    def item_json(l, i):
+        q = (F.when((cls == 5) & (i == 0), F.lit('"two"'))
+             .when(cls == 10, F.element_at(F.array(*[F.lit(v) for v in QTY_VARIANTS]), (i % 4 + 1).cast("int")))
+             .when(cls == 11, F.lit('"2.9"'))
+             .when(cls == 15, F.lit("99"))
+             .when(cls == 17, F.lit('"x"'))
+             .otherwise(l["quantity"].cast("string")))
+        price = F.when(cls == 15, F.lit("900.00")).otherwise(l["unit_price"].cast("string"))
+        total = F.when(cls == 12, (l["item_total"] + F.lit(0.02).cast("decimal(3,2)")).cast(MONEY).cast("string")) \
+            .otherwise(l["item_total"].cast("string"))
+        cat = F.when(cls == 14, F.lit("null")).when((cls == 16) & (i == 0), F.lit(None)).otherwise(_jstr(l["category"]))
+        return F.concat(F.lit("{"), F.concat_ws(
+            ", ", _pair("item_name", _jstr(l["item_name"])), F.when(cat.isNotNull(), _pair("category", cat)),
+            _pair("quantity", q), _pair("unit_price", price), _pair("item_total", total)), F.lit("}"))
+
+    item_texts = F.transform("lines", item_json)
+    items = (F.when(cls == 4, F.lit("[]"))
+             .when(cls == 7, F.element_at(item_texts, 1))
+             .otherwise(F.concat(F.lit("["), F.array_join(item_texts, ", "), F.lit("]"))))
+    ts = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    dt = (F.when(cls.isin(6, 17), F.lit('"soon"')).when(cls == 9, F.lit("null"))
+          .when(cls == 18, _jstr(F.concat(ts, F.lit("+05:00")))).otherwise(_jstr(ts)))
+    subtotal = F.col("subtotal")
+    tax = tax_of(subtotal)
+    bump = F.lit(1).cast("decimal(3,2)")
+    obj = F.concat(F.lit("{"), F.concat_ws(
+        ", ",
+        _pair("receipt_id", F.when(cls == 14, F.lit("null"))
+              .otherwise(_jstr(F.concat(F.lit("ORD_"), F.col("order_key").cast("string"))))),
+        _pair("customer_id", _jstr(hashed_customer_id(F.col("o_custkey")))),
+        _pair("store_name", _jstr(F.when(cls == 15, F.lit("Nowhere Market")).otherwise(F.col("n_name")))),
+        _pair("store_location", _jstr(F.col("r_name"))),
+        _pair("receipt_datetime", dt),
+        _pair("items", items),
+        _pair("subtotal", F.when(cls == 13, (subtotal + bump).cast(MONEY)).otherwise(subtotal).cast("string")),
+        F.when(cls != 3, _pair("tax", F.when(cls == 13, (tax + bump).cast(MONEY)).otherwise(tax).cast("string"))),
+        _pair("total_amount", (subtotal + tax).cast(MONEY).cast("string"))), F.lit("}"))
+    raw = (F.when(cls == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
+           .when(cls == 1, F.lit(""))
+           .when(cls == 2, F.lit("Sorry, I cannot produce that receipt."))
+           .when(cls == 8, F.concat(F.lit("["), obj, F.lit("]")))
+           .otherwise(obj))
+    return o.select((F.col("order_key") + 1).alias("attempt"), raw.alias("raw"), cls.alias("damage"))
