@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, key: str, bucket: Column, rank_col: str = "rank") -> DataFrame:
-    """Add ``rank_col`` = 1-based position in ascending ``key`` order, given a bucket expression
-    that is non-decreasing in ``key``."""
+def ranked(df: DataFrame, key, bucket: Column, rank_col: str = "rank") -> DataFrame:
+    """Add ``rank_col`` = 1-based position in ascending ``key`` order (a column name or a list
+    of names, compared in order), given a bucket expression non-decreasing in that order."""
     b = df.withColumn("_bucket", bucket.cast("long"))
     counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # counts has at most `buckets` rows: the running offset is a window over that small frame.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     off = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     j = b.join(F.broadcast(off), "_bucket")
-    w = Window.partitionBy("_bucket").orderBy(key)
+    w = Window.partitionBy("_bucket").orderBy(*([key] if isinstance(key, str) else key))
     return j.withColumn(rank_col, F.col("_off") + F.row_number().over(w)).drop("_bucket", "_off")
 
 

@@ -173,3 +173,28 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(cls == 8, F.concat(F.lit("["), obj, F.lit("]")))
            .otherwise(obj))
     return o.select((F.col("order_key") + 1).alias("attempt"), raw.alias("raw"), cls.alias("damage"))
+
+
+# ---- page responses (FIXTURES.md §2: page_id % 7 = 0 no summary, 1 '{}', 2 broken JSON) ----
+
+TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
+
+
+def page_type_draw(key: Column, seed=42) -> Column:
+    """Uniform page type per key."""
+    from cohortkit import constants as K
+    from cohortkit.functions import draws as D
+    return D.choice(F.array(*[F.lit(t) for t in K.PAGE_TYPES]), D.slot(D.key_md5(seed, key, "page_type"), 0))
+
+
+def page_responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(sample_id, page_type, raw)``: each page as a generated ``{html, summary}`` response."""
+    pages = load(spark, sf_dir, "pages", "page_id", "html")
+    title = F.regexp_extract("html", TITLE_PATTERN, 1)
+    cls = (F.col("page_id") % 7).cast("int")
+    raw = (F.when(cls == 0, F.to_json(F.struct("html")))
+           .when(cls == 1, F.lit("{}"))
+           .when(cls == 2, F.lit('{"html": "<p>unterminated'))
+           .otherwise(F.to_json(F.struct("html", title.alias("summary")))))
+    return pages.select(F.col("page_id").alias("sample_id"), page_type_draw(F.col("page_id")).alias("page_type"),
+                        raw.alias("raw"))
