@@ -42,3 +42,130 @@ def header_line_reconcile(headers: DataFrame, items: DataFrame) -> DataFrame:
         "generator", "n_headers", "n_headers_with_lines",
         (F.col("n_headers") - F.col("n_headers_with_lines")).alias("n_headers_without_lines"),
         "n_lines", F.coalesce("n_orphan_lines", F.lit(0)).alias("n_orphan_lines"))
+
+
+def generation_yield(spark: SparkSession, stat_receipts: DataFrame, stat_target, llm_receipts: DataFrame,
+                     llm_target) -> DataFrame:
+    """Actual / target per generator; no statistical target counts as 1, no LLM target as 0.
+
+    Targets are ints or scalar Columns; counts are scalar subqueries.
+    """
+    def col(x):
+        return F.lit(x) if isinstance(x, int) else x
+
+    st, lt = col(stat_target).cast("bigint"), col(llm_target).cast("bigint")
+    sa = stat_receipts.agg(F.count(F.lit(1))).scalar()
+    la = llm_receipts.agg(F.count(F.lit(1))).scalar()
+    rows = spark.range(1).select(
+        F.inline(F.array(
+            F.struct(F.lit("Statistical").alias("generator"), st.alias("target"), sa.alias("actual"),
+                     F.when(st > 0, F.round(sa / st, 6)).otherwise(F.lit(1.0)).alias("yield_ratio")),
+            F.struct(F.lit("LLM").alias("generator"), lt.alias("target"), la.alias("actual"),
+                     F.when(lt > 0, F.round(la / lt, 6)).otherwise(F.lit(0.0)).alias("yield_ratio")))))
+    return rows
+
+
+METRIC_COLUMNS = ["section", "generator", "metric", "key", "value", "text"]
+
+
+def metric_rows(df: DataFrame, section: str, metric: str, generator=None, key=None, value=None, text=None) -> DataFrame:
+    """Project any metric frame onto the long report schema."""
+    def s(x):
+        if x is None:
+            return F.lit(None).cast("string")
+        return (F.col(x) if isinstance(x, str) else x).cast("string")
+
+    v = F.lit(None).cast("double") if value is None else (F.col(value) if isinstance(value, str) else value).cast("double")
+    return df.select(F.lit(section).alias("section"), s(generator).alias("generator"), F.lit(metric).alias("metric"),
+                     s(key).alias("key"), v.alias("value"), s(text).alias("text"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """KS per feature, top-15 lists, their overlap and category shares (V1)."""
+    from cohortkit import constants as K
+    from cohortkit.operators import fidelity as FD
+    from cohortkit.operators import utility as U
+    ks = FD.ks_statistic(spark, receipts)
+    top = U.top_n(U.value_counts(items, "item_name"), "item_name", K.TOP_ITEMS_FIDELITY)
+    ov = FD.topn_overlap(items)
+    cc = FD.category_compare(items)
+    rk = F.lpad(F.col("rank").cast("string"), 2, "0")
+    return union_all([
+        metric_rows(ks, "fidelity", "ks_d", key="feature", value="d", text="status"),
+        metric_rows(ks, "fidelity", "ks_p_value", key="feature", value="p_value", text=F.coalesce("verdict", "status")),
+        metric_rows(top, "fidelity", "top15_item", generator="generator", key=rk, value="cnt", text="item_name"),
+        metric_rows(ov, "fidelity", "top15_common", key=F.lit("item_name"), value="n_common", text="status"),
+        metric_rows(cc, "fidelity", "category_share", generator=F.lit(FD.A), key="category", value="share_a"),
+        metric_rows(cc, "fidelity", "category_share", generator=F.lit(FD.B), key="category", value="share_b"),
+    ])
+
+
+def utility_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """Spend, weekly spend, popular items and categories, weekday trend, ran-flag (V2)."""
+    from cohortkit import constants as K
+    from cohortkit.operators import utility as U
+    sp = U.spend_summary(spark, receipts)
+    aw = U.avg_weekly_spend_summary(receipts)
+    t10 = U.top_n(U.value_counts(items, "item_name"), "item_name", K.TOP_ITEMS_UTILITY)
+    t5 = U.top_n(U.value_counts(items, "category"), "category", K.TOP_CATEGORIES_UTILITY)
+    dw = U.day_of_week(spark, receipts)
+    fl = U.utility_flag(spark, receipts, items)
+    rk = F.lpad(F.col("rank").cast("string"), 2, "0")
+    return union_all([
+        metric_rows(sp, "utility", "avg_total", generator="generator", value="avg_total", text="status"),
+        metric_rows(sp, "utility", "median_total", generator="generator", value="median_total", text="status"),
+        metric_rows(aw, "utility", "mean_avg_weekly", generator="generator", value="mean_avg_weekly"),
+        metric_rows(aw, "utility", "median_avg_weekly", generator="generator", value="median_avg_weekly"),
+        metric_rows(t10, "utility", "top10_item", generator="generator", key=rk, value="cnt", text="item_name"),
+        metric_rows(t5, "utility", "top5_category", generator="generator", key=rk, value="cnt", text="category"),
+        metric_rows(dw, "utility", "receipts_by_weekday", generator="generator",
+                    key=F.concat(F.col("day_idx").cast("string"), F.lit(" "), F.col("day_of_week")), value="n_receipts"),
+        metric_rows(fl, "utility", "analysis_possible", generator="generator",
+                    value=F.col("analysis_possible").cast("int"),
+                    text=F.when(F.col("analysis_possible"), F.lit("True")).otherwise(F.lit("False"))),
+    ])
+
+
+PII_NOTE = "no direct personal data by design"
+
+
+def privacy_report(spark: SparkSession, receipts: DataFrame) -> DataFrame:
+    """Extremes, high-uniqueness columns with verdict, id kind and the PII note (V3, V4, V5)."""
+    from cohortkit.operators import privacy as P
+    ex = P.extremes(spark, receipts).filter(F.col("n_receipts") > 0)
+    un = P.uniqueness(receipts).filter("flagged")
+    vd = P.uniqueness_verdict(spark, receipts)
+    return union_all([
+        metric_rows(ex, "privacy", "max_total_amount", generator="generator", value="max_total_amount"),
+        metric_rows(ex, "privacy", "max_num_items", generator="generator", value="max_num_items"),
+        metric_rows(un, "privacy", "high_uniqueness", generator="generator", key="column_name", value="ratio"),
+        metric_rows(vd, "privacy", "uniqueness_verdict", generator="generator", value=F.size("flagged_columns"),
+                    text="verdict"),
+        metric_rows(vd, "privacy", "customer_id_kind", generator="generator", text=P.id_kind(F.col("generator"))),
+        metric_rows(vd, "privacy", "pii_check", generator="generator", text=F.lit(PII_NOTE)),
+    ])
+
+
+RECOMMENDATIONS = [
+    ("Statistical", "preferred for large, consistent structured data with known rules; fast and controllable"),
+    ("LLM", "diverse examples but slow and numerically inconsistent; validate and use to augment"),
+]
+
+
+def summary_report(spark: SparkSession, yields: DataFrame, flags: DataFrame) -> DataFrame:
+    """Yields, utility ran-flags and the fixed recommendation rows (V6)."""
+    rec = spark.createDataFrame(RECOMMENDATIONS, "generator string, text string")
+    pct = F.concat(F.format_number(F.col("yield_ratio") * 100, 1), F.lit("%"))
+    return union_all([
+        metric_rows(yields, "summary", "yield", generator="generator", value="yield_ratio", text=pct),
+        metric_rows(flags, "summary", "utility_ran", generator="generator", value=F.col("analysis_possible").cast("int"),
+                    text=F.when(F.col("analysis_possible"), F.lit("True")).otherwise(F.lit("False"))),
+        metric_rows(rec, "summary", "recommendation", generator="generator", text="text"),
+    ])
