@@ -133,8 +133,9 @@ def draw_lines(draws: DataFrame, seed=K.SEED) -> DataFrame:
     keep = [c for c in draws.columns if c not in ("preferred",)]
     exploded = draws.select(*keep, F.explode(F.sequence(F.lit(1), F.col("num_items"))).alias("line_no"))
     hashed = exploded.select(*keep, "line_no", D.key_md5(seed, ck, wk, "line", F.col("line_no")).alias("_lm"))
-    slots = hashed.select(*keep, "line_no", *[D.slot(F.col("_lm"), j).alias(f"_h{j}") for j in range(3)])
-    table = F.element_at(pick_tables(), F.col("pref_mask") + 1)
+    slots = hashed.select(*keep, "line_no", *[D.slot(F.col("_lm"), j).alias(f"_h{j}") for j in range(3)],
+                          F.element_at(pick_tables(), F.col("pref_mask") + 1).alias("_table"))
+    table = F.col("_table")
     idx = F.element_at(table, (F.col("_h0") % F.size(table)).cast("int") + 1)
     picked = slots.select(
         *keep, "line_no", F.element_at(catalog_array(), idx + 1).alias("_item"),

@@ -88,8 +88,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
-    """KS per feature, top-15 lists, their overlap and category shares (V1)."""
+    """KS per feature, top-15 lists, their overlap and category shares (V1).
+
+    The cohort frames are read by every section, so they are materialized once first.
+    """
     from cohortkit import constants as K
+    from cohortkit.session import materialize
+    receipts, items = materialize(receipts), materialize(items)
     from cohortkit.operators import fidelity as FD
     from cohortkit.operators import utility as U
     ks = FD.ks_statistic(spark, receipts)
@@ -110,6 +115,8 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
 def utility_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Spend, weekly spend, popular items and categories, weekday trend, ran-flag (V2)."""
     from cohortkit import constants as K
+    from cohortkit.session import materialize
+    receipts, items = materialize(receipts), materialize(items)
     from cohortkit.operators import utility as U
     sp = U.spend_summary(spark, receipts)
     aw = U.avg_weekly_spend_summary(receipts)
@@ -139,6 +146,8 @@ PII_NOTE = "no direct personal data by design"
 def privacy_report(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Extremes, high-uniqueness columns with verdict, id kind and the PII note (V3, V4, V5)."""
     from cohortkit.operators import privacy as P
+    from cohortkit.session import materialize
+    receipts = materialize(receipts)
     ex = P.extremes(spark, receipts).filter(F.col("n_receipts") > 0)
     un = P.uniqueness(receipts).filter("flagged")
     vd = P.uniqueness_verdict(spark, receipts)

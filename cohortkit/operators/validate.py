@@ -158,9 +158,12 @@ def first_n_accepted(parsed: DataFrame, n, buckets: int = 256) -> DataFrame:
     """
     from cohortkit.operators.ranking import range_bucket, ranked
 
+    from cohortkit.session import materialize
+
     n = F.lit(n) if isinstance(n, int) else n
     budget = n * K.MAX_ATTEMPTS_PER_RECEIPT
-    acc = accepted_receipts(parsed.filter(F.col("attempt") <= budget))
+    # validated headers within the budget: read by the bucket counts and the ranking
+    acc = materialize(accepted_receipts(parsed.filter(F.col("attempt") <= budget)))
     width = F.greatest(budget.cast("double") / buckets, F.lit(1.0))
     r = ranked(acc, "attempt", range_bucket(F.col("attempt") - 1, 0, width, buckets), "accept_rank")
     return r.filter(F.col("accept_rank") <= n)
@@ -172,13 +175,21 @@ def attempt_summary(parsed: DataFrame, n) -> DataFrame:
     Attempts consumed: up to the attempt of the n-th acceptance, else all attempts within the
     budget (``attempt`` numbers the tries from 1).
     """
+    from cohortkit.operators.ranking import range_bucket, ranked
+    from cohortkit.session import materialize
+
     n = F.lit(n) if isinstance(n, int) else n
     budget = n * K.MAX_ATTEMPTS_PER_RECEIPT
-    firsts = first_n_accepted(parsed, n)
+    # (attempt, accepted) is all the loop needs: parse once, keep two columns
+    out = materialize(parsed.select("attempt", F.col("reason").isNull().alias("ok")))
+    acc = out.filter(F.col("ok") & (F.col("attempt") <= budget))
+    width = F.greatest(budget.cast("double") / 256, F.lit(1.0))
+    firsts = ranked(acc, "attempt", range_bucket(F.col("attempt") - 1, 0, width, 256), "accept_rank") \
+        .filter(F.col("accept_rank") <= n)
     stats = firsts.agg(F.count(F.lit(1)).alias("n_accepted"),
                        F.max(F.when(F.col("accept_rank") == n, F.col("attempt"))).alias("nth"))
     nth = stats.select("nth").scalar()
     stop = F.coalesce(nth, budget)
-    used = parsed.filter(F.col("attempt") <= stop).agg(F.count(F.lit(1)).alias("attempts_used"))
+    used = out.filter(F.col("attempt") <= stop).agg(F.count(F.lit(1)).alias("attempts_used"))
     return used.select(n.cast("bigint").alias("target"), budget.cast("bigint").alias("max_attempts"),
                        "attempts_used", stats.select("n_accepted").scalar().alias("n_accepted"))

@@ -81,3 +81,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder
+    named by ``spark.checkpoint.dir``.
+
+    Used where one intermediate feeds several branches of a plan (which would otherwise each
+    recompute it from the scans) and it is much smaller than its inputs. Survives executor loss:
+    the data is in the shared folder, not on an executor.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
