@@ -1,0 +1,5 @@
+"""Structured Streaming entry points."""
+
+from cohortkit.streaming.responses import validate_stream
+
+__all__ = ["validate_stream"]
