@@ -14,20 +14,25 @@ from cohortkit.functions.scalars import MONEY, weekday_name
 from cohortkit.operators.cohorts import cohort_dim, mean_exact, stat6, status_of
 
 
-def spend_summary(spark: SparkSession, receipts: DataFrame, exact_median: bool = True,
-                  accuracy: int = 10000) -> DataFrame:
-    """Mean and median receipt total per cohort (A2) with availability status.
+def _median(df: DataFrame, value: str, method: str, accuracy: int) -> DataFrame:
+    """``(generator, median)`` by method: ``distributed`` (exact, no group in one task),
+    ``exact`` (Spark's in-group percentile) or ``approx`` (``percentile_approx``)."""
+    if method == "distributed":
+        from cohortkit.operators.quantiles import exact_median
+        return exact_median(df, "generator", value).select("generator", "median")
+    med = F.median(value) if method == "exact" else F.percentile_approx(value, 0.5, accuracy)
+    return df.groupBy("generator").agg(med.cast("double").alias("median"))
 
-    ``exact_median`` keeps the exact interpolated median; set it to False at very large group
-    sizes to use ``percentile_approx`` (bounded memory per group).
-    """
-    med = F.median("total_amount") if exact_median else F.percentile_approx("total_amount", 0.5, accuracy)
+
+def spend_summary(spark: SparkSession, receipts: DataFrame, median: str = "distributed",
+                  accuracy: int = 10000) -> DataFrame:
+    """Mean and median receipt total per cohort (A2) with availability status."""
     agg = receipts.groupBy("generator").agg(
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_values"),
         mean_exact(F.col("total_amount")).alias("avg_total"),
-        med.alias("median_total"),
-    )
+    ).join(_median(receipts, "total_amount", median, accuracy).withColumnRenamed("median", "median_total"),
+           "generator", "left")
     out = cohort_dim(spark).join(agg, "generator", "left")
     return out.select(
         "generator",
@@ -74,13 +79,17 @@ def avg_weekly_spend(receipts: DataFrame) -> DataFrame:
                                          stat6(F.col("avg_weekly")).alias("avg_weekly_spend"))
 
 
-def avg_weekly_spend_summary(receipts: DataFrame, exact_median: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Mean and median over customers of the mean weekly spend."""
-    med = F.median("avg_weekly") if exact_median else F.percentile_approx("avg_weekly", 0.5, accuracy)
-    return (_avg_weekly(receipts).groupBy("generator")
-            .agg(F.count(F.lit(1)).alias("n_customers"),
-                 stat6(F.avg("avg_weekly")).alias("mean_avg_weekly"),
-                 stat6(med).alias("median_avg_weekly")))
+def avg_weekly_spend_summary(receipts: DataFrame, median: str = "distributed", accuracy: int = 10000) -> DataFrame:
+    """Mean and median over customers of the mean weekly spend.
+
+    One value per customer: the distributed median keeps that from landing in one task.
+    """
+    from cohortkit.session import materialize
+    aw = materialize(_avg_weekly(receipts))
+    agg = aw.groupBy("generator").agg(F.count(F.lit(1)).alias("n_customers"), F.avg("avg_weekly").alias("mean"))
+    return agg.join(_median(aw, "avg_weekly", median, accuracy), "generator", "left").select(
+        "generator", "n_customers", stat6(F.col("mean")).alias("mean_avg_weekly"),
+        stat6(F.col("median")).alias("median_avg_weekly"))
 
 
 def value_counts(items: DataFrame, column: str) -> DataFrame:
@@ -89,14 +98,20 @@ def value_counts(items: DataFrame, column: str) -> DataFrame:
             .groupBy("generator", column).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def top_n(counts: DataFrame, column: str, n: int) -> DataFrame:
+def top_n(counts: DataFrame, column: str, n: int, cohorts=("Statistical", "LLM")) -> DataFrame:
     """Top ``n`` values per cohort by count, ties by value ascending (L2, Q10).
 
-    The window runs on already-aggregated counts (one row per distinct value), partitioned by
-    cohort.
+    One distributed top-k per cohort (each partition keeps its best n, then n x partitions
+    rows are merged), instead of a window that sorts all distinct values of a cohort in one
+    task. The rank is then numbered over at most n rows per cohort.
     """
-    w = Window.partitionBy("generator").orderBy(F.desc("cnt"), F.asc(column))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    order = [F.desc("cnt"), F.asc(column)]
+    parts = [counts.filter(F.col("generator") == g).orderBy(*order).limit(n) for g in cohorts]
+    top = parts[0]
+    for p in parts[1:]:
+        top = top.unionByName(p)
+    w = Window.partitionBy("generator").orderBy(*order)
+    return top.withColumn("rank", F.row_number().over(w))
 
 
 def top_list(top: DataFrame, column: str) -> DataFrame:

@@ -76,3 +76,17 @@ def test_split_disjoint_complete(spark):
     s = split_exact(df)
     assert s.count() == 137 and s.select("sample_id").distinct().count() == 137
     assert s.filter("is_test").count() == (137 + 4) // 5
+
+
+def test_distributed_median_matches_exact(spark):
+    import random
+    from cohortkit.operators.quantiles import exact_median
+    rnd = random.Random(7)
+    rows = [("a", float(rnd.randint(0, 50))) for _ in range(501)] + [("b", rnd.random()) for _ in range(400)] \
+        + [("c", 5.0)] * 3
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
+    for b in (1, 4, 64):
+        got = {r["g"]: r["median"] for r in exact_median(df, "g", "x", buckets=b).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) <= 1e-12 for k in want)
