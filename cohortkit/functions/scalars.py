@@ -14,9 +14,13 @@ MONEY = "decimal(18,2)"
 
 # ---- strings ---------------------------------------------------------------------------------
 
+# Python's whitespace set (str.isspace), derived by rule rather than listed.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Python ``str.strip()``: remove Python whitespace characters at both ends."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def strip_fences(c: Column) -> Column:

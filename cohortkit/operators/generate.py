@@ -152,22 +152,38 @@ def draw_lines(draws: DataFrame, seed=K.SEED) -> DataFrame:
                          F.lit("Statistical").alias("generator"))
 
 
-def _kept(customers: DataFrame, n_weeks: int, seed, keep_prob: float, colocate: bool) -> DataFrame:
+LINES_PER_PARTITION = 4_000_000
+
+
+def fanout_partitions(spark: SparkSession, n_keys: int, fanout: float, per_partition: int = LINES_PER_PARTITION) -> int:
+    """Partitions for a key set that fans out ``fanout`` rows per key: enough that no task
+    produces more than about ``per_partition`` rows, and at least the cluster's parallelism."""
+    want = int(n_keys * fanout / per_partition) + 1
+    return max(spark.sparkContext.defaultParallelism, want)
+
+
+def _kept(customers: DataFrame, n_weeks: int, seed, keep_prob: float) -> DataFrame:
     ids = customer_ids(customers)
-    if colocate:
-        # Hash-partition the customer keys before the fan-out (weeks x lines). Explode, filter
-        # and projections keep this partitioning, so the per-receipt aggregate below needs no
-        # further exchange: only one row per customer is shuffled, never a line.
-        ids = ids.repartition("cust_key")
+    spark = customers.sparkSession
+    # Each customer becomes ~n_weeks x 15 lines. Hash-partition the customer keys (one small
+    # row each) before the fan-out, into a partition count sized by the expected line count:
+    # a scan split of keys would otherwise expand into billions of lines in one task. Explode,
+    # filter and projections keep this partitioning, so the per-receipt aggregate needs no
+    # further exchange; no line is ever shuffled.
+    n = fanout_partitions(spark, ids.count(), n_weeks * keep_prob * K.ITEMS_MEAN)
+    ids = ids.repartition(n, "cust_key")
     return retained(customer_week_grid(ids, n_weeks), seed, keep_prob)
 
 
 def statistical_receipts_from(lines: DataFrame) -> DataFrame:
     """Receipt headers rolled up from their lines (A1). Grouping starts with ``cust_key`` so a
     hash partitioning on it already satisfies the aggregate's distribution."""
-    hdr = ["cust_key", "week_num", "receipt_id", "customer_id", "store_name", "store_location", "receipt_datetime"]
-    agg = lines.groupBy(*hdr).agg(F.count(F.lit(1)).cast("int").alias("num_items"),
-                                  F.sum("total_cents").alias("sub_cents"))
+    carried = ["receipt_id", "customer_id", "store_name", "store_location", "receipt_datetime"]
+    # (cust_key, week_num) is the receipt key; the carried header fields are functions of it,
+    # so first() returns the one value each group holds.
+    agg = lines.groupBy("cust_key", "week_num").agg(
+        *[F.first(c).alias(c) for c in carried],
+        F.count(F.lit(1)).cast("int").alias("num_items"), F.sum("total_cents").alias("sub_cents"))
     sub = agg.withColumn("subtotal", cents_to_money(F.col("sub_cents"))).withColumn("tax", tax_of(F.col("subtotal")))
     return sub.select("receipt_id", "customer_id", "store_name", "store_location", "receipt_datetime", "week_num",
                       "num_items", "subtotal", "tax", (F.col("subtotal") + F.col("tax")).cast(MONEY).alias("total_amount"),
@@ -175,21 +191,20 @@ def statistical_receipts_from(lines: DataFrame) -> DataFrame:
 
 
 def statistical_lines(spark: SparkSession, customers: DataFrame, n_weeks: int = K.N_WEEKS,
-                      start: str = K.START_DATE, seed=K.SEED, keep_prob: float = K.KEEP_PROB,
-                      colocate: bool = False) -> DataFrame:
+                      start: str = K.START_DATE, seed=K.SEED, keep_prob: float = K.KEEP_PROB) -> DataFrame:
     """Line-level frame with header columns."""
-    return draw_lines(receipt_draws(_kept(customers, n_weeks, seed, keep_prob, colocate), start, seed), seed)
+    return draw_lines(receipt_draws(_kept(customers, n_weeks, seed, keep_prob), start, seed), seed)
 
 
 def statistical_receipts(spark: SparkSession, customers: DataFrame, n_weeks: int = K.N_WEEKS,
                          start: str = K.START_DATE, seed=K.SEED, keep_prob: float = K.KEEP_PROB) -> DataFrame:
     """Receipt headers of the statistical cohort."""
-    return statistical_receipts_from(statistical_lines(spark, customers, n_weeks, start, seed, keep_prob, colocate=True))
+    return statistical_receipts_from(statistical_lines(spark, customers, n_weeks, start, seed, keep_prob))
 
 
 def statistical_items(spark: SparkSession, customers: DataFrame, n_weeks: int = K.N_WEEKS,
                       start: str = K.START_DATE, seed=K.SEED, keep_prob: float = K.KEEP_PROB) -> DataFrame:
-    """Receipt lines of the statistical cohort: no shuffle at all."""
+    """Receipt lines of the statistical cohort: the only exchange is the key repartition."""
     return statistical_lines(spark, customers, n_weeks, start, seed, keep_prob).select(*ITEM_COLUMNS)
 
 

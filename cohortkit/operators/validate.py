@@ -30,24 +30,32 @@ def _vget(v: Column, typ: str) -> Column:
     return F.try_variant_get(v, "$", typ)
 
 
-def _keys_present(obj: Column, keys: list[str]) -> Column:
-    """All ``keys`` are keys of the map ``obj`` (NULL map -> False)."""
-    return F.coalesce(F.size(F.array_except(F.array(*[F.lit(k) for k in keys]), F.map_keys(obj))) == 0, F.lit(False))
+def _as_struct(keys: list[str]) -> str:
+    """Struct type with one VARIANT field per key: casting an object to it yields SQL NULL for a
+    missing key and a variant null for a JSON null; a non-object yields NULL."""
+    return "struct<" + ",".join(f"{k}:variant" for k in keys) + ">"
+
+
+def _all_present(st: Column, keys: list[str]) -> Column:
+    cond = st.isNotNull()
+    for k in keys:
+        cond = cond & st[k].isNotNull()
+    return F.coalesce(cond, F.lit(False))
 
 
 def _check_line(x: Column, i: Column) -> Column:
     """One line: structure (object with the 5 keys) then types (int, float, float)."""
-    io = _vget(x, "map<string,variant>")
-    shaped = _keys_present(io, K.ITEM_KEYS)
-    qty = _vget(io["quantity"], "int")
-    price = _vget(io["unit_price"], MONEY)
-    declared = _vget(io["item_total"], MONEY)
+    st = _vget(x, _as_struct(K.ITEM_KEYS))
+    shaped = _all_present(st, K.ITEM_KEYS)
+    qty = _vget(st["quantity"], "int")
+    price = _vget(st["unit_price"], MONEY)
+    declared = _vget(st["item_total"], MONEY)
     typed = qty.isNotNull() & price.isNotNull() & declared.isNotNull()
     return F.struct(
         i.alias("pos"),
         F.when(~shaped, F.lit("bad_structure")).when(~typed, F.lit("bad_types")).alias("problem"),
-        F.coalesce(_vget(io["item_name"], "string"), F.lit("None")).alias("item_name"),
-        F.coalesce(_vget(io["category"], "string"), F.lit("None")).alias("category"),
+        F.coalesce(_vget(st["item_name"], "string"), F.lit("None")).alias("item_name"),
+        F.coalesce(_vget(st["category"], "string"), F.lit("None")).alias("category"),
         qty.alias("quantity"), price.alias("unit_price"), declared.alias("declared_total"))
 
 
@@ -58,15 +66,15 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     # Wrapping in [...] makes trailing text or a second object a parse error (Q23).
     wrapped = _vget(F.try_parse_json(F.concat(F.lit("["), clean, F.lit("]"))), "array<variant>")
     stage1 = responses.select(
-        "attempt", clean.alias("_clean"),
+        "attempt", (F.length(clean) == 0).alias("_empty"),
         F.when(F.size(wrapped) == 1, F.element_at(wrapped, 1)).alias("_v"))
-    obj = _vget(F.col("_v"), "map<string,variant>")
-    stage2 = stage1.select("attempt", "_clean", "_v", obj.alias("_obj"))
+    stage2 = stage1.select("attempt", "_empty", F.col("_v").isNull().alias("_bad_json"),
+                           _vget(F.col("_v"), _as_struct(K.RECEIPT_KEYS)).alias("_obj"))
     o = F.col("_obj")
     items = _vget(o["items"], "array<variant>")
     stage3 = stage2.select(
-        "attempt", "_clean", "_v", "_obj",
-        _keys_present(o, K.RECEIPT_KEYS).alias("_has_keys"),
+        "attempt", "_empty", "_bad_json", "_obj",
+        _all_present(o, K.RECEIPT_KEYS).alias("_has_keys"),
         F.transform(items, _check_line).alias("lines"))
     valid = F.filter("lines", lambda l: l["problem"].isNull())
     stage4 = stage3.withColumn("_valid", valid)
@@ -74,10 +82,10 @@ def parse_responses(responses: DataFrame) -> DataFrame:
                         lambda a, l: a + l["quantity"].cast("bigint") * (l["unit_price"] * 100).cast("bigint"))
     ts = coerce_datetime(_vget(o["receipt_datetime"], "string"))
     stage5 = stage4.select(
-        "attempt", "_clean", "_v", "_obj", "_has_keys", "lines", "_valid",
+        "attempt", "_empty", "_bad_json", "_obj", "_has_keys", "lines", "_valid",
         F.size("_valid").alias("n_valid_lines"), cents.alias("_sub_cents"), ts.alias("receipt_datetime"))
-    reason = (F.when(F.length("_clean") == 0, F.lit("empty_content"))
-              .when(F.col("_v").isNull(), F.lit("bad_json"))
+    reason = (F.when(F.col("_empty"), F.lit("empty_content"))
+              .when(F.col("_bad_json"), F.lit("bad_json"))
               .when(F.col("_obj").isNull(), F.lit("not_an_object"))
               .when(~F.col("_has_keys"), F.lit("missing_keys"))
               .when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, F.lit("no_items"))
