@@ -20,7 +20,7 @@ def test_items_shuffle_only_keys(spark):
 def test_receipts_one_exchange_before_fanout(spark):
     rec = G.statistical_receipts(spark, load(spark, SF_SMALL, "customer", "c_custkey"))
     plan = _plan(rec)
-    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(cust_key" in plan
 
 
 def test_ks_no_single_partition_window(spark):
