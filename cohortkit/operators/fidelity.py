@@ -93,7 +93,9 @@ def ks_statistic(spark: SparkSession, receipts: DataFrame, features: list[str] =
         F.sum(F.when(F.col("value").isNotNull(), F.col("cb")).otherwise(0)).alias("n_b"))
     vals = cnt.filter(F.col("value").isNotNull())
     cdf = _prefix_sums(vals, buckets, accuracy)
-    dmax = cdf.join(F.broadcast(totals.select("feature", "n_a", "n_b")), "feature").groupBy("feature").agg(
+    # a cohort without values gives status `missing`; never divide by its zero count
+    both = totals.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)).select("feature", "n_a", "n_b")
+    dmax = cdf.join(F.broadcast(both), "feature").groupBy("feature").agg(
         F.max(F.abs(F.col("cum_a").cast("double") / F.col("n_a") - F.col("cum_b").cast("double") / F.col("n_b")))
         .alias("d_raw"))
     feats = spark.createDataFrame([(f,) for f in features], "feature string")

@@ -218,3 +218,36 @@ def test_first_n_accepted(spark):
     assert (s["target"], s["max_attempts"], s["attempts_used"], s["n_accepted"]) == (4, 12, 5, 4)
     s = V.attempt_summary(p, 30).first()   # fewer than n accepted within 3n -> all attempts used
     assert s["n_accepted"] == 20 and s["attempts_used"] == 30
+
+
+def test_receipts_all_null(spark):
+    """One cohort without any total (missing), one with a single value (not enough points)."""
+    from cohortkit.operators.fidelity import ks_statistic
+    from cohortkit.operators.utility import spend_summary
+    rows = [("Statistical", i, Decimal(i), Decimal(i)) for i in range(1, 6)] + \
+        [("LLM", 3, Decimal(2), None), ("LLM", 4, None, None)]
+    df = spark.createDataFrame(rows, "generator string, num_items int, subtotal decimal(18,2), total_amount decimal(18,2)")
+    ks = {r["feature"]: r["status"] for r in ks_statistic(spark, df).collect()}
+    assert ks == {"num_items": "ok", "subtotal": "not_enough_points", "total_amount": "missing"}
+    sp = {r["generator"]: r["status"] for r in spend_summary(spark, df).collect()}
+    assert sp == {"Statistical": "ok", "LLM": "missing"}
+
+
+def test_receipts_empty_cohort(spark):
+    from cohortkit.operators.utility import spend_summary, utility_flag
+    df = spark.createDataFrame([("Statistical", "c1", 1, Decimal("5.00"))],
+                               "generator string, customer_id string, week_num int, total_amount decimal(18,2)") \
+        .withColumn("receipt_datetime", F.lit(None).cast("timestamp_ntz"))
+    items = spark.createDataFrame([], "generator string, item_name string")
+    sp = {r["generator"]: r["status"] for r in spend_summary(spark, df).collect()}
+    assert sp == {"Statistical": "ok", "LLM": "empty"}
+    fl = {r["generator"]: r["analysis_possible"] for r in utility_flag(spark, df, items).collect()}
+    assert fl == {"Statistical": True, "LLM": False}
+
+
+def test_weekly_guard(spark):
+    from cohortkit.operators.utility import weekly_spend
+    one_cust = [("Statistical", "c1", w, Decimal("1.00")) for w in range(5)]
+    one_week = [("LLM", f"c{i}", 3, Decimal("1.00")) for i in range(5)]
+    df = spark.createDataFrame(one_cust + one_week, "generator string, customer_id string, week_num int, total_amount decimal(18,2)")
+    assert weekly_spend(df).count() == 0
