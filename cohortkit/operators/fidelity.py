@@ -3,9 +3,10 @@
 KS statistic (F1): the two empirical CDFs are compared at every distinct value. The obvious
 form (one window per feature over all distinct values) puts a whole feature into one task, so
 the prefix sums are built in two levels: distinct values are cut into ``buckets`` ranges by
-approximate quantiles, bucket totals (features x buckets rows, a size-bounded broadcast) give
-each range its offset, and the running sum inside a range is a window partitioned by
-(feature, bucket). The result is exact; only the cut points are approximate.
+approximate quantiles (collected once: features x buckets values, then fixed literals), bucket
+totals (features x buckets rows, a size-bounded broadcast) give each range its offset, and the
+running sum inside a range is a window partitioned by (feature, bucket). The result is exact;
+only the cut points are approximate.
 """
 
 from __future__ import annotations
@@ -41,31 +42,56 @@ def ks_pvalue(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * series)))
 
 
-def count_less(value: Column, cuts: Column, n_cuts: int) -> Column:
-    """Number of entries of the sorted array ``cuts`` (length ``n_cuts``) below ``value``.
+def count_less(value: Column, cuts, n_cuts: int | None = None) -> Column:
+    """Number of entries of the sorted ``cuts`` (a Python list, or an array Column of length
+    ``n_cuts``) below ``value``.
 
     A binary search written as a nested CASE: log2(n) comparisons per row inside whole-stage
     codegen, instead of a per-element lambda.
     """
+    if isinstance(cuts, (list, tuple)):
+        get = lambda k: F.lit(cuts[k])
+        n_cuts = len(cuts)
+    else:
+        get = lambda k: F.element_at(cuts, k + 1)
+
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.element_at(cuts, mid + 1) < value, search(mid + 1, hi)).otherwise(search(lo, mid))
+        return F.when(get(mid) < value, search(mid + 1, hi)).otherwise(search(lo, mid))
 
     return search(0, n_cuts)
 
 
+def cut_points(df: DataFrame, group: str, value: str, buckets: int, accuracy: int) -> dict:
+    """Approximate quantile cut points per group, collected once (groups x (buckets-1) values).
+
+    Collecting makes them fixed literals: every branch of the plan, and any recomputation after
+    an executor loss, buckets rows with the same cuts.
+    """
+    if buckets <= 1:
+        return {}
+    qs = [i / buckets for i in range(1, buckets)]
+    rows = df.groupBy(group).agg(F.percentile_approx(value, qs, accuracy).alias("cuts")).collect()
+    return {r[group]: sorted(r["cuts"]) for r in rows if r["cuts"] is not None}
+
+
+def bucket_of(group_col: Column, value: Column, cuts: dict) -> Column:
+    """Bucket index of ``value`` under its group's cut points."""
+    expr = F.lit(0)
+    for g, c in cuts.items():
+        expr = F.when(group_col == F.lit(g), count_less(value, c)).otherwise(expr)
+    return expr
+
+
 def _prefix_sums(vals: DataFrame, buckets: int, accuracy: int) -> DataFrame:
     """Add ``cum_a``/``cum_b`` (counts of values <= value) per feature, distributed."""
     if buckets <= 1:
         w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         return vals.select("feature", "value", F.sum("ca").over(w).alias("cum_a"), F.sum("cb").over(w).alias("cum_b"))
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = vals.groupBy("feature").agg(F.percentile_approx("value", qs, accuracy).alias("cuts"))
-    # cuts: one row per feature holding buckets-1 values -> bounded broadcast
-    vb = vals.join(F.broadcast(cuts), "feature").select(
-        "feature", "value", "ca", "cb", count_less(F.col("value"), F.col("cuts"), len(qs)).alias("bucket"))
+    cuts = cut_points(vals, "feature", "value", buckets, accuracy)
+    vb = vals.select("feature", "value", "ca", "cb", bucket_of(F.col("feature"), F.col("value"), cuts).alias("bucket"))
     bt = vb.groupBy("feature", "bucket").agg(F.sum("ca").alias("ba"), F.sum("cb").alias("bb"))
     wb = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     off = bt.select("feature", "bucket", F.coalesce(F.sum("ba").over(wb), F.lit(0)).alias("off_a"),

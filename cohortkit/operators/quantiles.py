@@ -2,7 +2,7 @@
 
 Counts per distinct (group, value) are aggregated (partial, map-side), then cumulative counts
 in value order are built in two levels like the KS prefix sums: approximate-quantile cut
-points per group (bounded broadcast), bucket offsets (groups x buckets rows) and windows
+points per group (collected once, fixed literals; meant for few groups such as cohorts), bucket offsets (groups x buckets rows) and windows
 partitioned by (group, bucket). The rows holding ranks ``(n+1) div 2`` and ``n div 2 + 1`` give
 the exact interpolated median ``lo + (hi - lo) * 0.5``.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.operators.fidelity import count_less
+from cohortkit.operators.fidelity import bucket_of, cut_points
 from cohortkit.session import materialize
 
 
@@ -20,9 +20,8 @@ def exact_median(df: DataFrame, group: str, value: str, buckets: int = 64, accur
     """``(group, n_values, median)`` over non-null ``value`` (as double)."""
     v = F.col(value).cast("double")
     cnt = materialize(df.filter(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = cnt.groupBy(group).agg(F.percentile_approx("v", qs, accuracy).alias("cuts"))
-    vb = cnt.join(F.broadcast(cuts), group).select(group, "v", "c", count_less(F.col("v"), F.col("cuts"), len(qs)).alias("b"))
+    cuts = cut_points(cnt, group, "v", buckets, accuracy)
+    vb = cnt.select(group, "v", "c", bucket_of(F.col(group), F.col("v"), cuts).alias("b"))
     bt = vb.groupBy(group, "b").agg(F.sum("c").alias("bc"))
     before = Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     off = bt.select(group, "b", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))
