@@ -8,7 +8,7 @@ Cohort: ``LLM`` when ``o_orderkey % 10 = 0`` else ``Statistical`` (uneven cohort
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.scalars import MONEY, cents_to_money, hashed_customer_id, tax_of
@@ -114,11 +114,30 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The clean text is the order as a receipt object, lines ordered by all their columns;
     ``o_orderkey % 20`` selects one damage class of FIXTURES.md §3 (first variant of each).
+    Lines are numbered by a window partitioned by order, each line's JSON is plain string
+    expressions, and the texts are joined per order on the same partitioning.
     """
     lines = _priced_lines(spark, sf_dir)
-    per_order = lines.groupBy("order_key").agg(
-        F.array_sort(F.collect_list(F.struct("item_name", "category", "quantity", "unit_price",
-                                             F.col("declared_total").alias("item_total")))).alias("lines"),
+    order = ["item_name", "category", "quantity", "unit_price", "declared_total"]
+    w = Window.partitionBy("order_key").orderBy(*order)
+    numbered = lines.select("order_key", *order, "item_total", (F.row_number().over(w) - 1).cast("int").alias("pos"))
+    cls = (F.col("order_key") % 20).cast("int")
+    i = F.col("pos")
+    q = (F.when((cls == 5) & (i == 0), F.lit('"two"'))
+         .when(cls == 10, F.element_at(F.array(*[F.lit(v) for v in QTY_VARIANTS]), (i % 4 + 1).cast("int")))
+         .when(cls == 11, F.lit('"2.9"'))
+         .when(cls == 15, F.lit("99"))
+         .when(cls == 17, F.lit('"x"'))
+         .otherwise(F.col("quantity").cast("string")))
+    price = F.when(cls == 15, F.lit("900.00")).otherwise(F.col("unit_price").cast("string"))
+    total = F.when(cls == 12, (F.col("declared_total") + F.lit(0.02).cast("decimal(3,2)")).cast(MONEY).cast("string")) \
+        .otherwise(F.col("declared_total").cast("string"))
+    cat = F.when(cls == 14, F.lit("null")).when((cls == 16) & (i == 0), F.lit(None)).otherwise(_jstr(F.col("category")))
+    line_json = F.concat(F.lit("{"), F.concat_ws(
+        ", ", _pair("item_name", _jstr(F.col("item_name"))), F.when(cat.isNotNull(), _pair("category", cat)),
+        _pair("quantity", q), _pair("unit_price", price), _pair("item_total", total)), F.lit("}"))
+    per_order = numbered.select("order_key", "pos", "item_total", line_json.alias("j")).groupBy("order_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "j"))), lambda x: x["j"]).alias("item_texts"),
         F.sum("item_total").cast(MONEY).alias("subtotal"))
     orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     customer = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
@@ -128,24 +147,7 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = (per_order.join(orders, per_order.order_key == orders.o_orderkey)
          .join(customer, F.col("o_custkey") == F.col("c_custkey"))
          .join(geo, F.col("c_nationkey") == F.col("n_nationkey")))
-    cls = (F.col("order_key") % 20).cast("int")
-
-    def item_json(l, i):
-        q = (F.when((cls == 5) & (i == 0), F.lit('"two"'))
-             .when(cls == 10, F.element_at(F.array(*[F.lit(v) for v in QTY_VARIANTS]), (i % 4 + 1).cast("int")))
-             .when(cls == 11, F.lit('"2.9"'))
-             .when(cls == 15, F.lit("99"))
-             .when(cls == 17, F.lit('"x"'))
-             .otherwise(l["quantity"].cast("string")))
-        price = F.when(cls == 15, F.lit("900.00")).otherwise(l["unit_price"].cast("string"))
-        total = F.when(cls == 12, (l["item_total"] + F.lit(0.02).cast("decimal(3,2)")).cast(MONEY).cast("string")) \
-            .otherwise(l["item_total"].cast("string"))
-        cat = F.when(cls == 14, F.lit("null")).when((cls == 16) & (i == 0), F.lit(None)).otherwise(_jstr(l["category"]))
-        return F.concat(F.lit("{"), F.concat_ws(
-            ", ", _pair("item_name", _jstr(l["item_name"])), F.when(cat.isNotNull(), _pair("category", cat)),
-            _pair("quantity", q), _pair("unit_price", price), _pair("item_total", total)), F.lit("}"))
-
-    item_texts = F.transform("lines", item_json)
+    item_texts = F.col("item_texts")
     items = (F.when(cls == 4, F.lit("[]"))
              .when(cls == 7, F.element_at(item_texts, 1))
              .otherwise(F.concat(F.lit("["), F.array_join(item_texts, ", "), F.lit("]"))))
