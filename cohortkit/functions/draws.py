@@ -60,27 +60,11 @@ def normal_int(h1: Column, h2: Column, mean: float, sd: float, floor: int) -> Co
 
 
 def sample_without_replacement(values: Column, k: Column, seed, *key_parts) -> Column:
-    """First ``k`` of ``values`` ordered by a per-key, per-value hash."""
+    """First ``k`` of ``values`` ordered by a per-key, per-value hash (R7, prompt examples)."""
     keyed = F.transform(values, lambda v: F.struct(key_md5(seed, *key_parts, v).alias("h"), v.alias("v")))
     return F.slice(F.transform(F.array_sort(keyed), lambda s: s["v"]), 1, k)
 
 
-def weighted_index(cum_weights: Column, h: Column) -> Column:
-    """0-based index drawn with replacement from cumulative integer weights.
-
-    ``r = h mod total``; the drawn index is the number of cumulative weights <= r, i.e. the
-    first position whose cumulative weight exceeds r.
-    """
-    total = F.element_at(cum_weights, -1)
-    r = h % total
-    return F.size(F.filter(cum_weights, lambda c: c <= r))
-
-
-def cumulative(weights: Column) -> Column:
-    """Running sums of an integer array."""
-    return F.transform(weights, lambda w, i: F.aggregate(F.slice(weights, 1, i + 1), F.lit(0), lambda a, x: a + x))
-
-
 def surrogate_id(prefix: str, seed, parts: Iterable) -> Column:
     """Repeatable surrogate id ``prefix + md5(seed:part:...)``."""
     return F.concat(F.lit(prefix), F.md5(F.concat_ws(":", F.lit(str(seed)), *[_part(p) for p in parts])))

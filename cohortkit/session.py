@@ -33,7 +33,9 @@ def get_spark(master: str | None = None, app: str = "cohortkit", shuffle_partiti
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        builder = builder.config("spark.driver.memory", os.environ.get("COHORTKIT_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("COHORTKIT_DRIVER_MEMORY", _local_heap()))
+        # checkpoint files of collected DataFrames are removed, so scratch space does not grow
+        builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         if shuffle_partitions:
             builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -43,6 +45,15 @@ def get_spark(master: str | None = None, app: str = "cohortkit", shuffle_partiti
     return spark
 
 
+def _local_heap() -> str:
+    """Driver heap for a local session: 60 % of physical memory, at most 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply required settings and fill scale defaults that the cluster left unset."""
     for k, v in REQUIRED_CONF.items():
