@@ -103,9 +103,17 @@ def _prefix_sums(vals: DataFrame, buckets: int, accuracy: int) -> DataFrame:
                     (F.col("off_b") + F.sum("cb").over(w)).alias("cum_b"))
 
 
+# Largest number of distinct values one feature may hold in a single-task window.
+WINDOW_MAX_DISTINCT = 2_000_000
+
+
 def ks_statistic(spark: SparkSession, receipts: DataFrame, features: list[str] = K.FIDELITY_FEATURES,
-                 a: str = A, b: str = B, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
-    """Two-sample Kolmogorov–Smirnov statistic, p-value, verdict and status per feature."""
+                 a: str = A, b: str = B, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+    """Two-sample Kolmogorov–Smirnov statistic, p-value, verdict and status per feature.
+
+    ``buckets=None`` chooses by size: a plain window per feature while each feature has at most
+    ``WINDOW_MAX_DISTINCT`` distinct values, else the two-level prefix sums with 64 buckets.
+    """
     long = unpivot_features(receipts, features)
     cnt = long.groupBy("feature", "value").agg(
         F.sum(F.when(F.col("generator") == a, 1).otherwise(0)).cast("bigint").alias("ca"),
@@ -118,6 +126,9 @@ def ks_statistic(spark: SparkSession, receipts: DataFrame, features: list[str] =
         F.sum(F.when(F.col("value").isNotNull(), F.col("ca")).otherwise(0)).alias("n_a"),
         F.sum(F.when(F.col("value").isNotNull(), F.col("cb")).otherwise(0)).alias("n_b"))
     vals = cnt.filter(F.col("value").isNotNull())
+    if buckets is None:
+        sizes = [r["d"] for r in vals.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()]
+        buckets = 1 if max(sizes, default=0) <= WINDOW_MAX_DISTINCT else 64
     cdf = _prefix_sums(vals, buckets, accuracy)
     # a cohort without values gives status `missing`; never divide by its zero count
     both = totals.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)).select("feature", "n_a", "n_b")

@@ -16,10 +16,25 @@ from cohortkit.operators.fidelity import bucket_of, cut_points
 from cohortkit.session import materialize
 
 
-def exact_median(df: DataFrame, group: str, value: str, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
-    """``(group, n_values, median)`` over non-null ``value`` (as double)."""
+# Largest number of distinct values one group may hold in a single task's buffer.
+IN_GROUP_MAX_DISTINCT = 2_000_000
+
+
+def exact_median(df: DataFrame, group: str, value: str, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+    """``(group, n_values, median)`` over non-null ``value`` (as double).
+
+    ``buckets=None`` chooses by size: when every group has at most ``IN_GROUP_MAX_DISTINCT``
+    distinct values, one weighted ``percentile`` per group (its buffer holds one entry per
+    distinct value); beyond that, the two-level distributed form with 64 buckets.
+    """
     v = F.col(value).cast("double")
     cnt = materialize(df.filter(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    if buckets is None:
+        sizes = [r["d"] for r in cnt.groupBy(group).agg(F.count(F.lit(1)).alias("d")).collect()]
+        buckets = 1 if max(sizes, default=0) <= IN_GROUP_MAX_DISTINCT else 64
+    if buckets <= 1:
+        return cnt.groupBy(group).agg(F.sum("c").alias("n_values"),
+                                      F.percentile("v", 0.5, F.col("c")).alias("median"))
     cuts = cut_points(cnt, group, "v", buckets, accuracy)
     vb = cnt.select(group, "v", "c", bucket_of(F.col(group), F.col("v"), cuts).alias("b"))
     bt = vb.groupBy(group, "b").agg(F.sum("c").alias("bc"))

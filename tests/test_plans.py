@@ -23,12 +23,13 @@ def test_receipts_one_exchange_before_fanout(spark):
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(cust_key" in plan
 
 
-def test_ks_no_single_partition_window(spark):
+def test_ks_large_path_windows_by_bucket(spark):
     from cohortkit.operators.fidelity import ks_statistic
     from cohortkit.sources.fixtures import receipts_fx
-    plan = _plan(ks_statistic(spark, receipts_fx(spark, SF_SMALL)))
-    # the running sums are windows partitioned by (feature, bucket), never a whole feature alone
-    assert "windowspecdefinition(feature#" in plan and "SinglePartition" not in plan.split("Window")[0]
+    plan = _plan(ks_statistic(spark, receipts_fx(spark, SF_SMALL), buckets=64))
+    # running sums are windows partitioned by (feature, bucket), never by a whole feature alone
+    assert "Exchange hashpartitioning(feature#" in plan and ", bucket#" in plan
+    assert "SinglePartition" not in plan
 
 
 def test_scan_prunes_columns(spark):
