@@ -98,3 +98,54 @@ def q_generation_yield(spark, sf_dir):
     n = _n(spark, sf_dir)
     llm = V.first_n_accepted(_parsed(spark, sf_dir), n)
     return generation_yield(spark, stat, customers.agg(F.count(F.lit(1)) * K.N_WEEKS).scalar(), llm, n)
+
+
+# ---- the original run's comparison: generated cohort vs validated first-n cohort -----------------
+
+from cohortkit.plans.q_fidelity import KS_CORE  # noqa: E402
+from cohortkit.plans.sqlviews import view  # noqa: E402
+
+view("e2e_receipts", f"""
+SELECT {COHORT_COLS} FROM gen_receipts_v
+UNION ALL
+SELECT {COHORT_COLS} FROM ({FIRST_N_SQL}) f""", ["gen_receipts_v", "resp_receipts"])
+
+view("e2e_features", """
+SELECT generator, 'num_items' AS feature, cast(num_items AS DECIMAL(18,2)) AS value FROM e2e_receipts
+UNION ALL SELECT generator, 'subtotal', cast(subtotal AS DECIMAL(18,2)) FROM e2e_receipts
+UNION ALL SELECT generator, 'total_amount', cast(total_amount AS DECIMAL(18,2)) FROM e2e_receipts
+""", ["e2e_receipts"])
+
+
+def _e2e(spark, sf_dir):
+    from cohortkit.session import materialize
+    return materialize(q_cohort_union(spark, sf_dir))
+
+
+@register("cohort_ks_statistic", with_views(KS_CORE.replace("features_fx", "e2e_features") + """
+SELECT feature, n_a, n_b, round(CASE WHEN status = 'ok' THEN d END, 6) AS d, round(p, 6) AS p_value,
+       CASE WHEN status = 'ok' THEN CASE WHEN p < 0.05 THEN 'Distributions differ significantly'
+                                         ELSE 'Distributions similar' END END AS verdict,
+       status, 'asymptotic' AS method
+FROM ksp""", "e2e_features"))
+def q_cohort_ks_statistic(spark, sf_dir):
+    """KS of the generated statistical cohort against the validated LLM cohort (F1–F3 on the
+    original run's two cohorts)."""
+    from cohortkit.operators.fidelity import ks_statistic
+    return ks_statistic(spark, _e2e(spark, sf_dir))
+
+
+@register("cohort_spend_summary", with_views("""
+SELECT g.generator, coalesce(s.n_receipts, 0) AS n_receipts, coalesce(s.n_values, 0) AS n_values,
+       round(s.avg_total, 6) AS avg_total, round(s.median_total, 6) AS median_total,
+       CASE WHEN coalesce(s.n_receipts, 0) = 0 THEN 'empty'
+            WHEN coalesce(s.n_values, 0) = 0 THEN 'missing' ELSE 'ok' END AS status
+FROM (VALUES ('Statistical'), ('LLM')) AS g(generator)
+LEFT JOIN (SELECT generator, count(*) AS n_receipts, count(total_amount) AS n_values,
+                  cast(sum(total_amount) AS DOUBLE) / count(total_amount) AS avg_total,
+                  median(cast(total_amount AS DOUBLE)) AS median_total
+           FROM e2e_receipts GROUP BY generator) s ON s.generator = g.generator""", "e2e_receipts"))
+def q_cohort_spend_summary(spark, sf_dir):
+    """Mean and median receipt total of the two generated cohorts (A2 on the original run's cohorts)."""
+    from cohortkit.operators.utility import spend_summary
+    return spend_summary(spark, _e2e(spark, sf_dir))
