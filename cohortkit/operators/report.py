@@ -30,18 +30,21 @@ def cohort_counts(spark: SparkSession, receipts: DataFrame, items: DataFrame) ->
 def header_line_reconcile(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Headers with and without lines, and lines without a header, per cohort.
 
-    Lines are counted per receipt before the join, so the join sees one row per header.
+    Lines are counted per receipt first (partial aggregation), then one full outer join on
+    ``receipt_id`` answers all three questions: one shuffle of each side.
     """
-    per_receipt = items.groupBy("receipt_id").agg(F.count(F.lit(1)).alias("n"))
-    h = headers.join(per_receipt, "receipt_id", "left").groupBy("generator").agg(
-        F.count(F.lit(1)).alias("n_headers"), F.count("n").alias("n_headers_with_lines"),
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_lines"))
-    orphans = items.join(headers.select("receipt_id"), "receipt_id", "left_anti") \
-        .groupBy("generator").agg(F.count(F.lit(1)).alias("n_orphan_lines"))
-    return h.join(orphans, "generator", "left").select(
+    per_receipt = items.groupBy("receipt_id", "generator").agg(F.count(F.lit(1)).alias("n"))
+    h = headers.select("receipt_id", F.col("generator").alias("h_gen"), F.lit(1).alias("h"))
+    j = h.join(per_receipt, "receipt_id", "full_outer")
+    g = j.groupBy(F.coalesce("h_gen", "generator").alias("generator")).agg(
+        F.count("h").alias("n_headers"),
+        F.count(F.when(F.col("h").isNotNull(), F.col("n"))).alias("n_headers_with_lines"),
+        F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("n_orphan_lines"))
+    return g.filter(F.col("n_headers") > 0).select(
         "generator", "n_headers", "n_headers_with_lines",
         (F.col("n_headers") - F.col("n_headers_with_lines")).alias("n_headers_without_lines"),
-        "n_lines", F.coalesce("n_orphan_lines", F.lit(0)).alias("n_orphan_lines"))
+        "n_lines", "n_orphan_lines")
 
 
 def generation_yield(spark: SparkSession, stat_receipts: DataFrame, stat_target, llm_receipts: DataFrame,
@@ -93,8 +96,9 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
     The cohort frames are read by every section, so they are materialized once first.
     """
     from cohortkit import constants as K
+    from cohortkit.operators.utility import item_stats
     from cohortkit.session import materialize
-    receipts, items = materialize(receipts), materialize(items)
+    receipts, items = materialize(receipts), materialize(item_stats(items))
     from cohortkit.operators import fidelity as FD
     from cohortkit.operators import utility as U
     ks = FD.ks_statistic(spark, receipts)
@@ -115,8 +119,9 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
 def utility_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Spend, weekly spend, popular items and categories, weekday trend, ran-flag (V2)."""
     from cohortkit import constants as K
+    from cohortkit.operators.utility import item_stats
     from cohortkit.session import materialize
-    receipts, items = materialize(receipts), materialize(items)
+    receipts, items = materialize(receipts), materialize(item_stats(items))
     from cohortkit.operators import utility as U
     sp = U.spend_summary(spark, receipts)
     aw = U.avg_weekly_spend_summary(receipts)

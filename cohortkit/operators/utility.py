@@ -92,10 +92,24 @@ def avg_weekly_spend_summary(receipts: DataFrame, median: str = "distributed", a
         stat6(F.col("median")).alias("median_avg_weekly"))
 
 
+WEIGHT = "_lines"
+
+
+def line_weight(items: DataFrame):
+    """Row weight of an items frame: 1 per line, or the ``_lines`` count of a pre-aggregated one."""
+    return F.col(WEIGHT) if WEIGHT in items.columns else F.lit(1)
+
+
+def item_stats(items: DataFrame) -> DataFrame:
+    """Items pre-aggregated to (cohort, item, category) with their line count: everything the
+    item metrics read, one pass over the lines."""
+    return items.groupBy("generator", "item_name", "category").agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
 def value_counts(items: DataFrame, column: str) -> DataFrame:
-    """Frequency of each non-null value per cohort."""
+    """Frequency of each non-null value per cohort (A7, A8). Accepts raw or pre-aggregated items."""
     return (items.filter(F.col(column).isNotNull())
-            .groupBy("generator", column).agg(F.count(F.lit(1)).alias("cnt")))
+            .groupBy("generator", column).agg(F.sum(line_weight(items)).cast("bigint").alias("cnt")))
 
 
 def top_n(counts: DataFrame, column: str, n: int, cohorts=("Statistical", "LLM")) -> DataFrame:
@@ -140,7 +154,7 @@ def utility_flag(spark: SparkSession, receipts: DataFrame, items: DataFrame) ->
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_totals"),
         F.count("receipt_datetime").alias("n_dates"))
-    i = items.groupBy("generator").agg(F.count(F.lit(1)).alias("n_items"))
+    i = items.groupBy("generator").agg(F.sum(line_weight(items)).alias("n_items"))
     wk = _weekly_input(receipts).groupBy("generator").agg(F.count(F.lit(1)).alias("n_weekly"))
     out = cohort_dim(spark).join(r, "generator", "left").join(i, "generator", "left").join(wk, "generator", "left")
     ok = (F.coalesce("n_receipts", F.lit(0)) > 0) & (
