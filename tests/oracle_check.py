@@ -54,6 +54,18 @@ def close(a, b):
     return a == b
 
 
+def spark_type_name(t) -> str:
+    """DuckDB spelling of a Spark type (for schema comparison)."""
+    from pyspark.sql import types as T
+    if isinstance(t, T.ArrayType):
+        return spark_type_name(t.elementType) + "[]"
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    return {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+            T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.FloatType: "FLOAT", T.ShortType: "SMALLINT",
+            T.DateType: "DATE"}.get(type(t), t.simpleString())
+
+
 def duck(sf_dir):
     import duckdb
 
@@ -80,6 +92,11 @@ def check(spark, con, name, fn, sql, sf_dir, verbose=True):
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"COLUMNS {sorted(s_cols)} vs {sorted(d_cols)}"
         return res
+    s_types = {f.name: spark_type_name(f.dataType) for f in df.schema.fields}
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+    diff = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+    if diff:
+        res["types"] = diff
     a, b = rows_sorted(s_cols, s_rows), rows_sorted(d_cols, d_rows)
     if a == b:
         res["status"] = "match"
