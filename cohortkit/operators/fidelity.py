@@ -166,7 +166,8 @@ def density_histogram(long: DataFrame, bins: int = 10) -> DataFrame:
 
     ``long`` is ``(generator, feature, value double)``. The last bin is closed on the right.
     """
-    long = long.select("generator", "feature", F.col("value").cast("double").alias("value"))
+    # read by the stats, the binning and (through the stats) the grid: materialize once
+    long = materialize(long.select("generator", "feature", F.col("value").cast("double").alias("value")))
     st = _bin_stats(long).withColumn(
         "width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0)))
     # st: features x cohorts rows -> bounded broadcast
@@ -192,7 +193,7 @@ def kde_curve(long: DataFrame, grid: int = 200, cut: float = 3.0, bins: int = 10
     ``max + cut·h``. Values are first binned into ``bins`` equal-width bins (weights = counts,
     centre = bin midpoint), so the cost is bins x grid per group whatever the row count.
     """
-    long = long.select("generator", "feature", F.col("value").cast("double").alias("value"))
+    long = materialize(long.select("generator", "feature", F.col("value").cast("double").alias("value")))
     st = _bin_stats(long).filter((F.col("n") >= 2) & (F.col("sd") > 0)).select(
         "feature", "generator", "n", "lo", "hi",
         (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
@@ -247,7 +248,7 @@ def category_compare(items: DataFrame, column: str = "category", a: str = A, b:
     Conditional sums grouped by the value give the full outer join in one aggregate; cohort
     totals are scalar subqueries.
     """
-    vc = value_counts(items, column)
+    vc = materialize(value_counts(items, column))   # distinct values; read three times
     wide = vc.groupBy(column).agg(
         F.sum(F.when(F.col("generator") == a, F.col("cnt")).otherwise(0)).alias("cnt_a"),
         F.sum(F.when(F.col("generator") == b, F.col("cnt")).otherwise(0)).alias("cnt_b"))

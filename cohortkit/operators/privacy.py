@@ -22,6 +22,18 @@ def extremes(spark: SparkSession, receipts: DataFrame) -> DataFrame:
         "generator", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"), "max_total_amount", "max_num_items")
 
 
+def _distinct_counts(receipts: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones:
+    one aggregate over the receipts, unpivoted with ``stack``."""
+    cols = [c for c in receipts.columns if c not in EXCLUDED]
+    dc = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
+    agg = receipts.groupBy("generator").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[dc(c).alias(f"d_{c}") for c in cols])
+    stack = "stack({n}, {pairs}) as (column_name, n_distinct)".format(
+        n=len(cols), pairs=", ".join(f"'{c}', d_{c}" for c in cols))
+    return agg.selectExpr("generator", "n_rows", stack)
+
+
 def uniqueness(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT,
                approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """Distinct count and ratio per cohort and column; flag ratio > 0.95 and > 10 distinct
@@ -30,13 +42,7 @@ def uniqueness(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct:
     Exact counts come from one aggregate (Catalyst expands the distinct columns once);
     ``approx=True`` swaps in HyperLogLog for a single pass with fixed memory.
     """
-    cols = [c for c in receipts.columns if c not in EXCLUDED]
-    dc = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
-    agg = receipts.groupBy("generator").agg(
-        F.count(F.lit(1)).alias("n_rows"), *[dc(c).alias(f"d_{c}") for c in cols])
-    stack = "stack({n}, {pairs}) as (column_name, n_distinct)".format(
-        n=len(cols), pairs=", ".join(f"'{c}', d_{c}" for c in cols))
-    long = agg.selectExpr("generator", "n_rows", stack).filter(F.col("n_rows") > 1)
+    long = _distinct_counts(receipts, approx, rsd).filter(F.col("n_rows") > 1)
     r = F.col("n_distinct") / F.col("n_rows")
     return long.select(
         "generator", "column_name", "n_rows", F.col("n_distinct").cast("bigint").alias("n_distinct"),
@@ -45,10 +51,17 @@ def uniqueness(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct:
 
 
 def uniqueness_verdict(spark: SparkSession, receipts: DataFrame) -> DataFrame:
-    """Warning with the flagged columns, or a clean verdict, per cohort (V4)."""
-    u = uniqueness(receipts).filter("flagged").groupBy("generator") \
-        .agg(F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
-    present = receipts.groupBy("generator").agg(F.count(F.lit(1)).alias("n_receipts"))
+    """Warning with the flagged columns, or a clean verdict, per cohort (V4).
+
+    One aggregate over the receipts (cohorts x columns rows, materialized) feeds both the
+    cohort list and the flags.
+    """
+    from cohortkit.session import materialize
+    d = materialize(_distinct_counts(receipts))
+    r = F.col("n_distinct") / F.col("n_rows")
+    flag = (F.col("n_rows") > 1) & (r > F.lit(K.UNIQUE_RATIO)) & (F.col("n_distinct") > F.lit(K.UNIQUE_MIN_DISTINCT))
+    u = d.filter(flag).groupBy("generator").agg(F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
+    present = d.select("generator").distinct()
     out = present.join(u, "generator", "left")
     cols = F.coalesce("flagged_columns", F.array().cast("array<string>"))
     return out.select("generator", cols.alias("flagged_columns"),

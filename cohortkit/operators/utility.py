@@ -27,6 +27,8 @@ def _median(df: DataFrame, value: str, method: str, accuracy: int) -> DataFrame:
 def spend_summary(spark: SparkSession, receipts: DataFrame, median: str = "distributed",
                   accuracy: int = 10000) -> DataFrame:
     """Mean and median receipt total per cohort (A2) with availability status."""
+    from cohortkit.session import materialize
+    receipts = materialize(receipts.select("generator", "total_amount"))
     agg = receipts.groupBy("generator").agg(
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_values"),
@@ -50,7 +52,10 @@ def _weekly_input(receipts: DataFrame) -> DataFrame:
 
     ``nunique() > 1`` is tested as ``min <> max``: one pass, no distinct aggregation.
     """
-    f = receipts.dropna(subset=["customer_id", "week_num", "total_amount"])
+    from cohortkit.session import materialize
+    # read twice (guard and groups): materialize the four columns once
+    f = materialize(receipts.select("generator", "customer_id", "week_num", "total_amount")
+                    .dropna(subset=["customer_id", "week_num", "total_amount"]))
     guard = (f.groupBy("generator")
              .agg(F.min("customer_id").alias("c0"), F.max("customer_id").alias("c1"),
                   F.min("week_num").alias("w0"), F.max("week_num").alias("w1"))
@@ -137,9 +142,11 @@ def top_list(top: DataFrame, column: str) -> DataFrame:
 
 def day_of_week(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Receipts per weekday per cohort, all seven days in Monday-first order, zero-filled."""
+    from cohortkit.session import materialize
     valid = receipts.filter(F.col("receipt_datetime").isNotNull())
-    counts = valid.groupBy("generator", weekday_name(F.col("receipt_datetime")).alias("day_of_week")) \
-        .agg(F.count(F.lit(1)).alias("n_receipts"))
+    # at most cohorts x 7 rows, read twice
+    counts = materialize(valid.groupBy("generator", weekday_name(F.col("receipt_datetime")).alias("day_of_week"))
+                         .agg(F.count(F.lit(1)).alias("n_receipts")))
     days = F.array(*[F.lit(d) for d in K.WEEKDAYS])
     # every cohort with a valid date gets the seven fixed weekdays (a literal array, no join)
     grid = counts.select("generator").distinct().select(
@@ -150,6 +157,8 @@ def day_of_week(spark: SparkSession, receipts: DataFrame) -> DataFrame:
 
 def utility_flag(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Whether at least one utility analysis ran per cohort."""
+    from cohortkit.session import materialize
+    receipts = materialize(receipts.select("generator", "customer_id", "week_num", "total_amount", "receipt_datetime"))
     r = receipts.groupBy("generator").agg(
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_totals"),
