@@ -194,8 +194,9 @@ def attempt_summary(parsed: DataFrame, n) -> DataFrame:
     width = F.greatest(budget.cast("double") / 256, F.lit(1.0))
     firsts = ranked(acc, "attempt", range_bucket(F.col("attempt") - 1, 0, width, 256), "accept_rank") \
         .filter(F.col("accept_rank") <= n)
-    stats = firsts.agg(F.count(F.lit(1)).alias("n_accepted"),
-                       F.max(F.when(F.col("accept_rank") == n, F.col("attempt"))).alias("nth"))
+    # one row, read by two scalar subqueries: computed once
+    stats = materialize(firsts.agg(F.count(F.lit(1)).alias("n_accepted"),
+                                   F.max(F.when(F.col("accept_rank") == n, F.col("attempt"))).alias("nth")))
     nth = stats.select("nth").scalar()
     stop = F.coalesce(nth, budget)
     used = out.filter(F.col("attempt") <= stop).agg(F.count(F.lit(1)).alias("attempts_used"))
