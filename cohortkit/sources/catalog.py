@@ -31,13 +31,18 @@ def categories() -> list[str]:
     return seen
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def catalog_array() -> Column:
-    """Literal ``array<struct<item_idx, item_name, base_cents, category>>`` in catalog order."""
-    return F.array(*[
-        F.struct(F.lit(i).alias("item_idx"), F.lit(name).alias("item_name"),
-                 F.lit(int(Decimal(price) * 100)).cast("bigint").alias("base_cents"), F.lit(cat).alias("category"))
-        for i, (cat, name, price) in enumerate(K.CATALOG)
-    ])
+    """Literal ``array<struct<item_idx, item_name, base_cents, category>>`` in catalog order
+    (one SQL expression)."""
+    items = ",".join(
+        f"named_struct('item_idx', {i}, 'item_name', {_sql_str(name)}, "
+        f"'base_cents', cast({int(Decimal(price) * 100)} as bigint), 'category', {_sql_str(cat)})"
+        for i, (cat, name, price) in enumerate(K.CATALOG))
+    return F.expr(f"array({items})")
 
 
 def catalog_categories_array() -> Column:
