@@ -251,3 +251,21 @@ def test_weekly_guard(spark):
     one_week = [("LLM", f"c{i}", 3, Decimal("1.00")) for i in range(5)]
     df = spark.createDataFrame(one_cust + one_week, "generator string, customer_id string, week_num int, total_amount decimal(18,2)")
     assert weekly_spend(df).count() == 0
+
+
+def test_latest_dataset(spark):
+    from cohortkit.session import scratch_path
+    from cohortkit.sources import datasets as DS
+    base = scratch_path(spark, "ds-test")
+    with pytest.raises(FileNotFoundError):
+        DS.latest_dataset(spark, base)
+    old = spark.createDataFrame([(1, "old")], "sample_id long, v string")
+    new = spark.createDataFrame([(2, "new"), (3, "new")], "sample_id long, v string")
+    DS.write_dataset(old, base, "20250101_000000")
+    import time
+    time.sleep(1.1)
+    DS.write_dataset(new, base, "20250102_000000")
+    got = DS.latest_dataset(spark, base, "sample_id long, v string")
+    assert sorted(r["v"] for r in got.collect()) == ["new", "new"]
+    with pytest.raises(Exception):
+        DS.write_dataset(new, base, "20250102_000000")   # an existing dataset is never overwritten
