@@ -28,11 +28,19 @@ def latest_dataset(spark: SparkSession, base: str, schema: str | None = None, pr
     Newest by file modification time, ties by name; raises when there is none. The listing
     is a distributed scan of file metadata (content is not read).
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
-             .load(f"{base.rstrip('/')}/{prefix}*")
-             .select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), "modificationTime"))
-    newest = files.groupBy("folder").agg(F.max("modificationTime").alias("mtime")) \
-        .agg(F.max_by("folder", F.struct("mtime", "folder")).alias("folder")).first()
+    from pyspark.errors import AnalysisException
+
+    try:
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
+                 .load(f"{base.rstrip('/')}/{prefix}*")
+                 .select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), "modificationTime"))
+        newest = files.groupBy("folder").agg(F.max("modificationTime").alias("mtime")) \
+            .agg(F.max_by("folder", F.struct("mtime", "folder")).alias("folder")).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            newest = None
+        else:
+            raise
     if newest is None or newest["folder"] is None:
         raise FileNotFoundError(f"no {prefix}* dataset under {base}")
     reader = spark.read.schema(schema) if schema else spark.read
