@@ -161,21 +161,55 @@ def _bin_stats(long: DataFrame) -> DataFrame:
         F.stddev_samp("value").alias("sd"))
 
 
-def density_histogram(long: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width density histogram per (feature, cohort) over [min, max].
-
-    ``long`` is ``(generator, feature, value double)``. The last bin is closed on the right.
+def auto_bins(n: Column, lo: Column, hi: Column, q25: Column, q75: Column, integral: Column) -> Column:
+    """Bin count of the ``"auto"`` rule of numpy-style histograms, which the plotting library
+    applies per cohort: width = min(max(FD, sqrt/2), Sturges) with FD = 2·IQR·n^(-1/3),
+    sqrt = range/√n, Sturges = range/(log2 n + 1); at least 1 for integer data; one bin for a
+    constant sample."""
+    rng = hi - lo
+    nd = n.cast("double")
+    sturges = rng / (F.log2(nd) + F.lit(1.0))
+    fd = F.lit(2.0) * (q75 - q25) * F.pow(nd, F.lit(-1.0 / 3.0))
+    half_sqrt = rng / F.sqrt(nd) / F.lit(2.0)
+    width = F.least(F.greatest(fd, half_sqrt), sturges)
+    width = F.when(integral & (width < 1), F.lit(1.0)).otherwise(width)
+    return F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1)).cast("int")
+
+
+INTEGER_FEATURES = ("num_items",)
+
+
+def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEATURES) -> DataFrame:
+    """Equal-width density histogram per (feature, cohort) over [min, max].
+
+    ``long`` is ``(generator, feature, value double)``. ``bins`` is an int or ``"auto"`` (the
+    bin count is chosen per cohort from its size and IQR, as the original's plots do;
+    ``integer_features`` get bins at least 1 wide). The last bin is closed on the right; a
+    constant sample gets one bin ``[v-0.5, v+0.5]``; the quartiles are exact.
     """
-    # read by the stats, the binning and (through the stats) the grid: materialize once
+    from cohortkit.operators.quantiles import exact_quantiles
+    # read by the stats, the quartiles, the binning and (through the stats) the grid
     long = materialize(long.select("generator", "feature", F.col("value").cast("double").alias("value")))
-    st = _bin_stats(long).withColumn(
-        "width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0)))
+    st = _bin_stats(long)
+    if bins == "auto":
+        qs = exact_quantiles(long, ["feature", "generator"], "value", [0.25, 0.75])
+        st = st.join(qs.drop("n_values"), ["feature", "generator"])
+        integral = F.col("feature").isin(*integer_features) if integer_features else F.lit(False)
+        nb = auto_bins(F.col("n"), F.col("lo"), F.col("hi"), F.col("q0"), F.col("q1"), integral)
+    else:
+        nb = F.lit(int(bins))
+    flat = F.col("hi") <= F.col("lo")
+    st = st.withColumn("nbins", nb).withColumn(
+        "width", F.when(flat, F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / F.col("nbins"))) \
+        .withColumn("lo", F.when(flat, F.col("lo") - F.lit(0.5)).otherwise(F.col("lo")))
+    st = st.select("feature", "generator", "n", "lo", "width", "nbins")
     # st: features x cohorts rows -> bounded broadcast
     j = long.filter(F.col("value").isNotNull()).join(F.broadcast(st), ["feature", "generator"])
     binned = j.select("feature", "generator", F.least(
-        F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin"))
+        F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("nbins") - 1).cast("int").alias("bin"))
     counts = binned.groupBy("feature", "generator", "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    grid = st.select("feature", "generator", "n", "lo", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = st.select("feature", "generator", "n", "lo", "width",
+                     F.explode(F.sequence(F.lit(0), F.col("nbins") - 1)).alias("bin"))
     out = grid.join(counts, ["feature", "generator", "bin"], "left")
     cnt = F.coalesce("cnt", F.lit(0))
     return out.select(

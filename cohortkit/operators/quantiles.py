@@ -50,3 +50,18 @@ def exact_median(df: DataFrame, group: str, value: str, buckets: int | None = No
         F.max(F.when(holds(k1), F.col("v"))).alias("lo"), F.max(F.when(holds(k2), F.col("v"))).alias("hi"))
     return mids.select(group, F.col("n").alias("n_values"),
                        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(0.5)).alias("median"))
+
+
+def exact_quantiles(df: DataFrame, group, value: str, probs: list[float]) -> DataFrame:
+    """``(group..., n_values, q0, q1, ...)``: exact linearly interpolated quantiles per group.
+
+    ``group`` is a column name or a list of names. Uses one weighted ``percentile`` over the
+    counts per distinct value (the in-group buffer holds one entry per distinct value); meant
+    for groups below ``IN_GROUP_MAX_DISTINCT`` distinct values, like the median's first path.
+    """
+    keys = [group] if isinstance(group, str) else list(group)
+    v = F.col(value).cast("double")
+    cnt = df.filter(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    q = F.percentile("v", F.array(*[F.lit(p) for p in probs]), F.col("c"))
+    out = cnt.groupBy(*keys).agg(F.sum("c").alias("n_values"), q.alias("_q"))
+    return out.select(*keys, "n_values", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])

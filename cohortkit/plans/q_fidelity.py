@@ -55,17 +55,25 @@ def q_ks_pvalue(spark, sf_dir):
         "feature", "p_value", (F.col("verdict") == K.KS_DIFFER).alias("significant"))
 
 
-def _hist_sql(long_sql: str, bins: int) -> str:
+def _hist_sql(long_sql: str) -> str:
+    """Histogram with the "auto" bin rule per (feature, cohort), restated in SQL."""
     return f"""
 WITH long AS ({long_sql}),
-st AS (SELECT feature, generator, count(*) AS n, min(value) AS lo,
-              CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) / {bins} ELSE CAST(1 AS DOUBLE) END AS width
-       FROM long WHERE value IS NOT NULL GROUP BY feature, generator),
-c AS (SELECT l.feature, l.generator, cast(least(floor((l.value - st.lo) / st.width), {bins - 1}) AS INTEGER) AS bin,
+st0 AS (SELECT feature, generator, count(*) AS n, min(value) AS lo, max(value) AS hi,
+               quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75
+        FROM long WHERE value IS NOT NULL GROUP BY feature, generator),
+st1 AS (SELECT *, least(greatest(2.0 * (q75 - q25) * pow(cast(n AS DOUBLE), -1.0 / 3.0),
+                                 (hi - lo) / sqrt(cast(n AS DOUBLE)) / 2.0),
+                        (hi - lo) / (log2(cast(n AS DOUBLE)) + 1.0)) AS w0 FROM st0),
+st2 AS (SELECT *, CASE WHEN feature = 'num_items' AND w0 < 1 THEN CAST(1 AS DOUBLE) ELSE w0 END AS w FROM st1),
+st AS (SELECT feature, generator, n, CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END AS lo, nbins,
+              CASE WHEN hi > lo THEN (hi - lo) / nbins ELSE CAST(1 AS DOUBLE) END AS width
+       FROM (SELECT *, cast(CASE WHEN hi > lo THEN ceil((hi - lo) / w) ELSE 1 END AS INTEGER) AS nbins FROM st2) x),
+c AS (SELECT l.feature, l.generator, cast(least(floor((l.value - st.lo) / st.width), st.nbins - 1) AS INTEGER) AS bin,
              count(*) AS cnt
       FROM long l JOIN st ON st.feature = l.feature AND st.generator = l.generator
       WHERE l.value IS NOT NULL GROUP BY ALL),
-g AS (SELECT feature, generator, n, lo, width, cast(unnest(range(0, {bins})) AS INTEGER) AS bin FROM st)
+g AS (SELECT feature, generator, n, lo, width, cast(unnest(range(0, nbins)) AS INTEGER) AS bin FROM st)
 SELECT g.feature, g.generator, g.bin, round(g.lo + g.bin * g.width, 6) AS bin_lo,
        round(g.lo + (g.bin + 1) * g.width, 6) AS bin_hi, coalesce(c.cnt, 0) AS cnt,
        round(coalesce(c.cnt, 0) / (g.n * g.width), 6) AS density
@@ -74,16 +82,16 @@ FROM g LEFT JOIN c ON c.feature = g.feature AND c.generator = g.generator AND c.
 
 
 @register("density_histogram", with_views(
-    _hist_sql("SELECT generator, feature, cast(value AS DOUBLE) AS value FROM features_fx", 10), "features_fx"))
+    _hist_sql("SELECT generator, feature, cast(value AS DOUBLE) AS value FROM features_fx"), "features_fx"))
 def q_density_histogram(spark, sf_dir):
-    return FD.density_histogram(FD.unpivot_features(receipts_fx(spark, sf_dir)), bins=10)
+    return FD.density_histogram(FD.unpivot_features(receipts_fx(spark, sf_dir)))
 
 
 @register("weekly_spend_histogram", with_views(
-    _hist_sql("SELECT generator, 'avg_weekly_spend' AS feature, avg_weekly AS value FROM avg_weekly_fx", 10),
+    _hist_sql("SELECT generator, 'avg_weekly_spend' AS feature, avg_weekly AS value FROM avg_weekly_fx"),
     "avg_weekly_fx"))
 def q_weekly_spend_histogram(spark, sf_dir):
-    return FD.density_histogram(FD.weekly_spend_long(receipts_fx(spark, sf_dir)), bins=10)
+    return FD.density_histogram(FD.weekly_spend_long(receipts_fx(spark, sf_dir)))
 
 
 KDE_BINS, KDE_GRID, KDE_CUT = 1024, 200, 3.0

@@ -90,3 +90,20 @@ def test_distributed_median_matches_exact(spark):
         got = {r["g"]: r["median"] for r in exact_median(df, "g", "x", buckets=b).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) <= 1e-12 for k in want)
+
+
+def test_auto_bins_match_numpy(spark):
+    import numpy as np
+    from cohortkit.operators.fidelity import density_histogram
+    rnd = np.random.default_rng(3)
+    samples = {"a": rnd.normal(50, 10, 997), "b": rnd.exponential(3, 311), "c": np.repeat([1.0, 2.0, 2.0, 2.0, 9.0], 40),
+               "d": np.full(7, 4.0)}
+    ints = rnd.integers(1, 30, 500)
+    rows = [(g, "x", float(v)) for g, xs in samples.items() for v in xs] + [("e", "num_items", float(v)) for v in ints]
+    df = spark.createDataFrame(rows, "generator string, feature string, value double")
+    h = density_histogram(df).groupBy("generator").agg(F.count("*").alias("bins"), F.sum("cnt").alias("n"),
+                                                       F.min("bin_lo").alias("lo")).collect()
+    got = {r["generator"]: (r["bins"], r["n"]) for r in h}
+    for g, xs in list(samples.items()) + [("e", ints)]:
+        assert got[g] == (len(np.histogram_bin_edges(xs, bins="auto")) - 1, len(xs)), g
+    assert {r["generator"]: r["lo"] for r in h}["d"] == 3.5
