@@ -220,31 +220,44 @@ def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEA
         stat6(cnt / (F.col("n") * F.col("width"))).alias("density"))
 
 
-def kde_curve(long: DataFrame, grid: int = 200, cut: float = 3.0, bins: int = 1024) -> DataFrame:
+KDE_MAX_EXACT = 100_000
+
+
+def kde_curve(long: DataFrame, grid: int = 200, cut: float = 3.0, bins: int = 1024,
+              max_exact: int = KDE_MAX_EXACT) -> DataFrame:
     """Gaussian kernel density per (feature, cohort) on ``grid`` points.
 
     Bandwidth by Scott's rule ``h = n^(-1/5)·stddev``; grid from ``min - cut·h`` to
-    ``max + cut·h``. Values are first binned into ``bins`` equal-width bins (weights = counts,
-    centre = bin midpoint), so the cost is bins x grid per group whatever the row count.
+    ``max + cut·h``. Kernel centres are the distinct values weighted by their counts (the exact
+    sum) while every group has at most ``max_exact`` distinct values; beyond that, ``bins``
+    equal-width bins (midpoints, weights = counts). Either way the pairs joined with the grid
+    are bounded: centres x grid per group, never rows x grid.
     """
     long = materialize(long.select("generator", "feature", F.col("value").cast("double").alias("value")))
     st = _bin_stats(long).filter((F.col("n") >= 2) & (F.col("sd") > 0)).select(
         "feature", "generator", "n", "lo", "hi",
         (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
         ((F.col("hi") - F.col("lo")) / bins).alias("bw"))
-    j = long.filter(F.col("value").isNotNull()).join(F.broadcast(st), ["feature", "generator"])
-    binned = (j.select("feature", "generator", F.least(F.floor((F.col("value") - F.col("lo")) / F.col("bw")),
-                                                        F.lit(bins - 1)).cast("int").alias("bin"))
-              .groupBy("feature", "generator", "bin").agg(F.count(F.lit(1)).alias("cnt")))
+    vals = long.filter(F.col("value").isNotNull())
+    distinct = materialize(vals.groupBy("feature", "generator", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    sizes = [r["d"] for r in distinct.groupBy("feature", "generator").agg(F.count(F.lit(1)).alias("d")).collect()]
+    if max(sizes, default=0) <= max_exact:
+        centres = distinct.join(F.broadcast(st.select("feature", "generator")), ["feature", "generator"]) \
+            .select("feature", "generator", F.col("value").alias("centre"), "cnt")
+    else:
+        j = distinct.join(F.broadcast(st), ["feature", "generator"])
+        b = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("bw")), F.lit(bins - 1)).cast("int")
+        centres = (j.select("feature", "generator", "lo", "bw", b.alias("bin"), "cnt")
+                   .groupBy("feature", "generator", "lo", "bw", "bin").agg(F.sum("cnt").alias("cnt"))
+                   .select("feature", "generator", (F.col("lo") + (F.col("bin") + F.lit(0.5)) * F.col("bw")).alias("centre"),
+                           "cnt"))
     g_lo = F.col("lo") - F.lit(cut) * F.col("h")
     step = (F.col("hi") + F.lit(cut) * F.col("h") - g_lo) / (grid - 1)
-    pts = st.select("feature", "generator", "n", "h", "lo", "hi", "bw",
+    pts = st.select("feature", "generator", "n", "h", "lo", "hi",
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_idx")) \
         .withColumn("x", g_lo + F.col("grid_idx") * step)
-    # bins (<= bins rows per group) x grid points (grid rows per group): bounded by parameters
-    pairs = binned.join(pts, ["feature", "generator"])
-    centre = F.col("lo") + (F.col("bin") + F.lit(0.5)) * F.col("bw")
-    z = (F.col("x") - centre) / F.col("h")
+    pairs = centres.join(pts, ["feature", "generator"])
+    z = (F.col("x") - F.col("centre")) / F.col("h")
     dens = pairs.groupBy("feature", "generator", "grid_idx", "x", "n", "h").agg(
         F.sum(F.col("cnt") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
     return dens.select("feature", "generator", "grid_idx", stat6(F.col("x")).alias("x"),

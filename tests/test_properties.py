@@ -107,3 +107,17 @@ def test_auto_bins_match_numpy(spark):
     for g, xs in list(samples.items()) + [("e", ints)]:
         assert got[g] == (len(np.histogram_bin_edges(xs, bins="auto")) - 1, len(xs)), g
     assert {r["generator"]: r["lo"] for r in h}["d"] == 3.5
+
+
+def test_kde_matches_numpy(spark):
+    import numpy as np
+    from cohortkit.operators.fidelity import kde_curve
+    x = np.random.default_rng(5).gamma(3.0, 2.0, 400)
+    df = spark.createDataFrame([("a", "f", float(v)) for v in x], "generator string, feature string, value double")
+    n, h = len(x), x.std(ddof=1) * len(x) ** (-0.2)
+    grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 200)
+    want = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
+    exact = sorted((r["grid_idx"], r["density"]) for r in kde_curve(df).collect())
+    assert max(abs(d - w) for (_, d), w in zip(exact, want)) < 2e-6
+    binned = sorted((r["grid_idx"], r["density"]) for r in kde_curve(df, max_exact=0).collect())
+    assert max(abs(d - w) for (_, d), w in zip(binned, want)) < 1e-3 * want.max()
