@@ -47,12 +47,19 @@ def unpack_tuples(tuples: DataFrame) -> DataFrame:
         "sample_id", F.col("_a")[0].alias("html"), F.col("_a")[1].alias("page_type"), F.col("_a")[2].alias("summary"))
 
 
-def vocabulary(texts: DataFrame, size: int = 30000) -> DataFrame:
+def tokenize(texts: DataFrame) -> DataFrame:
+    """``(sample_id, label, toks)``: every text tokenized once and materialized, so the
+    vocabulary and the encoding (and the upstream parse) do not run the split twice."""
+    from cohortkit.session import materialize
+    return materialize(texts.select("sample_id", "label", tokens_of(F.col("combined")).alias("toks")))
+
+
+def vocabulary_from_tokens(tokens: DataFrame, size: int = 30000) -> DataFrame:
     """Top ``size`` words by (count desc, word asc), ids from 4 on (X2 job 1).
 
-    Word counts are a partial-aggregated groupBy; the top-V cut ranks the (distinct-word) counts.
+    Word counts are a partial-aggregated groupBy; the top-V cut is a distributed top-k.
     """
-    words = texts.select(F.explode(tokens_of(F.col("combined"))).alias("token"))
+    words = tokens.select(F.explode("toks").alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
     top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("cnt"), F.asc("token"))
@@ -60,21 +67,20 @@ def vocabulary(texts: DataFrame, size: int = 30000) -> DataFrame:
     return top.select("token", "cnt", (F.row_number().over(w) + (N_SPECIAL - 1)).cast("int").alias("token_id"))
 
 
-def encode(texts: DataFrame, vocab: DataFrame, max_len: int = K.MAX_TOKENS) -> DataFrame:
+def encode_tokens(tokens: DataFrame, vocab: DataFrame, max_len: int = K.MAX_TOKENS) -> DataFrame:
     """Fixed-length ids and attention mask per text (X2 job 2, X7).
 
-    Positions past ``max_len - 2`` are cut before the join (truncation is part of the
-    encoding); the vocabulary side is at most V rows, a size-bounded broadcast.
+    Only the first ``max_len - 2`` tokens are exploded (truncation is part of the encoding);
+    the vocabulary side is at most V rows, a size-bounded broadcast.
     """
     keep = max_len - 2
-    toks = texts.select("sample_id", "label", F.posexplode(tokens_of(F.col("combined"))).alias("pos", "token"))
-    toks = toks.filter(F.col("pos") < keep)
+    toks = tokens.select("sample_id", "label", F.posexplode(F.slice("toks", 1, keep)).alias("pos", "token"))
     ids = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
         .select("sample_id", "label", "pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
-    per = ids.groupBy("sample_id", "label").agg(
+    per = ids.groupBy("sample_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda s: s["token_id"]).alias("ids"))
     # texts without a single word still get [CLS][SEP] + padding
-    per = texts.select("sample_id", "label").join(per.drop("label"), "sample_id", "left") \
+    per = tokens.select("sample_id", "label").join(per, "sample_id", "left") \
         .withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     body = F.concat(F.array(F.lit(CLS)), F.col("ids"), F.array(F.lit(SEP)))
     n = F.size(body)
@@ -83,6 +89,16 @@ def encode(texts: DataFrame, vocab: DataFrame, max_len: int = K.MAX_TOKENS) -> D
     return per.select("sample_id", "label", input_ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
+def vocabulary(texts: DataFrame, size: int = 30000) -> DataFrame:
+    """Vocabulary straight from ``(sample_id, label, combined)`` texts."""
+    return vocabulary_from_tokens(texts.select("sample_id", "label", tokens_of(F.col("combined")).alias("toks")), size)
+
+
+def encode(texts: DataFrame, vocab: DataFrame, max_len: int = K.MAX_TOKENS) -> DataFrame:
+    """Encoding straight from ``(sample_id, label, combined)`` texts."""
+    return encode_tokens(texts.select("sample_id", "label", tokens_of(F.col("combined")).alias("toks")), vocab, max_len)
+
+
 def split_hash(rows: DataFrame, key: str = "sample_id", test_fraction: float = K.TEST_FRACTION, seed=K.SEED) -> DataFrame:
     """Approximate split: test when the keyed 32-bit hash is below fraction x 2^32."""
     h = D.slot(D.key_md5(seed, F.col(key), "split"), 0)

@@ -177,8 +177,8 @@ FROM tokens_v t LEFT JOIN (
   WHERE pos < {K.MAX_TOKENS - 2} GROUP BY sample_id) e ON e.sample_id = t.sample_id
 """, "tokens_v", "vocab_v"))
 def q_encode_tokens(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    return TP.encode(texts, TP.vocabulary(texts, VOCAB_SIZE), K.MAX_TOKENS)
+    tokens = TP.tokenize(_texts(spark, sf_dir))   # one tokenization for both jobs
+    return TP.encode_tokens(tokens, TP.vocabulary_from_tokens(tokens, VOCAB_SIZE), K.MAX_TOKENS)
 
 
 SPLIT_H = slot_sql(md5_sql("sample_id", "'split'"), 0)
