@@ -6,8 +6,9 @@ failing rule (in the original order) becomes the ``reason``:
   empty_content -> bad_json -> not_an_object -> missing_keys -> no_items -> no_valid_items
   -> bad_datetime
 
-Lines are validated inside the row (``transform`` over the item array, a few per receipt), so
-totals need no shuffle and raw text is never moved between tasks. Typed ``from_json`` is not
+Lines are validated inside the row: the item array is decoded natively (per element and per
+field) and a light ``transform`` combines the checks, so totals need no shuffle and raw text is
+never moved between tasks. Typed ``from_json`` is not
 used: it nulls a quoted number and a whole array for one bad element, both of which the
 original accepts or skips line by line.
 """
@@ -43,20 +44,23 @@ def _all_present(st: Column, keys: list[str]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _check_line(x: Column, i: Column) -> Column:
-    """One line: structure (object with the 5 keys) then types (int, float, float)."""
-    st = _vget(x, _as_struct(K.ITEM_KEYS))
-    shaped = _all_present(st, K.ITEM_KEYS)
-    qty = _vget(st["quantity"], "int")
-    price = _vget(st["unit_price"], MONEY)
-    declared = _vget(st["item_total"], MONEY)
-    typed = qty.isNotNull() & price.isNotNull() & declared.isNotNull()
+LINE_TYPES = "array<struct<item_name:string,category:string,quantity:int,unit_price:decimal(18,2),item_total:decimal(18,2)>>"
+
+
+def _check_line(z: Column, i: Column) -> Column:
+    """One line from its two native decodings: ``_pres`` (every key as VARIANT: NULL when the
+    key is missing) and ``_typed`` (int, decimal, decimal, strings: NULL when a value does not
+    convert). Structure first (object with the 5 keys), then types (P7, P8)."""
+    pres, typed = z["_pres"], z["_typed"]
+    shaped = _all_present(pres, K.ITEM_KEYS)
+    ok_types = typed["quantity"].isNotNull() & typed["unit_price"].isNotNull() & typed["item_total"].isNotNull()
     return F.struct(
         i.alias("pos"),
-        F.when(~shaped, F.lit("bad_structure")).when(~typed, F.lit("bad_types")).alias("problem"),
-        F.coalesce(_vget(st["item_name"], "string"), F.lit("None")).alias("item_name"),
-        F.coalesce(_vget(st["category"], "string"), F.lit("None")).alias("category"),
-        qty.alias("quantity"), price.alias("unit_price"), declared.alias("declared_total"))
+        F.when(~shaped, F.lit("bad_structure")).when(~ok_types, F.lit("bad_types")).alias("problem"),
+        F.coalesce(typed["item_name"], F.lit("None")).alias("item_name"),
+        F.coalesce(typed["category"], F.lit("None")).alias("category"),
+        typed["quantity"].alias("quantity"), typed["unit_price"].alias("unit_price"),
+        typed["item_total"].alias("declared_total"))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -71,11 +75,16 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     stage2 = stage1.select("attempt", "_empty", F.col("_v").isNull().alias("_bad_json"),
                            _vget(F.col("_v"), _as_struct(K.RECEIPT_KEYS)).alias("_obj"))
     o = F.col("_obj")
-    items = _vget(o["items"], "array<variant>")
-    stage3 = stage2.select(
+    # The item array is decoded natively, element by element and field by field, twice: all
+    # keys as VARIANT (presence) and typed (conversion). A non-array gives NULL (no_items).
+    decoded = stage2.select(
+        "attempt", "_empty", "_bad_json", "_obj",
+        _vget(o["items"], "array<" + _as_struct(K.ITEM_KEYS) + ">").alias("_pres"),
+        _vget(o["items"], LINE_TYPES).alias("_typed"))
+    stage3 = decoded.select(
         "attempt", "_empty", "_bad_json", "_obj",
         _all_present(o, K.RECEIPT_KEYS).alias("_has_keys"),
-        F.transform(items, _check_line).alias("lines"))
+        F.transform(F.arrays_zip("_pres", "_typed"), _check_line).alias("lines"))
     valid = F.filter("lines", lambda l: l["problem"].isNull())
     stage4 = stage3.withColumn("_valid", valid)
     cents = F.aggregate("_valid", F.lit(0).cast("bigint"),
