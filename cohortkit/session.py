@@ -102,5 +102,24 @@ def materialize(df):
     recompute it from the scans) and it is much smaller than its inputs. Survives executor loss:
     the data is in the shared folder, not on an executor.
     """
+    if _cheap(df):
+        return df
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_CHEAP_NODES = {"Project", "Filter", "LogicalRDD", "LocalRelation", "SubqueryAlias"}
+
+
+def _cheap(df) -> bool:
+    """True when ``df`` is only projections/filters over already materialized (checkpointed or
+    local) data: recomputing it is a scan of that data, so checkpointing again gains nothing."""
+    import re
+
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = set()
+    for line in plan.splitlines():
+        m = re.match(r"^[\s:+\-|]*([A-Za-z]+)", line)
+        if m:
+            nodes.add(m.group(1))
+    return bool(nodes) and nodes <= _CHEAP_NODES
