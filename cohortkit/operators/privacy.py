@@ -72,3 +72,35 @@ def id_kind(generator_col):
     """Customer id kind per cohort (V5): a constant by cohort."""
     return (F.when(generator_col == "Statistical", F.lit(K.ID_KIND["Statistical"]))
             .otherwise(F.lit(K.ID_KIND["LLM"])))
+
+
+def uniqueness_screened(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT,
+                        rsd: float = 0.01, band: float = 0.05) -> DataFrame:
+    """Uniqueness at scale (A11, P16; SURVEY §4.2): one HyperLogLog pass over every column, then
+    exact distinct counts only for the (cohort, column) pairs whose estimate lies near the
+    decision (ratio within ``band`` of the threshold or above it, or distinct count near the
+    minimum). ``exact`` tells which counts are exact; flags are decided on exact counts
+    wherever the estimate could fall on either side.
+    """
+    est = _distinct_counts(receipts, approx=True, rsd=rsd).filter(F.col("n_rows") > 1).collect()
+    near = {}
+    for r in est:
+        q = r["n_distinct"] / r["n_rows"]
+        close = q >= ratio - band or abs(r["n_distinct"] - min_distinct) <= max(3, int(min_distinct * 3 * rsd) + 1)
+        if close:
+            near.setdefault(r["column_name"], set()).add(r["generator"])
+    spark = receipts.sparkSession
+    rows = {(r["generator"], r["column_name"]): (r["n_rows"], r["n_distinct"], False) for r in est}
+    if near:
+        cols = sorted(near)
+        exact = receipts.groupBy("generator").agg(*[F.countDistinct(c).alias(c) for c in cols]).collect()
+        for e in exact:
+            for c in cols:
+                if e["generator"] in near[c]:
+                    n_rows = rows[(e["generator"], c)][0]
+                    rows[(e["generator"], c)] = (n_rows, e[c], True)
+    data = [(g, c, n, d, ex) for (g, c), (n, d, ex) in rows.items()]
+    df = spark.createDataFrame(data, "generator string, column_name string, n_rows long, n_distinct long, exact boolean")
+    r = F.col("n_distinct") / F.col("n_rows")
+    return df.select("generator", "column_name", "n_rows", "n_distinct", "exact", stat6(r).alias("ratio"),
+                     ((r > F.lit(ratio)) & (F.col("n_distinct") > F.lit(min_distinct))).alias("flagged"))

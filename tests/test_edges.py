@@ -269,3 +269,14 @@ def test_latest_dataset(spark):
     assert sorted(r["v"] for r in got.collect()) == ["new", "new"]
     with pytest.raises(Exception):
         DS.write_dataset(new, base, "20250102_000000")   # an existing dataset is never overwritten
+
+
+def test_uniqueness_screened_flags_equal_exact(spark):
+    from cohortkit.operators.privacy import uniqueness, uniqueness_screened
+    from cohortkit.sources.fixtures import receipts_fx
+    from conftest import SF_SMALL
+    r = receipts_fx(spark, SF_SMALL)
+    exact = {(x["generator"], x["column_name"]): x["flagged"] for x in uniqueness(r).collect()}
+    screened = {(x["generator"], x["column_name"]): (x["flagged"], x["exact"]) for x in uniqueness_screened(r).collect()}
+    assert {k: v[0] for k, v in screened.items()} == exact
+    assert all(ex for f, ex in screened.values() if f)   # every flag rests on an exact count
