@@ -220,7 +220,7 @@ def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEA
         stat6(cnt / (F.col("n") * F.col("width"))).alias("density"))
 
 
-KDE_MAX_EXACT = 100_000
+KDE_MAX_EXACT = 2_000_000
 
 
 def kde_curve(long: DataFrame, grid: int = 200, cut: float = 3.0, bins: int = 1024,
@@ -256,7 +256,9 @@ def kde_curve(long: DataFrame, grid: int = 200, cut: float = 3.0, bins: int = 10
     pts = st.select("feature", "generator", "n", "h", "lo", "hi",
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_idx")) \
         .withColumn("x", g_lo + F.col("grid_idx") * step)
-    pairs = centres.join(pts, ["feature", "generator"])
+    # pts: features x cohorts x grid rows (bounded by parameters) -> broadcast, so every centre
+    # row meets its grid points in the task that holds it
+    pairs = centres.join(F.broadcast(pts), ["feature", "generator"])
     z = (F.col("x") - F.col("centre")) / F.col("h")
     dens = pairs.groupBy("feature", "generator", "grid_idx", "x", "n", "h").agg(
         F.sum(F.col("cnt") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
