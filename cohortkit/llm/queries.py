@@ -11,6 +11,7 @@ from cohortkit.llm import oracles
 from cohortkit.llm.byte_bpe import bpe_digests
 from cohortkit.llm.common import read_table
 from cohortkit.llm.exact_topk import exact_topk
+from cohortkit.llm.jaccard_join import jaccard_classes
 from cohortkit.llm.license_scan import license_scan
 from cohortkit.llm.line_dedup import line_dedup
 from cohortkit.llm.packing import pack
@@ -85,3 +86,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sequences in optimal length buckets and token-budget batches."""
     return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op10_jaccard_join", oracles.JACCARD_CLASSES)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by 3-word shingles, linked at a Jaccard similarity of 0.9 or more."""
+    return jaccard_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
