@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.llm import language_id as lid
 from cohortkit.llm import oracles
 from cohortkit.llm.byte_bpe import bpe_digests
 from cohortkit.llm.common import read_table
@@ -92,3 +93,18 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by 3-word shingles, linked at a Jaccard similarity of 0.9 or more."""
     return jaccard_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
+
+
+PIECE_FILE = "piece_bpe_32k.model"
+
+
+@register("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; trained on documents outside the held-out third."""
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
+    pieces = lid.vocabulary(public_tokenizers.path(PIECE_FILE))
+    langs, p = lid.train(docs.where(~F.col("held_out")), pieces)
+    return lid.predict(docs.select("doc_id", "held_out", "text"), pieces, langs, p)
