@@ -12,6 +12,7 @@ from cohortkit.llm import oracles
 from cohortkit.llm.byte_bpe import bpe_digests
 from cohortkit.llm.common import read_table
 from cohortkit.llm.exact_topk import exact_topk
+from cohortkit.llm.html_extraction import extract_pages, fit_weights
 from cohortkit.llm.jaccard_join import jaccard_classes
 from cohortkit.llm.license_scan import license_scan
 from cohortkit.llm.line_dedup import line_dedup
@@ -108,3 +109,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = lid.vocabulary(public_tokenizers.path(PIECE_FILE))
     langs, p = lid.train(docs.where(~F.col("held_out")), pieces)
     return lid.predict(docs.select("doc_id", "held_out", "text"), pieces, langs, p)
+
+
+@register("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages, fit_weights(pages)).select("page_id", "url", "text", "n_chars")
