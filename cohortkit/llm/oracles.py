@@ -186,3 +186,24 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 JACCARD_CLASSES = _jaccard_classes(3, 90, 100)
+
+# every byte is two hex digits, so byte strings are text of twice the length
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+k AS (SELECT doc_id, unnest(range(0, CAST(len(x) // 2 - 399 AS BIGINT))) AS p, x FROM d WHERE len(x) >= 800),
+h AS (SELECT doc_id, p, md5(substr(x, CAST(2 * p + 1 AS BIGINT), 800)) AS g FROM k),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS n FROM h) WHERE n > 1),
+step AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM step),
+span AS (SELECT doc_id, r, min(p) AS a, max(p) + 400 AS b FROM run GROUP BY ALL),
+part AS (
+  SELECT s.doc_id, s.a, s.b, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS since FROM span s),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, sum(p.b - p.a) AS gone, max(p.b) AS last,
+         string_agg(substr(d.x, CAST(2 * p.since + 1 AS BIGINT), CAST(2 * (p.a - p.since) AS BIGINT)), '' ORDER BY p.a) AS head
+  FROM part p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN k.n IS NULL THEN d.x ELSE k.head || substr(d.x, CAST(2 * k.last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -18,6 +18,7 @@ from cohortkit.llm.license_scan import license_scan
 from cohortkit.llm.line_dedup import line_dedup
 from cohortkit.llm.packing import pack
 from cohortkit.llm.quality_rules import quality_rules
+from cohortkit.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +117,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_pages(pages, fit_weights(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@register("op9_suffix_dedup", oracles.SUFFIX_DEDUP)
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 400-byte strings starting elsewhere cover."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs, keep_text=False)
