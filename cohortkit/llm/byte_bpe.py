@@ -11,7 +11,8 @@ Python over Arrow batches, no shuffle; a worker keeps the vocabulary (bounded by
 bounded cache of encoded matches.
 
 Defined cases: null text counts as empty; empty text has no ids; special tokens are ordinary text;
-repeated rows are encoded alike; other columns pass through (a column named as an output is replaced).
+repeated rows are encoded alike; other columns pass through (a column named as an output is replaced,
+``bpe_in`` is reserved and left out).
 """
 
 from __future__ import annotations
@@ -233,7 +234,7 @@ def _mapped(df: DataFrame, column: str, added: list[T.StructField], make) -> Dat
     """``df`` without ``column``, with the columns that ``make`` builds from a list of its values."""
     bound_batches(df.sparkSession)
     names = [f.name for f in added]
-    rest = [f for f in df.schema.fields if f.name != column and f.name not in names]
+    rest = [f for f in df.schema.fields if f.name not in (column, "bpe_in", *names)]
     df = df.select(F.col(f"`{column}`").alias("bpe_in"), *[F.col(f"`{f.name}`") for f in rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

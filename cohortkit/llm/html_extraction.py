@@ -2,7 +2,7 @@
 
 A page is a sequence of text runs and tags. Each word scores the weight of its kind (the innermost block
 it stands in, or page furniture), each tag a negative weight; a linear scan finds the contiguous region
-with the highest sum, and its text outside page furniture is the main text. The weights are log ratios
+with the highest sum, and its text outside page furniture is the main text. The weights are log odds
 fitted on labelled pages: pages that mark their content (article, main), where words and tags inside it
 count as content and all others do not; at most ``MAX_TRAIN_PAGES`` pages, those of the smallest MD5 of
 their id. The counts are summed by Spark over a fixed set of kinds, so the driver sees a few hundred
@@ -147,17 +147,12 @@ def label_counts(page: str) -> Counter:
 
 
 def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log ratio of each kind's share inside and outside the content; tags stay negative."""
-    kinds = {k for k, _ in counts}
+    """Log odds of each kind to stand inside the content; tags stay negative."""
     out = {}
-    for side in ("w:", "t:"):
-        of = sorted(k for k in kinds if k.startswith(side))
-        inside = sum(counts.get((k, True), 0) for k in of) + len(of)
-        outside = sum(counts.get((k, False), 0) for k in of) + len(of)
-        for k in of:
-            ratio = math.log((counts.get((k, True), 0) + 1) / inside) - math.log((counts.get((k, False), 0) + 1) / outside)
-            most, least = (MAX_WEIGHT, -MAX_WEIGHT) if side == "w:" else (LEAST_TAG, MOST_TAG)
-            out[k] = max(least, min(most, ratio))
+    for kind in {k for k, _ in counts}:
+        most, least = (MAX_WEIGHT, -MAX_WEIGHT) if kind.startswith("w:") else (LEAST_TAG, MOST_TAG)
+        odds = math.log((counts.get((kind, True), 0) + 1) / (counts.get((kind, False), 0) + 1))
+        out[kind] = max(least, min(most, odds))
     out["w:furniture"] = min(out.get("w:furniture", FURNITURE_WORD), FURNITURE_WORD)
     return out
 
@@ -222,9 +217,10 @@ def fit_weights(pages: DataFrame, page_id: str = "page_id", html: str = "html",
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float], html: str = "html") -> DataFrame:
-    """``pages`` without ``html``, with ``text`` and ``n_chars``; columns of these names are replaced."""
+    """``pages`` without ``html``, with ``text`` and ``n_chars``; columns of these names are replaced (``hx_html`` is
+    reserved and left out)."""
     bound_batches(pages.sparkSession)
-    rest = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
+    rest = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars", "hx_html")]
     pages = pages.select(F.col(f"`{html}`").alias("hx_html"), *[F.col(f"`{f.name}`") for f in rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,8 @@ word length, and kept in a bounded cache of the worker.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first
 language by name; words over ``MAX_WORD`` letters count as several words; without any labelled text,
-everything is ``und``; other columns pass through.
+everything is ``und``; other columns pass through (``lang_pred`` and ``score`` are replaced, ``li_text`` is
+reserved and left out).
 """
 
 from __future__ import annotations
@@ -275,7 +276,7 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
     """``docs`` without ``text``, with ``lang_pred`` and ``score``."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rest = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score")]
+    rest = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score", "li_text")]
     docs = docs.select(F.col(f"`{text}`").alias("li_text"), *[F.col(f"`{f.name}`") for f in rest])
     shared = spark.sparkContext.broadcast((pieces, langs, with_specials(p)))
 

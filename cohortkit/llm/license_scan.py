@@ -10,7 +10,8 @@ Plan: one projection, no shuffle. Sentences are only built for texts that hold o
 words; each known sentence holds one (checked at import), so no text is missed.
 
 Defined cases: null or empty text has no sentence and no licence; a sentence that is not in the table
-does not break a sequence (it is skipped); a licence found twice is listed once, at its first place.
+does not break a sequence (it is skipped); a licence found twice is listed once, at its first place; repeated
+rows are scanned alike; other columns pass through, those named as an output are replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ is a sort-merge join, whose hot hosts adaptive execution splits.
 
 Defined cases: null host = a host of its own; null text stays null, empty text stays empty; blank
 lines are neither counted nor dropped; a line repeated on one page counts once; repeated rows are
-pages of their own; other columns pass through whatever their names are.
+pages of their own; other columns pass through, but for columns named as an output (replaced) and columns
+that begin with ``ld_`` (reserved, left out).
 """
 
 from __future__ import annotations
@@ -69,6 +70,7 @@ def line_dedup(pages: DataFrame, host: Column | str = "source", text: str = "tex
     """``pages`` with the boilerplate lines dropped from ``text``; adds ``n_lines`` (lines of the
     input text) and ``n_dropped``."""
     host = F.col(host) if isinstance(host, str) else host
+    pages = pages.drop(*[c for c in pages.columns if c.startswith("ld_")])
     found = boilerplate_lines(pages, host, F.col(text), ratio, min_pages)
     per_host = stored(
         found.groupBy(F.col("ld_host").alias("ld_found_host")).agg(F.collect_list("ld_key").alias("ld_keys")),

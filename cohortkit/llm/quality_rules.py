@@ -13,7 +13,8 @@ in order, which no built-in expression gives without building arrays of windows;
 and nothing is gathered across rows.
 
 Defined cases: null or empty text has no words, so it fails the base rules; lines without a word are
-ignored by the rules and kept as they are; repeated rows are judged alike; other columns pass through.
+ignored by the rules and kept as they are; repeated rows are judged alike; other columns pass through, but for
+columns named as an output (replaced) and ``qr_text`` (reserved, left out).
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def quality_rules(docs: DataFrame, text: str = "text", clean: bool = False) -> D
     replaced."""
     bound_batches(docs.sparkSession)
     names = LONGS + FLAGS
-    docs = docs.drop(*names)
+    docs = docs.drop(*names, "qr_text")
     if not clean:  # the text itself need not come back from Python
         rest = [c for c in docs.columns if c != text]
         docs = docs.select(F.col(text).alias("qr_text"), *[F.col(f"`{c}`") for c in rest])

@@ -25,8 +25,8 @@ No group, text or match list is gathered but the pieces of one collection and th
 
 Defined cases: null texts count as empty; texts under ``length`` bytes keep every byte; repeated rows are
 each other's matches; doc_id may be null or repeated (texts are identified by their MD5); other columns pass
-through. Removed bytes may cut a UTF-8 character: ``kept_text`` drops the broken rest of such a character, the
-digests are of the bytes.
+through (those named as an output are replaced; ``spans`` and names that begin with ``sd_`` are reserved). Removed bytes may cut a UTF-8 character: the text drops the broken rest of such a character, the digests
+are of the bytes.
 """
 
 from __future__ import annotations
@@ -239,7 +239,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     names = [f.name for f in added]
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("sd_key"), F.col(text).alias("text"))
     found = stored(repeated_spans(keyed, length, group_rows, collection_rows), "suffix-spans")
-    rest = [f for f in docs.schema.fields if f.name != text and f.name not in names]
+    reserved = (text, "sd_text", "sd_of", "sd_key", "spans")
+    rest = [f for f in docs.schema.fields if f.name not in (*reserved, *names)]
     joined = (
         docs.select(F.col(f"`{text}`").alias("sd_text"), *[F.col(f"`{f.name}`") for f in rest])
         .withColumn("sd_of", text_key(F.col("sd_text")))
