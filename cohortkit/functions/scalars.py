@@ -52,7 +52,7 @@ def cents_to_money(cents: Column) -> Column:
 
 def tax_of(subtotal: Column) -> Column:
     """``round(subtotal * TAX_RATE, 2)`` on decimals, HALF_UP (A1, Q1)."""
-    return F.round(subtotal * F.lit(Decimal(K.TAX_RATE)), 2).cast(MONEY)
+    return F.round(subtotal * F.lit(Decimal(K.TAX_RATE)), 2).try_cast(MONEY)
 
 
 # ---- dates -----------------------------------------------------------------------------------

@@ -9,10 +9,19 @@ COHORTS = ["Statistical", "LLM"]
 
 
 def cohort_dim(spark: SparkSession) -> DataFrame:
-    """The two cohorts (fixed 2 rows), so that empty cohorts still show up."""
+    """The two cohorts of the comparison (fixed 2 rows)."""
     return spark.createDataFrame([(g,) for g in COHORTS], "generator string")
 
 
+def per_cohort(spark: SparkSession, *metrics: DataFrame) -> DataFrame:
+    """The metric frames (a row per cohort each) side by side, for the two cohorts of the comparison,
+    also where they are empty (P14), and for every other cohort of the data."""
+    out = cohort_dim(spark)
+    for m in metrics:
+        out = out.join(m, "generator", "full_outer")
+    return out
+
+
 def stat6(c: Column) -> Column:
     """Statistics are reported as doubles rounded to 6 places."""
     return F.round(c.cast("double"), 6)
@@ -41,7 +50,7 @@ def feature_availability(spark: SparkSession, df: DataFrame, columns: list[str])
     pairs = ", ".join(f"'{c}', v_{c}" for c in columns)
     long = agg.selectExpr("generator", "n_rows", f"stack({len(columns)}, {pairs}) as (column_name, n_values)")
     names = F.array(*[F.lit(c) for c in columns])
-    grid = cohort_dim(spark).select("generator", F.explode(names).alias("column_name"))
+    grid = per_cohort(spark, agg.select("generator")).select("generator", F.explode(names).alias("column_name"))
     out = grid.join(long, ["generator", "column_name"], "left")
     return out.select("generator", "column_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
                       F.coalesce("n_values", F.lit(0)).alias("n_values"),

@@ -1,24 +1,21 @@
 """Fidelity comparison of two cohorts.
 
-KS statistic (F1): the two empirical CDFs are compared at every distinct value. The obvious
-form (one window per feature over all distinct values) puts a whole feature into one task, so
-the prefix sums are built in two levels: distinct values are cut into ``buckets`` ranges by
-approximate quantiles (collected once: features x buckets values, then fixed literals), bucket
-totals (features x buckets rows, a size-bounded broadcast) give each range its offset, and the
-running sum inside a range is a window partitioned by (feature, bucket). The result is exact;
-only the cut points are approximate.
+Every distribution metric starts from one aggregate, the count per (generator, feature, value): the
+KS statistic and the quartiles are prefix counts over it (``quantiles.prefix_counts``: no feature in
+one task), histograms and density curves are weighted sums over it. All of it is exact at every size.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit import constants as K
 from cohortkit.functions.scalars import MONEY
 from cohortkit.operators.cohorts import stat6
+from cohortkit.operators.quantiles import ROWS_PER_PART, prefix_counts, quantiles_of_counts
 from cohortkit.session import materialize
 from cohortkit.operators.utility import _avg_weekly, top_n, value_counts
 
@@ -42,98 +39,34 @@ def ks_pvalue(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * series)))
 
 
-def count_less(value: Column, cuts, n_cuts: int | None = None) -> Column:
-    """Number of entries of the sorted ``cuts`` (a Python list, or an array Column of length
-    ``n_cuts``) below ``value``.
-
-    A binary search written as a nested CASE: log2(n) comparisons per row inside whole-stage
-    codegen, instead of a per-element lambda.
-    """
-    if isinstance(cuts, (list, tuple)):
-        get = lambda k: F.lit(cuts[k])
-        n_cuts = len(cuts)
-    else:
-        get = lambda k: F.element_at(cuts, k + 1)
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(get(mid) < value, search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, n_cuts)
-
-
-def cut_points(df: DataFrame, group: str, value: str, buckets: int, accuracy: int) -> dict:
-    """Approximate quantile cut points per group, collected once (groups x (buckets-1) values).
-
-    Collecting makes them fixed literals: every branch of the plan, and any recomputation after
-    an executor loss, buckets rows with the same cuts.
-    """
-    if buckets <= 1:
-        return {}
-    qs = [i / buckets for i in range(1, buckets)]
-    rows = df.groupBy(group).agg(F.percentile_approx(value, qs, accuracy).alias("cuts")).collect()
-    return {r[group]: sorted(r["cuts"]) for r in rows if r["cuts"] is not None}
-
-
-def bucket_of(group_col: Column, value: Column, cuts: dict) -> Column:
-    """Bucket index of ``value`` under its group's cut points."""
-    expr = F.lit(0)
-    for g, c in cuts.items():
-        expr = F.when(group_col == F.lit(g), count_less(value, c)).otherwise(expr)
-    return expr
-
-
-def _prefix_sums(vals: DataFrame, buckets: int, accuracy: int) -> DataFrame:
-    """Add ``cum_a``/``cum_b`` (counts of values <= value) per feature, distributed."""
-    if buckets <= 1:
-        w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        return vals.select("feature", "value", F.sum("ca").over(w).alias("cum_a"), F.sum("cb").over(w).alias("cum_b"))
-    cuts = cut_points(vals, "feature", "value", buckets, accuracy)
-    vb = vals.select("feature", "value", "ca", "cb", bucket_of(F.col("feature"), F.col("value"), cuts).alias("bucket"))
-    bt = vb.groupBy("feature", "bucket").agg(F.sum("ca").alias("ba"), F.sum("cb").alias("bb"))
-    wb = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = bt.select("feature", "bucket", F.coalesce(F.sum("ba").over(wb), F.lit(0)).alias("off_a"),
-                    F.coalesce(F.sum("bb").over(wb), F.lit(0)).alias("off_b"))
-    # off: features x buckets rows -> bounded broadcast
-    j = vb.join(F.broadcast(off), ["feature", "bucket"])
-    w = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return j.select("feature", "value", (F.col("off_a") + F.sum("ca").over(w)).alias("cum_a"),
-                    (F.col("off_b") + F.sum("cb").over(w)).alias("cum_b"))
-
-
-# Largest number of distinct values one feature may hold in a single-task window.
-WINDOW_MAX_DISTINCT = 2_000_000
+def distribution(long: DataFrame, value_type: str | None = None) -> DataFrame:
+    """``(generator, feature, value, c)``: rows per distinct value, nulls included; computed once."""
+    v = F.col("value") if value_type is None else F.col("value").cast(value_type)
+    return materialize(long.groupBy("generator", "feature", v.alias("value")).agg(F.count(F.lit(1)).alias("c")))
 
 
 def ks_statistic(spark: SparkSession, receipts: DataFrame, features: list[str] = K.FIDELITY_FEATURES,
-                 a: str = A, b: str = B, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
-    """Two-sample Kolmogorov–Smirnov statistic, p-value, verdict and status per feature.
-
-    ``buckets=None`` chooses by size: a plain window per feature while each feature has at most
-    ``WINDOW_MAX_DISTINCT`` distinct values, else the two-level prefix sums with 64 buckets.
-    """
-    long = unpivot_features(receipts, features)
-    cnt = long.groupBy("feature", "value").agg(
-        F.sum(F.when(F.col("generator") == a, 1).otherwise(0)).cast("bigint").alias("ca"),
-        F.sum(F.when(F.col("generator") == b, 1).otherwise(0)).cast("bigint").alias("cb"))
-    # One row per distinct (feature, value), read by the cut points, the totals and the prefix
-    # sums: computed once, so the receipts are scanned once.
-    cnt = materialize(cnt)
+                 a: str = A, b: str = B, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Two-sample Kolmogorov–Smirnov statistic, p-value, verdict and status per feature (F1–F3): the two
+    empirical CDFs are compared at every distinct value."""
+    return ks_of(spark, distribution(unpivot_features(receipts, features)), features, a, b, rows_per_part)
+
+
+def ks_of(spark: SparkSession, dist: DataFrame, features: list[str], a: str = A, b: str = B,
+          rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """:func:`ks_statistic` from the counts of :func:`distribution`."""
+    cnt = materialize(dist.groupBy("feature", "value").agg(
+        F.sum(F.when(F.col("generator") == a, F.col("c")).otherwise(0)).cast("bigint").alias("ca"),
+        F.sum(F.when(F.col("generator") == b, F.col("c")).otherwise(0)).cast("bigint").alias("cb")))
     totals = cnt.groupBy("feature").agg(
         F.sum("ca").alias("rows_a"), F.sum("cb").alias("rows_b"),
         F.sum(F.when(F.col("value").isNotNull(), F.col("ca")).otherwise(0)).alias("n_a"),
         F.sum(F.when(F.col("value").isNotNull(), F.col("cb")).otherwise(0)).alias("n_b"))
-    vals = cnt.filter(F.col("value").isNotNull())
-    if buckets is None:
-        sizes = [r["d"] for r in vals.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()]
-        buckets = 1 if max(sizes, default=0) <= WINDOW_MAX_DISTINCT else 64
-    cdf = _prefix_sums(vals, buckets, accuracy)
+    cdf = prefix_counts(cnt.filter(F.col("value").isNotNull()), ["feature"], "value", ["ca", "cb"], rows_per_part)
     # a cohort without values gives status `missing`; never divide by its zero count
     both = totals.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)).select("feature", "n_a", "n_b")
     dmax = cdf.join(F.broadcast(both), "feature").groupBy("feature").agg(
-        F.max(F.abs(F.col("cum_a").cast("double") / F.col("n_a") - F.col("cum_b").cast("double") / F.col("n_b")))
+        F.max(F.abs(F.col("cum_ca").cast("double") / F.col("n_a") - F.col("cum_cb").cast("double") / F.col("n_b")))
         .alias("d_raw"))
     feats = spark.createDataFrame([(f,) for f in features], "feature string")
     out = feats.join(totals, "feature", "left").join(dmax, "feature", "left")
@@ -155,10 +88,17 @@ def ks_statistic(spark: SparkSession, receipts: DataFrame, features: list[str] =
         "status", F.lit("asymptotic").alias("method"))
 
 
-def _bin_stats(long: DataFrame) -> DataFrame:
-    return long.filter(F.col("value").isNotNull()).groupBy("feature", "generator").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.stddev_samp("value").alias("sd"))
+def _bin_stats(dist: DataFrame) -> DataFrame:
+    """Count, range and standard deviation (two passes over the counts) per feature and cohort."""
+    vals = dist.filter(F.col("value").isNotNull())
+    st = vals.groupBy("feature", "generator").agg(
+        F.sum("c").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
+    # features x cohorts rows
+    dev = vals.join(F.broadcast(st.select("feature", "generator", "mean", "n")), ["feature", "generator"]).groupBy(
+        "feature", "generator").agg(
+        F.sqrt(F.sum(F.col("c") * F.pow(F.col("value") - F.col("mean"), 2)) / F.nullif(F.max("n") - 1, F.lit(0))).alias("sd"))
+    return st.drop("mean").join(dev, ["feature", "generator"])
 
 
 def auto_bins(n: Column, lo: Column, hi: Column, q25: Column, q75: Column, integral: Column) -> Column:
@@ -187,12 +127,15 @@ def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEA
     ``integer_features`` get bins at least 1 wide). The last bin is closed on the right; a
     constant sample gets one bin ``[v-0.5, v+0.5]``; the quartiles are exact.
     """
-    from cohortkit.operators.quantiles import exact_quantiles
-    # read by the stats, the quartiles, the binning and (through the stats) the grid
-    long = materialize(long.select("generator", "feature", F.col("value").cast("double").alias("value")))
-    st = _bin_stats(long)
+    return histogram_of(distribution(long, "double"), bins, integer_features)
+
+
+def histogram_of(dist: DataFrame, bins="auto", integer_features=INTEGER_FEATURES) -> DataFrame:
+    """:func:`density_histogram` from the counts of :func:`distribution` (values as double)."""
+    vals = dist.filter(F.col("value").isNotNull())
+    st = _bin_stats(dist)
     if bins == "auto":
-        qs = exact_quantiles(long, ["feature", "generator"], "value", [0.25, 0.75])
+        qs = quantiles_of_counts(vals, ["feature", "generator"], "value", [0.25, 0.75])
         st = st.join(qs.drop("n_values"), ["feature", "generator"])
         integral = F.col("feature").isin(*integer_features) if integer_features else F.lit(False)
         nb = auto_bins(F.col("n"), F.col("lo"), F.col("hi"), F.col("q0"), F.col("q1"), integral)
@@ -204,10 +147,10 @@ def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEA
         .withColumn("lo", F.when(flat, F.col("lo") - F.lit(0.5)).otherwise(F.col("lo")))
     st = st.select("feature", "generator", "n", "lo", "width", "nbins")
     # st: features x cohorts rows -> bounded broadcast
-    j = long.filter(F.col("value").isNotNull()).join(F.broadcast(st), ["feature", "generator"])
-    binned = j.select("feature", "generator", F.least(
+    j = vals.join(F.broadcast(st), ["feature", "generator"])
+    binned = j.select("feature", "generator", "c", F.least(
         F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("nbins") - 1).cast("int").alias("bin"))
-    counts = binned.groupBy("feature", "generator", "bin").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = binned.groupBy("feature", "generator", "bin").agg(F.sum("c").alias("cnt"))
     grid = st.select("feature", "generator", "n", "lo", "width",
                      F.explode(F.sequence(F.lit(0), F.col("nbins") - 1)).alias("bin"))
     out = grid.join(counts, ["feature", "generator", "bin"], "left")
@@ -220,37 +163,24 @@ def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEA
         stat6(cnt / (F.col("n") * F.col("width"))).alias("density"))
 
 
-KDE_MAX_EXACT = 2_000_000
-
-
-def kde_curve(long: DataFrame, grid: int = 200, cut: float = 3.0, bins: int = 1024,
-              max_exact: int = KDE_MAX_EXACT) -> DataFrame:
+def kde_curve(long: DataFrame, grid: int = 200, cut: float = 0.0) -> DataFrame:
     """Gaussian kernel density per (feature, cohort) on ``grid`` points.
 
-    Bandwidth by Scott's rule ``h = n^(-1/5)·stddev``; grid from ``min - cut·h`` to
-    ``max + cut·h``. Kernel centres are the distinct values weighted by their counts (the exact
-    sum) while every group has at most ``max_exact`` distinct values; beyond that, ``bins``
-    equal-width bins (midpoints, weights = counts). Either way the pairs joined with the grid
-    are bounded: centres x grid per group, never rows x grid.
+    Bandwidth by Scott's rule ``h = n^(-1/5)·stddev``; grid from ``min - cut·h`` to ``max + cut·h`` (by
+    default the range of the data, as a histogram with a density line draws it). Kernel centres are the
+    distinct values weighted by their counts, so the sum is exact; each distinct value meets the
+    ``grid`` points of its group and is combined map-side to ``grid`` rows per group and task.
     """
-    long = materialize(long.select("generator", "feature", F.col("value").cast("double").alias("value")))
-    st = _bin_stats(long).filter((F.col("n") >= 2) & (F.col("sd") > 0)).select(
+    return kde_of(distribution(long, "double"), grid, cut)
+
+
+def kde_of(dist: DataFrame, grid: int = 200, cut: float = 0.0) -> DataFrame:
+    """:func:`kde_curve` from the counts of :func:`distribution` (values as double)."""
+    st = _bin_stats(dist).filter((F.col("n") >= 2) & (F.col("sd") > 0)).select(
         "feature", "generator", "n", "lo", "hi",
-        (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
-        ((F.col("hi") - F.col("lo")) / bins).alias("bw"))
-    vals = long.filter(F.col("value").isNotNull())
-    distinct = materialize(vals.groupBy("feature", "generator", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    sizes = [r["d"] for r in distinct.groupBy("feature", "generator").agg(F.count(F.lit(1)).alias("d")).collect()]
-    if max(sizes, default=0) <= max_exact:
-        centres = distinct.join(F.broadcast(st.select("feature", "generator")), ["feature", "generator"]) \
-            .select("feature", "generator", F.col("value").alias("centre"), "cnt")
-    else:
-        j = distinct.join(F.broadcast(st), ["feature", "generator"])
-        b = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("bw")), F.lit(bins - 1)).cast("int")
-        centres = (j.select("feature", "generator", "lo", "bw", b.alias("bin"), "cnt")
-                   .groupBy("feature", "generator", "lo", "bw", "bin").agg(F.sum("cnt").alias("cnt"))
-                   .select("feature", "generator", (F.col("lo") + (F.col("bin") + F.lit(0.5)) * F.col("bw")).alias("centre"),
-                           "cnt"))
+        (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
+    centres = dist.filter(F.col("value").isNotNull()).select(
+        "feature", "generator", F.col("value").alias("centre"), F.col("c").alias("cnt"))
     g_lo = F.col("lo") - F.lit(cut) * F.col("h")
     step = (F.col("hi") + F.lit(cut) * F.col("h") - g_lo) / (grid - 1)
     pts = st.select("feature", "generator", "n", "h", "lo", "hi",

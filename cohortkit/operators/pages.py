@@ -30,18 +30,20 @@ def page_prompts(samples: DataFrame, type_col: str = "page_type") -> DataFrame:
 def validate_page_responses(responses: DataFrame) -> DataFrame:
     """``(sample_id, page_type, raw)`` -> reason per sample.
 
-    ``generation_failed``: not JSON or an empty object (the original treats both as no
-    result); ``not_an_object``: JSON that is not an object; ``incomplete``: ``html`` or
-    ``summary`` missing or null.
+    ``generation_failed``: not exactly one JSON text, or an empty one (``{}``, ``[]``, ``null``, ``""``, ``0``, ``false``:
+    the original treats all of these as no result); ``not_an_object``: other JSON that is not an object;
+    ``incomplete``: ``html`` or ``summary`` missing or null.
     """
-    v = F.try_parse_json(F.col("raw"))
-    parsed = responses.select("sample_id", "page_type", v.alias("_v"))
+    # wrapped in [...], text after the value or a second value is a parse error or a second element
+    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]"))), "$", "array<variant>")
+    parsed = responses.select("sample_id", "page_type", F.when(F.size(wrapped) == 1, F.element_at(wrapped, 1)).alias("_v"))
     obj = F.try_variant_get(F.col("_v"), "$", "map<string,variant>")
     staged = parsed.select("sample_id", "page_type", "_v", obj.alias("_obj"))
     html = F.try_variant_get(F.col("_obj")["html"], "$", "string")
     summary = F.try_variant_get(F.col("_obj")["summary"], "$", "string")
     fields = staged.select("sample_id", "page_type", "_v", "_obj", html.alias("html"), summary.alias("summary"))
-    reason = (F.when(F.col("_v").isNull(), F.lit("generation_failed"))
+    empty = F.coalesce(F.to_json(F.col("_v")).isin("null", "[]", "{}", '""', "0", "0.0", "false"), F.lit(True))
+    reason = (F.when(F.col("_v").isNull() | empty, F.lit("generation_failed"))
               .when(F.col("_obj").isNull(), F.lit("not_an_object"))
               .when(F.size("_obj") == 0, F.lit("generation_failed"))
               .when(F.col("html").isNull() | F.col("summary").isNull(), F.lit("incomplete")))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cohortkit import constants as K
 from cohortkit.functions.scalars import MONEY
-from cohortkit.operators.cohorts import cohort_dim, stat6
+from cohortkit.operators.cohorts import per_cohort, stat6
+from cohortkit.session import materialize
 
 EXCLUDED = ("receipt_id", "generator")
+KEY = "customer_key"
 
 
 def extremes(spark: SparkSession, receipts: DataFrame) -> DataFrame:
@@ -18,51 +20,51 @@ def extremes(spark: SparkSession, receipts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_receipts"),
         F.max("total_amount").cast(MONEY).alias("max_total_amount"),
         F.max("num_items").cast("int").alias("max_num_items"))
-    return cohort_dim(spark).join(agg, "generator", "left").select(
+    return per_cohort(spark, agg).select(
         "generator", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"), "max_total_amount", "max_num_items")
 
 
-def _distinct_counts(receipts: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones:
-    one aggregate over the receipts, unpivoted with ``stack``."""
-    cols = [c for c in receipts.columns if c not in EXCLUDED]
-    dc = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
+def distinct_counts(receipts: DataFrame) -> DataFrame:
+    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones, computed
+    once (cohorts x columns rows): it feeds the ratios and the verdict.
+
+    One aggregate over the receipts, unpivoted with ``stack``; a ``customer_key`` column stands for the
+    shown ``customer_id``, which is a short hash that different customers can share.
+    """
+    cols = [c for c in receipts.columns if c not in (*EXCLUDED, KEY)]
+    counted = {c: KEY if c == "customer_id" and KEY in receipts.columns else c for c in cols}
     agg = receipts.groupBy("generator").agg(
-        F.count(F.lit(1)).alias("n_rows"), *[dc(c).alias(f"d_{c}") for c in cols])
+        F.count(F.lit(1)).alias("n_rows"), *[F.countDistinct(counted[c]).alias(f"d_{c}") for c in cols])
     stack = "stack({n}, {pairs}) as (column_name, n_distinct)".format(
         n=len(cols), pairs=", ".join(f"'{c}', d_{c}" for c in cols))
-    return agg.selectExpr("generator", "n_rows", stack)
+    return materialize(agg.selectExpr("generator", "n_rows", stack))
 
 
-def uniqueness(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT,
-               approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """Distinct count and ratio per cohort and column; flag ratio > 0.95 and > 10 distinct
-    (A11, P16). Nulls are not distinct values but stay in the row count (Q9).
+def uniqueness(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
+    """Exact distinct count and ratio per cohort and column; flag ratio > 0.95 and > 10 distinct
+    (A11, P16). Nulls are not distinct values but stay in the row count (Q9)."""
+    return uniqueness_of(distinct_counts(receipts), ratio, min_distinct)
 
-    Exact counts come from one aggregate (Catalyst expands the distinct columns once);
-    ``approx=True`` swaps in HyperLogLog for a single pass with fixed memory.
-    """
-    long = _distinct_counts(receipts, approx, rsd).filter(F.col("n_rows") > 1)
+
+def uniqueness_of(counts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
+    """:func:`uniqueness` from :func:`distinct_counts`."""
     r = F.col("n_distinct") / F.col("n_rows")
-    return long.select(
+    return counts.filter(F.col("n_rows") > 1).select(
         "generator", "column_name", "n_rows", F.col("n_distinct").cast("bigint").alias("n_distinct"),
         stat6(r).alias("ratio"),
         ((r > F.lit(ratio)) & (F.col("n_distinct") > F.lit(min_distinct))).alias("flagged"))
 
 
 def uniqueness_verdict(spark: SparkSession, receipts: DataFrame) -> DataFrame:
-    """Warning with the flagged columns, or a clean verdict, per cohort (V4).
+    """Warning with the flagged columns, or a clean verdict, per cohort (V4)."""
+    return verdict_of(distinct_counts(receipts))
 
-    One aggregate over the receipts (cohorts x columns rows, materialized) feeds both the
-    cohort list and the flags.
-    """
-    from cohortkit.session import materialize
-    d = materialize(_distinct_counts(receipts))
-    r = F.col("n_distinct") / F.col("n_rows")
-    flag = (F.col("n_rows") > 1) & (r > F.lit(K.UNIQUE_RATIO)) & (F.col("n_distinct") > F.lit(K.UNIQUE_MIN_DISTINCT))
-    u = d.filter(flag).groupBy("generator").agg(F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
-    present = d.select("generator").distinct()
-    out = present.join(u, "generator", "left")
+
+def verdict_of(counts: DataFrame) -> DataFrame:
+    """:func:`uniqueness_verdict` from :func:`distinct_counts`."""
+    u = uniqueness_of(counts).filter("flagged").groupBy("generator").agg(
+        F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
+    out = counts.select("generator").distinct().join(u, "generator", "left")
     cols = F.coalesce("flagged_columns", F.array().cast("array<string>"))
     return out.select("generator", cols.alias("flagged_columns"),
                       F.when(F.size(cols) > 0, F.lit("warning")).otherwise(F.lit("clean")).alias("verdict"))
@@ -72,35 +74,3 @@ def id_kind(generator_col):
     """Customer id kind per cohort (V5): a constant by cohort."""
     return (F.when(generator_col == "Statistical", F.lit(K.ID_KIND["Statistical"]))
             .otherwise(F.lit(K.ID_KIND["LLM"])))
-
-
-def uniqueness_screened(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT,
-                        rsd: float = 0.01, band: float = 0.05) -> DataFrame:
-    """Uniqueness at scale (A11, P16; SURVEY §4.2): one HyperLogLog pass over every column, then
-    exact distinct counts only for the (cohort, column) pairs whose estimate lies near the
-    decision (ratio within ``band`` of the threshold or above it, or distinct count near the
-    minimum). ``exact`` tells which counts are exact; flags are decided on exact counts
-    wherever the estimate could fall on either side.
-    """
-    est = _distinct_counts(receipts, approx=True, rsd=rsd).filter(F.col("n_rows") > 1).collect()
-    near = {}
-    for r in est:
-        q = r["n_distinct"] / r["n_rows"]
-        close = q >= ratio - band or abs(r["n_distinct"] - min_distinct) <= max(3, int(min_distinct * 3 * rsd) + 1)
-        if close:
-            near.setdefault(r["column_name"], set()).add(r["generator"])
-    spark = receipts.sparkSession
-    rows = {(r["generator"], r["column_name"]): (r["n_rows"], r["n_distinct"], False) for r in est}
-    if near:
-        cols = sorted(near)
-        exact = receipts.groupBy("generator").agg(*[F.countDistinct(c).alias(c) for c in cols]).collect()
-        for e in exact:
-            for c in cols:
-                if e["generator"] in near[c]:
-                    n_rows = rows[(e["generator"], c)][0]
-                    rows[(e["generator"], c)] = (n_rows, e[c], True)
-    data = [(g, c, n, d, ex) for (g, c), (n, d, ex) in rows.items()]
-    df = spark.createDataFrame(data, "generator string, column_name string, n_rows long, n_distinct long, exact boolean")
-    r = F.col("n_distinct") / F.col("n_rows")
-    return df.select("generator", "column_name", "n_rows", "n_distinct", "exact", stat6(r).alias("ratio"),
-                     ((r > F.lit(ratio)) & (F.col("n_distinct") > F.lit(min_distinct))).alias("flagged"))

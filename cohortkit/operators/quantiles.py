@@ -1,10 +1,10 @@
-"""Exact median per group without holding a group in one task (A2, A6 at scale).
+"""Ordered prefix counts and exact quantiles without holding a group in one task.
 
-Counts per distinct (group, value) are aggregated (partial, map-side), then cumulative counts
-in value order are built in two levels like the KS prefix sums: approximate-quantile cut
-points per group (collected once, fixed literals; meant for few groups such as cohorts), bucket offsets (groups x buckets rows) and windows
-partitioned by (group, bucket). The rows holding ranks ``(n+1) div 2`` and ``n div 2 + 1`` give
-the exact interpolated median ``lo + (hi - lo) * 0.5``.
+Everything starts from counts per distinct (group, value), an aggregate with map-side combining.
+The counts are range-partitioned by (group, value), so each part is a contiguous stretch of the
+order; the part's number is stored with its rows. Totals per (group, part) give every part its
+offset, and the running sum is a window inside (group, part). The number of parts follows the number
+of distinct values, at every size.
 """
 
 from __future__ import annotations
@@ -12,56 +12,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.operators.fidelity import bucket_of, cut_points
 from cohortkit.session import materialize
 
+# Distinct values per part of the order.
+ROWS_PER_PART = 100_000
 
-# Largest number of distinct values one group may hold in a single task's buffer.
-IN_GROUP_MAX_DISTINCT = 2_000_000
 
+def prefix_counts(counts: DataFrame, keys: list[str], value: str, weights: list[str],
+                  rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``counts`` (one row per ``keys`` and ``value``) with ``cum_<weight>``: the sum of each weight
+    over the values up to this one in its group. ``counts`` should be materialized."""
+    parts = max(1, -(-counts.count() // rows_per_part))
+    dealt = materialize(counts.select(*keys, value, *weights).repartitionByRange(parts, *keys, value)
+                        .withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "_part").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    # a row per group and part: the running offset is a window over this small frame
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
+                                              for w in weights])
+    upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(offsets, [*keys, "_part"]).select(
+        *keys, value, *weights, *[(F.col(f"_o_{w}") + F.sum(w).over(upto)).alias(f"cum_{w}") for w in weights])
 
-def exact_median(df: DataFrame, group: str, value: str, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
-    """``(group, n_values, median)`` over non-null ``value`` (as double).
-
-    ``buckets=None`` chooses by size: when every group has at most ``IN_GROUP_MAX_DISTINCT``
-    distinct values, one weighted ``percentile`` per group (its buffer holds one entry per
-    distinct value); beyond that, the two-level distributed form with 64 buckets.
-    """
-    v = F.col(value).cast("double")
-    cnt = materialize(df.filter(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    if buckets is None:
-        sizes = [r["d"] for r in cnt.groupBy(group).agg(F.count(F.lit(1)).alias("d")).collect()]
-        buckets = 1 if max(sizes, default=0) <= IN_GROUP_MAX_DISTINCT else 64
-    if buckets <= 1:
-        return cnt.groupBy(group).agg(F.sum("c").alias("n_values"),
-                                      F.percentile("v", 0.5, F.col("c")).alias("median"))
-    cuts = cut_points(cnt, group, "v", buckets, accuracy)
-    vb = cnt.select(group, "v", "c", bucket_of(F.col(group), F.col("v"), cuts).alias("b"))
-    bt = vb.groupBy(group, "b").agg(F.sum("c").alias("bc"))
-    before = Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    off = bt.select(group, "b", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))
-    tot = bt.groupBy(group).agg(F.sum("bc").alias("n"))
-    w = Window.partitionBy(group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = vb.join(F.broadcast(off), [group, "b"]).select(group, "v", "c", (F.col("off") + F.sum("c").over(w)).alias("cum"))
-    k1, k2 = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    hit = cum.join(F.broadcast(tot), group)
-    holds = lambda k: (F.col("cum") - F.col("c") < k) & (F.col("cum") >= k)
-    mids = hit.filter(holds(k1) | holds(k2)).groupBy(group, "n").agg(
-        F.max(F.when(holds(k1), F.col("v"))).alias("lo"), F.max(F.when(holds(k2), F.col("v"))).alias("hi"))
-    return mids.select(group, F.col("n").alias("n_values"),
-                       (F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(0.5)).alias("median"))
 
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, probs: list[float],
+                        rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``(keys..., n_values, q0, q1, ...)``: exact linearly interpolated quantiles per group from
+    materialized ``counts`` (keys, value, c)."""
+    cum = prefix_counts(counts, keys, value, ["c"], rows_per_part)
+    totals = counts.groupBy(*keys).agg(F.sum("c").alias("n_values"))
+    at = cum.join(totals, keys)
+    picks, out = [], []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("n_values") - 1)
+        for side, k in (("lo", F.floor(place) + 1), ("hi", F.ceil(place) + 1)):
+            holds = (F.col("cum_c") - F.col("c") < k) & (F.col("cum_c") >= k)
+            picks.append(F.max(F.when(holds, F.col(value))).alias(f"_{side}{i}"))
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place))).alias(f"q{i}"))
+    return at.groupBy(*keys, "n_values").agg(*picks).select(*keys, "n_values", *out)
 
-def exact_quantiles(df: DataFrame, group, value: str, probs: list[float]) -> DataFrame:
-    """``(group..., n_values, q0, q1, ...)``: exact linearly interpolated quantiles per group.
 
-    ``group`` is a column name or a list of names. Uses one weighted ``percentile`` over the
-    counts per distinct value (the in-group buffer holds one entry per distinct value); meant
-    for groups below ``IN_GROUP_MAX_DISTINCT`` distinct values, like the median's first path.
-    """
+def exact_quantiles(df: DataFrame, group, value: str, probs: list[float],
+                    rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``(group..., n_values, q0, q1, ...)`` over the non-null ``value`` (as double); ``group`` is a
+    column name or a list of names."""
     keys = [group] if isinstance(group, str) else list(group)
     v = F.col(value).cast("double")
-    cnt = df.filter(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    q = F.percentile("v", F.array(*[F.lit(p) for p in probs]), F.col("c"))
-    out = cnt.groupBy(*keys).agg(F.sum("c").alias("n_values"), q.alias("_q"))
-    return out.select(*keys, "n_values", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+    counts = materialize(df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("c")))
+    return quantiles_of_counts(counts, keys, "_v", probs, rows_per_part)
+
+
+def exact_median(df: DataFrame, group: str, value: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``(group, n_values, median)`` over non-null ``value`` (as double)."""
+    return exact_quantiles(df, group, value, [0.5], rows_per_part).withColumnRenamed("q0", "median")

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.functions.scalars import MONEY, tax_of
-from cohortkit.operators.cohorts import cohort_dim
+from cohortkit import constants as K
+from cohortkit.operators import fidelity as FD
+from cohortkit.operators import privacy as P
+from cohortkit.operators import utility as U
+from cohortkit.operators.cohorts import per_cohort
+from cohortkit.session import materialize
 
 
 def receipt_rollup(items: DataFrame) -> DataFrame:
@@ -22,7 +27,7 @@ def cohort_counts(spark: SparkSession, receipts: DataFrame, items: DataFrame) ->
     """Receipts and item lines per cohort."""
     r = receipts.groupBy("generator").agg(F.count(F.lit(1)).alias("n_receipts"))
     i = items.groupBy("generator").agg(F.count(F.lit(1)).alias("n_item_lines"))
-    return cohort_dim(spark).join(r, "generator", "left").join(i, "generator", "left").select(
+    return per_cohort(spark, r, i).select(
         "generator", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"),
         F.coalesce("n_item_lines", F.lit(0)).alias("n_item_lines"))
 
@@ -30,13 +35,13 @@ def cohort_counts(spark: SparkSession, receipts: DataFrame, items: DataFrame) ->
 def header_line_reconcile(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Headers with and without lines, and lines without a header, per cohort.
 
-    Lines are counted per receipt first (partial aggregation), then one full outer join on
-    ``receipt_id`` answers all three questions: one shuffle of each side.
+    Lines are counted per cohort and receipt first (partial aggregation), then one full outer join on both
+    (an id can occur in several cohorts; null ids meet) answers all three questions.
     """
-    per_receipt = items.groupBy("receipt_id", "generator").agg(F.count(F.lit(1)).alias("n"))
-    h = headers.select("receipt_id", F.col("generator").alias("h_gen"), F.lit(1).alias("h"))
-    j = h.join(per_receipt, "receipt_id", "full_outer")
-    g = j.groupBy(F.coalesce("h_gen", "generator").alias("generator")).agg(
+    per_receipt = items.groupBy(F.col("receipt_id").alias("l_id"), F.col("generator").alias("l_gen")).agg(F.count(F.lit(1)).alias("n"))
+    h = headers.select("receipt_id", "generator", F.lit(1).alias("h"))
+    j = h.join(per_receipt, F.col("receipt_id").eqNullSafe(F.col("l_id")) & F.col("generator").eqNullSafe(F.col("l_gen")), "full_outer")
+    g = j.groupBy(F.coalesce("generator", "l_gen").alias("generator")).agg(
         F.count("h").alias("n_headers"),
         F.count(F.when(F.col("h").isNotNull(), F.col("n"))).alias("n_headers_with_lines"),
         F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("n_lines"),
@@ -91,17 +96,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
-    """KS per feature, top-15 lists, their overlap and category shares (V1).
+    """KS per feature, histograms and density curves, top-15 lists, their overlap and category shares (V1).
 
-    The cohort frames are read by every section, so they are materialized once first.
+    One aggregate per input (counts per distinct value, counts per item) feeds every section.
     """
-    from cohortkit import constants as K
-    from cohortkit.operators.utility import item_stats
-    from cohortkit.session import materialize
-    receipts, items = materialize(receipts), materialize(item_stats(items))
-    from cohortkit.operators import fidelity as FD
-    from cohortkit.operators import utility as U
-    ks = FD.ks_statistic(spark, receipts)
+    items = materialize(U.item_stats(items))
+    dist = FD.distribution(FD.unpivot_features(receipts))
+    ks = FD.ks_of(spark, dist, K.FIDELITY_FEATURES)
+    as_double = dist.withColumn("value", F.col("value").cast("double"))
+    hist, kde = FD.histogram_of(as_double), FD.kde_of(as_double)
+    at = lambda c, n: F.concat_ws(" ", "feature", F.lpad(F.col(c).cast("string"), n, "0"))
     top = U.top_n(U.value_counts(items, "item_name"), "item_name", K.TOP_ITEMS_FIDELITY)
     ov = FD.topn_overlap(items)
     cc = FD.category_compare(items)
@@ -109,6 +113,11 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
     return union_all([
         metric_rows(ks, "fidelity", "ks_d", key="feature", value="d", text="status"),
         metric_rows(ks, "fidelity", "ks_p_value", key="feature", value="p_value", text=F.coalesce("verdict", "status")),
+        metric_rows(hist, "fidelity", "histogram_count", generator="generator", key=at("bin", 4), value="cnt",
+                    text=F.concat_ws(" ", F.col("bin_lo").cast("decimal(18,6)"), F.col("bin_hi").cast("decimal(18,6)"))),
+        metric_rows(hist, "fidelity", "histogram_density", generator="generator", key=at("bin", 4), value="density"),
+        metric_rows(kde, "fidelity", "density_x", generator="generator", key=at("grid_idx", 3), value="x"),
+        metric_rows(kde, "fidelity", "density_curve", generator="generator", key=at("grid_idx", 3), value="density"),
         metric_rows(top, "fidelity", "top15_item", generator="generator", key=rk, value="cnt", text="item_name"),
         metric_rows(ov, "fidelity", "top15_common", key=F.lit("item_name"), value="n_common", text="status"),
         metric_rows(cc, "fidelity", "category_share", generator=F.lit(FD.A), key="category", value="share_a"),
@@ -118,11 +127,9 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
 
 def utility_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Spend, weekly spend, popular items and categories, weekday trend, ran-flag (V2)."""
-    from cohortkit import constants as K
-    from cohortkit.operators.utility import item_stats
-    from cohortkit.session import materialize
-    receipts, items = materialize(receipts), materialize(item_stats(items))
-    from cohortkit.operators import utility as U
+    keys = [c for c in ("customer_id", "customer_key") if c in receipts.columns]
+    receipts = materialize(receipts.select("generator", *keys, "week_num", "total_amount", "receipt_datetime"))
+    items = materialize(U.item_stats(items))
     sp = U.spend_summary(spark, receipts)
     aw = U.avg_weekly_spend_summary(receipts)
     t10 = U.top_n(U.value_counts(items, "item_name"), "item_name", K.TOP_ITEMS_UTILITY)
@@ -150,12 +157,10 @@ PII_NOTE = "no direct personal data by design"
 
 def privacy_report(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Extremes, high-uniqueness columns with verdict, id kind and the PII note (V3, V4, V5)."""
-    from cohortkit.operators import privacy as P
-    from cohortkit.session import materialize
     receipts = materialize(receipts)
     ex = P.extremes(spark, receipts).filter(F.col("n_receipts") > 0)
-    un = P.uniqueness(receipts).filter("flagged")
-    vd = P.uniqueness_verdict(spark, receipts)
+    counts = P.distinct_counts(receipts)  # one pass for the ratios and the verdict
+    un, vd = P.uniqueness_of(counts).filter("flagged"), materialize(P.verdict_of(counts))
     return union_all([
         metric_rows(ex, "privacy", "max_total_amount", generator="generator", value="max_total_amount"),
         metric_rows(ex, "privacy", "max_num_items", generator="generator", value="max_num_items"),
@@ -167,6 +172,11 @@ def privacy_report(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     ])
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """Store a metrics table as Parquet, one folder per section."""
+    report.write.mode("overwrite").partitionBy("section").parquet(path)
+
+
 RECOMMENDATIONS = [
     ("Statistical", "preferred for large, consistent structured data with known rules; fast and controllable"),
     ("LLM", "diverse examples but slow and numerically inconsistent; validate and use to augment"),

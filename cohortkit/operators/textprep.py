@@ -7,13 +7,17 @@ lower-cased words by count) and job 2 encodes each text to exactly ``max_len`` i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortkit import constants as K
 from cohortkit.functions import draws as D
 from cohortkit.functions.scalars import combine_text
-from cohortkit.operators.ranking import range_bucket, ranked
+from cohortkit.operators.ranking import ranked
+from cohortkit.session import materialize
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 N_SPECIAL = 4
@@ -40,6 +44,14 @@ def sample_tuples(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", F.to_json(F.array("html", "page_type", "summary")).alias("value"))
 
 
+def read_tuple_files(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of dataset files in the original's form: one JSON array of 3-element arrays
+    ``[html, page_type, summary]`` per file. Each file is read as one text; ``file`` and ``place`` name the sample."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    return files.select("file", F.posexplode(F.from_json("value", "array<array<string>>")).alias("place", "a")).select(
+        "file", "place", F.col("a")[0].alias("html"), F.col("a")[1].alias("page_type"), F.col("a")[2].alias("summary"))
+
+
 def unpack_tuples(tuples: DataFrame) -> DataFrame:
     """``[html, page_type, summary]`` JSON arrays back to columns."""
     a = F.from_json("value", "array<string>")
@@ -74,14 +86,13 @@ def encode_tokens(tokens: DataFrame, vocab: DataFrame, max_len: int = K.MAX_TOKE
     the vocabulary side is at most V rows, a size-bounded broadcast.
     """
     keep = max_len - 2
-    toks = tokens.select("sample_id", "label", F.posexplode(F.slice("toks", 1, keep)).alias("pos", "token"))
-    ids = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
-        .select("sample_id", "label", "pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
-    per = ids.groupBy("sample_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda s: s["token_id"]).alias("ids"))
-    # texts without a single word still get [CLS][SEP] + padding
-    per = tokens.select("sample_id", "label").join(per, "sample_id", "left") \
-        .withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    toks = tokens.select("sample_id", "label", F.posexplode_outer(F.slice("toks", 1, keep)).alias("pos", "token"))
+    ids = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left").select(
+        "sample_id", "label", "pos", F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK))).alias("token_id"))
+    # texts without a single word keep one row without a position, and get [CLS][SEP] + padding
+    per = ids.groupBy("sample_id", "label").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))),
+                    lambda s: s["token_id"]).alias("ids"))
     body = F.concat(F.array(F.lit(CLS)), F.col("ids"), F.array(F.lit(SEP)))
     n = F.size(body)
     input_ids = F.concat(body, F.array_repeat(F.lit(PAD), F.lit(max_len) - n))
@@ -105,15 +116,15 @@ def split_hash(rows: DataFrame, key: str = "sample_id", test_fraction: float = K
     return rows.select("*", (h < F.lit(test_fraction * D.TWO_32)).alias("is_test"))
 
 
-def split_exact(rows: DataFrame, key: str = "sample_id", test_fraction: float = K.TEST_FRACTION, seed=K.SEED,
-                buckets: int = 256) -> DataFrame:
+def split_exact(rows: DataFrame, key: str = "sample_id", test_fraction: float = K.TEST_FRACTION,
+                seed=K.SEED) -> DataFrame:
     """Exact split: order by keyed hash, the first ``ceil(fraction·n)`` rows are test.
 
-    The global order comes from bucketed prefix counts over the uniform hash range, not from
-    a single-task sort.
+    The fraction is taken as the decimal that it is written as. Only (hash, key) is ordered; the rows
+    join their rank.
     """
-    den = round(1 / test_fraction)
-    h = D.slot(D.key_md5(seed, F.col(key), "split"), 0)
-    n = rows.agg(F.count(F.lit(1))).scalar()
-    r = ranked(rows.withColumn("_h", h), ["_h", key], range_bucket(F.col("_h"), 0, D.TWO_32 / buckets, buckets), "_rank")
-    return r.withColumn("is_test", F.col("_rank") <= F.floor((n + (den - 1)) / den)).drop("_h", "_rank")
+    rows = materialize(rows)
+    hashed = materialize(rows.select(key, D.slot(D.key_md5(seed, F.col(key), "split"), 0).alias("_h")))
+    n_test = math.ceil(Fraction(str(test_fraction)) * hashed.count())
+    tests = ranked(hashed, ["_h", key], "_rank").select(F.col(key).alias("_k"), (F.col("_rank") <= n_test).alias("is_test"))
+    return rows.join(tests, F.col(key) == F.col("_k")).drop("_k")

@@ -11,21 +11,16 @@ from pyspark.sql import functions as F
 
 from cohortkit import constants as K
 from cohortkit.functions.scalars import MONEY, weekday_name
-from cohortkit.operators.cohorts import cohort_dim, mean_exact, stat6, status_of
+from cohortkit.operators.cohorts import mean_exact, per_cohort, stat6, status_of
+from cohortkit.operators.quantiles import exact_median
 
 
-def _median(df: DataFrame, value: str, method: str, accuracy: int) -> DataFrame:
-    """``(generator, median)`` by method: ``distributed`` (exact, no group in one task),
-    ``exact`` (Spark's in-group percentile) or ``approx`` (``percentile_approx``)."""
-    if method == "distributed":
-        from cohortkit.operators.quantiles import exact_median
-        return exact_median(df, "generator", value).select("generator", "median")
-    med = F.median(value) if method == "exact" else F.percentile_approx(value, 0.5, accuracy)
-    return df.groupBy("generator").agg(med.cast("double").alias("median"))
+def _median(df: DataFrame, value: str) -> DataFrame:
+    """``(generator, median)``, exact, with no group in one task."""
+    return exact_median(df, "generator", value).select("generator", "median")
 
 
-def spend_summary(spark: SparkSession, receipts: DataFrame, median: str = "distributed",
-                  accuracy: int = 10000) -> DataFrame:
+def spend_summary(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Mean and median receipt total per cohort (A2) with availability status."""
     from cohortkit.session import materialize
     receipts = materialize(receipts.select("generator", "total_amount"))
@@ -33,9 +28,9 @@ def spend_summary(spark: SparkSession, receipts: DataFrame, median: str = "distr
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_values"),
         mean_exact(F.col("total_amount")).alias("avg_total"),
-    ).join(_median(receipts, "total_amount", median, accuracy).withColumnRenamed("median", "median_total"),
+    ).join(_median(receipts, "total_amount").withColumnRenamed("median", "median_total"),
            "generator", "left")
-    out = cohort_dim(spark).join(agg, "generator", "left")
+    out = per_cohort(spark, agg)
     return out.select(
         "generator",
         F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"),
@@ -53,11 +48,13 @@ def _weekly_input(receipts: DataFrame) -> DataFrame:
     ``nunique() > 1`` is tested as ``min <> max``: one pass, no distinct aggregation.
     """
     from cohortkit.session import materialize
-    # read twice (guard and groups): materialize the four columns once
-    f = materialize(receipts.select("generator", "customer_id", "week_num", "total_amount")
+    # the shown customer_id is a short hash, which customers can share: where the frame has the key, it groups
+    key = F.col("customer_key") if "customer_key" in receipts.columns else F.col("customer_id")
+    # read twice (guard and groups): materialize the columns once
+    f = materialize(receipts.select("generator", "customer_id", key.alias("customer_key"), "week_num", "total_amount")
                     .dropna(subset=["customer_id", "week_num", "total_amount"]))
     guard = (f.groupBy("generator")
-             .agg(F.min("customer_id").alias("c0"), F.max("customer_id").alias("c1"),
+             .agg(F.min("customer_key").alias("c0"), F.max("customer_key").alias("c1"),
                   F.min("week_num").alias("w0"), F.max("week_num").alias("w1"))
              .filter((F.col("c0") != F.col("c1")) & (F.col("w0") != F.col("w1")))
              .select("generator"))
@@ -67,14 +64,18 @@ def _weekly_input(receipts: DataFrame) -> DataFrame:
 
 def weekly_spend(receipts: DataFrame) -> DataFrame:
     """Spend per cohort, customer and week (A4)."""
+    return _weekly(receipts).drop("customer_key")
+
+
+def _weekly(receipts: DataFrame) -> DataFrame:
     return (_weekly_input(receipts)
-            .groupBy("generator", "customer_id", "week_num")
+            .groupBy("generator", "customer_key", "customer_id", "week_num")
             .agg(F.sum("total_amount").cast(MONEY).alias("weekly_total")))
 
 
 def _avg_weekly(receipts: DataFrame) -> DataFrame:
-    return (weekly_spend(receipts)
-            .groupBy("generator", "customer_id")
+    return (_weekly(receipts)
+            .groupBy("generator", "customer_key", "customer_id")
             .agg(F.count(F.lit(1)).alias("n_weeks"), mean_exact(F.col("weekly_total")).alias("avg_weekly")))
 
 
@@ -84,7 +85,7 @@ def avg_weekly_spend(receipts: DataFrame) -> DataFrame:
                                          stat6(F.col("avg_weekly")).alias("avg_weekly_spend"))
 
 
-def avg_weekly_spend_summary(receipts: DataFrame, median: str = "distributed", accuracy: int = 10000) -> DataFrame:
+def avg_weekly_spend_summary(receipts: DataFrame) -> DataFrame:
     """Mean and median over customers of the mean weekly spend.
 
     One value per customer: the distributed median keeps that from landing in one task.
@@ -92,7 +93,7 @@ def avg_weekly_spend_summary(receipts: DataFrame, median: str = "distributed", a
     from cohortkit.session import materialize
     aw = materialize(_avg_weekly(receipts))
     agg = aw.groupBy("generator").agg(F.count(F.lit(1)).alias("n_customers"), F.avg("avg_weekly").alias("mean"))
-    return agg.join(_median(aw, "avg_weekly", median, accuracy), "generator", "left").select(
+    return agg.join(_median(aw, "avg_weekly"), "generator", "left").select(
         "generator", "n_customers", stat6(F.col("mean")).alias("mean_avg_weekly"),
         stat6(F.col("median")).alias("median_avg_weekly"))
 
@@ -117,20 +118,14 @@ def value_counts(items: DataFrame, column: str) -> DataFrame:
             .groupBy("generator", column).agg(F.sum(line_weight(items)).cast("bigint").alias("cnt")))
 
 
-def top_n(counts: DataFrame, column: str, n: int, cohorts=("Statistical", "LLM")) -> DataFrame:
-    """Top ``n`` values per cohort by count, ties by value ascending (L2, Q10).
+def top_n(counts: DataFrame, column: str, n: int) -> DataFrame:
+    """Top ``n`` values per cohort by count, ties by value ascending (L2, Q10), for every cohort of the data.
 
-    One distributed top-k per cohort (each partition keeps its best n, then n x partitions
-    rows are merged), instead of a window that sorts all distinct values of a cohort in one
-    task. The rank is then numbered over at most n rows per cohort.
+    One aggregate and one ranked window; the filter on the rank lets each task keep its best ``n`` rows per
+    cohort before the shuffle, so a cohort brings n rows per task to its window, not all its values.
     """
-    order = [F.desc("cnt"), F.asc(column)]
-    parts = [counts.filter(F.col("generator") == g).orderBy(*order).limit(n) for g in cohorts]
-    top = parts[0]
-    for p in parts[1:]:
-        top = top.unionByName(p)
-    w = Window.partitionBy("generator").orderBy(*order)
-    return top.withColumn("rank", F.row_number().over(w))
+    w = Window.partitionBy("generator").orderBy(F.desc("cnt"), F.asc(column))
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def top_list(top: DataFrame, column: str) -> DataFrame:
@@ -158,14 +153,15 @@ def day_of_week(spark: SparkSession, receipts: DataFrame) -> DataFrame:
 def utility_flag(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Whether at least one utility analysis ran per cohort."""
     from cohortkit.session import materialize
-    receipts = materialize(receipts.select("generator", "customer_id", "week_num", "total_amount", "receipt_datetime"))
+    keys = [c for c in ("customer_id", "customer_key") if c in receipts.columns]
+    receipts = materialize(receipts.select("generator", *keys, "week_num", "total_amount", "receipt_datetime"))
     r = receipts.groupBy("generator").agg(
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_totals"),
         F.count("receipt_datetime").alias("n_dates"))
     i = items.groupBy("generator").agg(F.sum(line_weight(items)).alias("n_items"))
     wk = _weekly_input(receipts).groupBy("generator").agg(F.count(F.lit(1)).alias("n_weekly"))
-    out = cohort_dim(spark).join(r, "generator", "left").join(i, "generator", "left").join(wk, "generator", "left")
+    out = per_cohort(spark, r, i, wk)
     ok = (F.coalesce("n_receipts", F.lit(0)) > 0) & (
         (F.coalesce("n_totals", F.lit(0)) > 0) | (F.coalesce("n_weekly", F.lit(0)) > 0)
         | (F.coalesce("n_items", F.lit(0)) > 0) | (F.coalesce("n_dates", F.lit(0)) > 0))

@@ -4,7 +4,10 @@ Every response is parsed once into a VARIANT and checked with native expressions
 failing rule (in the original order) becomes the ``reason``:
 
   empty_content -> bad_json -> not_an_object -> missing_keys -> no_items -> no_valid_items
-  -> bad_datetime
+  -> bad_datetime -> amount_overflow
+
+A line whose quantity x price does not fit the money type is not valid (``amount_overflow``), nor is a
+receipt whose sums do not: no response can abort the job, and every output agrees on it.
 
 Lines are validated inside the row: the item array is decoded natively (per element and per
 field) and a light ``transform`` combines the checks, so totals need no shuffle and raw text is
@@ -21,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit import constants as K
-from cohortkit.functions.scalars import MONEY, cents_to_money, coerce_datetime, iso_week, strip_fences, tax_of
+from cohortkit.functions.scalars import MONEY, coerce_datetime, iso_week, strip_fences, tax_of
+from cohortkit.operators.ranking import ranked
+from cohortkit.session import materialize
 
 REASONS = ["empty_content", "bad_json", "not_an_object", "missing_keys", "no_items", "no_valid_items",
-           "bad_datetime"]
+           "bad_datetime", "amount_overflow"]
 
 
 def _vget(v: Column, typ: str) -> Column:
@@ -44,7 +49,23 @@ def _all_present(st: Column, keys: list[str]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-LINE_TYPES = "array<struct<item_name:string,category:string,quantity:int,unit_price:decimal(18,2),item_total:decimal(18,2)>>"
+WIDE = "decimal(28,2)"  # amounts as declared; sums and products that fit MONEY are kept
+LINE_TYPES = f"array<struct<item_name:string,category:string,quantity:bigint,unit_price:{WIDE},item_total:{WIDE}>>"
+
+
+def _fits(c: Column) -> Column:
+    """The amount as MONEY, NULL where it does not fit."""
+    return c.try_cast(MONEY)
+
+
+def _py_text(v: Column, text: Column) -> Column:
+    """``str(x)`` of a JSON value (C7): ``True``/``False``, ``None``, and numbers with a fraction part keep one
+    (``1.0``); other values as their JSON text."""
+    kind = F.schema_of_variant(v)
+    return (F.when(text.isNull(), F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(text))
+            .when((kind.startswith("DECIMAL") | (kind == "DOUBLE")) & ~F.contains(text, F.lit(".")), F.concat(text, F.lit(".0")))
+            .otherwise(text))
 
 
 def _check_line(z: Column, i: Column) -> Column:
@@ -54,13 +75,16 @@ def _check_line(z: Column, i: Column) -> Column:
     pres, typed = z["_pres"], z["_typed"]
     shaped = _all_present(pres, K.ITEM_KEYS)
     ok_types = typed["quantity"].isNotNull() & typed["unit_price"].isNotNull() & typed["item_total"].isNotNull()
+    total = _fits(F.try_multiply(typed["quantity"].cast("decimal(19,0)"), typed["unit_price"]))
     return F.struct(
         i.alias("pos"),
-        F.when(~shaped, F.lit("bad_structure")).when(~ok_types, F.lit("bad_types")).alias("problem"),
-        F.coalesce(typed["item_name"], F.lit("None")).alias("item_name"),
-        F.coalesce(typed["category"], F.lit("None")).alias("category"),
-        typed["quantity"].alias("quantity"), typed["unit_price"].alias("unit_price"),
-        typed["item_total"].alias("declared_total"))
+        F.when(~shaped, F.lit("bad_structure")).when(~ok_types, F.lit("bad_types"))
+        .when(total.isNull() | _fits(typed["unit_price"]).isNull() | _fits(typed["item_total"]).isNull(),
+              F.lit("amount_overflow")).alias("problem"),
+        _py_text(pres["item_name"], typed["item_name"]).alias("item_name"),
+        _py_text(pres["category"], typed["category"]).alias("category"),
+        typed["quantity"].alias("quantity"), _fits(typed["unit_price"]).alias("unit_price"),
+        _fits(typed["item_total"]).alias("declared_total"), total.alias("line_total"))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -87,20 +111,20 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         F.transform(F.arrays_zip("_pres", "_typed"), _check_line).alias("lines"))
     valid = F.filter("lines", lambda l: l["problem"].isNull())
     stage4 = stage3.withColumn("_valid", valid)
-    cents = F.aggregate("_valid", F.lit(0).cast("bigint"),
-                        lambda a, l: a + l["quantity"].cast("bigint") * (l["unit_price"] * 100).cast("bigint"))
+    amount = F.aggregate("_valid", F.lit(0).cast(WIDE), lambda a, l: F.try_add(a, l["line_total"]).try_cast(WIDE))
     ts = coerce_datetime(_vget(o["receipt_datetime"], "string"))
     stage5 = stage4.select(
         "attempt", "_empty", "_bad_json", "_obj", "_has_keys", "lines", "_valid",
-        F.size("_valid").alias("n_valid_lines"), cents.alias("_sub_cents"), ts.alias("receipt_datetime"))
+        F.size("_valid").alias("n_valid_lines"), _fits(amount).alias("_subtotal"), ts.alias("receipt_datetime"))
+    subtotal = F.col("_subtotal")
     reason = (F.when(F.col("_empty"), F.lit("empty_content"))
               .when(F.col("_bad_json"), F.lit("bad_json"))
               .when(F.col("_obj").isNull(), F.lit("not_an_object"))
               .when(~F.col("_has_keys"), F.lit("missing_keys"))
               .when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, F.lit("no_items"))
               .when(F.col("n_valid_lines") == 0, F.lit("no_valid_items"))
-              .when(F.col("receipt_datetime").isNull(), F.lit("bad_datetime")))
-    subtotal = cents_to_money(F.col("_sub_cents"))
+              .when(F.col("receipt_datetime").isNull(), F.lit("bad_datetime"))
+              .when(_fits(F.try_add(subtotal, tax_of(subtotal))).isNull(), F.lit("amount_overflow")))
     checked = stage5.select("*", reason.alias("reason"))
     # Named metrics (attempts seen, accepted) per validation run. They also fence the plan:
     # filters on `reason` stay above this node instead of being rewritten into copies of the
@@ -145,13 +169,13 @@ def accepted_items(parsed: DataFrame) -> DataFrame:
     """Surviving lines of accepted receipts, item total recomputed as quantity x unit price (Q4, Q5)."""
     return _accepted_lines(parsed).select(
         "attempt", "pos", "receipt_id", "customer_id", "item_name", "category", "quantity", "unit_price",
-        (F.col("quantity") * F.col("unit_price")).cast(MONEY).alias("item_total"), F.lit("LLM").alias("generator"))
+        F.col("line_total").alias("item_total"), F.lit("LLM").alias("generator"))
 
 
 def item_total_audit(parsed: DataFrame) -> DataFrame:
     """Declared versus recomputed line total on accepted lines; mismatch above 0.01."""
     it = _accepted_lines(parsed)
-    recomputed = (F.col("quantity") * F.col("unit_price")).cast(MONEY)
+    recomputed = F.col("line_total")
     return it.select("attempt", "pos", "declared_total", recomputed.alias("item_total"),
                      (F.abs(recomputed - F.col("declared_total")) > F.lit(0.01)).alias("item_total_mismatch"))
 
@@ -167,23 +191,21 @@ def reject_summary(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n_attempts"))
 
 
-def first_n_accepted(parsed: DataFrame, n, buckets: int = 256) -> DataFrame:
+def first_n_accepted(parsed: DataFrame, n) -> DataFrame:
     """First ``n`` accepted receipts in attempt order among attempts ``1 .. 3n``.
 
-    ``n`` is an int or a scalar Column. The accept rank is computed by bucketed prefix counts
-    (no global sort in one task).
+    ``n`` is an int or a scalar Column.
     """
-    from cohortkit.operators.ranking import range_bucket, ranked
-
-    from cohortkit.session import materialize
-
     n = F.lit(n) if isinstance(n, int) else n
     budget = n * K.MAX_ATTEMPTS_PER_RECEIPT
-    # validated headers within the budget: read by the bucket counts and the ranking
+    # validated headers within the budget: read by the count and the ranking
     acc = materialize(accepted_receipts(parsed.filter(F.col("attempt") <= budget)))
-    width = F.greatest(budget.cast("double") / buckets, F.lit(1.0))
-    r = ranked(acc, "attempt", range_bucket(F.col("attempt") - 1, 0, width, buckets), "accept_rank")
-    return r.filter(F.col("accept_rank") <= n)
+    return ranked(acc, "attempt", "accept_rank").filter(F.col("accept_rank") <= n)
+
+
+def first_n_items(first: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Lines of the first-n receipts (G4): the accepted lines of their attempts."""
+    return accepted_items(parsed).join(first.select("attempt"), "attempt", "left_semi")
 
 
 def attempt_summary(parsed: DataFrame, n) -> DataFrame:
@@ -192,17 +214,12 @@ def attempt_summary(parsed: DataFrame, n) -> DataFrame:
     Attempts consumed: up to the attempt of the n-th acceptance, else all attempts within the
     budget (``attempt`` numbers the tries from 1).
     """
-    from cohortkit.operators.ranking import range_bucket, ranked
-    from cohortkit.session import materialize
-
     n = F.lit(n) if isinstance(n, int) else n
     budget = n * K.MAX_ATTEMPTS_PER_RECEIPT
     # (attempt, accepted) is all the loop needs: parse once, keep two columns
     out = materialize(parsed.select("attempt", F.col("reason").isNull().alias("ok")))
     acc = out.filter(F.col("ok") & (F.col("attempt") <= budget))
-    width = F.greatest(budget.cast("double") / 256, F.lit(1.0))
-    firsts = ranked(acc, "attempt", range_bucket(F.col("attempt") - 1, 0, width, 256), "accept_rank") \
-        .filter(F.col("accept_rank") <= n)
+    firsts = ranked(acc, "attempt", "accept_rank").filter(F.col("accept_rank") <= n)
     # one row, read by two scalar subqueries: computed once
     stats = materialize(firsts.agg(F.count(F.lit(1)).alias("n_accepted"),
                                    F.max(F.when(F.col("accept_rank") == n, F.col("attempt"))).alias("nth")))

@@ -50,7 +50,7 @@ def q_ks_statistic(spark, sf_dir):
 SELECT feature, round(p, 6) AS p_value, p < 0.05 AS significant FROM ksp WHERE status = 'ok'
 """, "features_fx"))
 def q_ks_pvalue(spark, sf_dir):
-    ks = FD.ks_statistic(spark, receipts_fx(spark, sf_dir), buckets=1)
+    ks = FD.ks_statistic(spark, receipts_fx(spark, sf_dir))
     return ks.filter(F.col("status") == "ok").select(
         "feature", "p_value", (F.col("verdict") == K.KS_DIFFER).alias("significant"))
 
@@ -94,27 +94,40 @@ def q_weekly_spend_histogram(spark, sf_dir):
     return FD.density_histogram(FD.weekly_spend_long(receipts_fx(spark, sf_dir)))
 
 
-KDE_BINS, KDE_GRID, KDE_CUT = 1024, 200, 3.0
+KDE_GRID = 200
 
 
-@register("kde_curve", with_views(f"""
-WITH long AS (SELECT generator, feature, cast(value AS DOUBLE) AS value FROM features_fx WHERE value IS NOT NULL),
+def _kde_sql(long_sql: str) -> str:
+    """Exact Gaussian density over the range of the data, Scott bandwidth, restated in SQL."""
+    return f"""
+WITH long AS ({long_sql}),
 st AS (SELECT feature, generator, count(*) AS n, min(value) AS lo, max(value) AS hi,
               stddev_samp(value) * pow(cast(count(*) AS DOUBLE), -0.2) AS h
        FROM long GROUP BY feature, generator HAVING count(*) >= 2 AND stddev_samp(value) > 0),
 b AS (SELECT feature, generator, value AS centre, count(*) AS cnt FROM long GROUP BY ALL),
-p AS (SELECT feature, generator, n, h, grid_idx,
-             (lo - {KDE_CUT} * h) + grid_idx * ((hi + {KDE_CUT} * h - (lo - {KDE_CUT} * h)) / {KDE_GRID - 1}) AS x
+p AS (SELECT feature, generator, n, h, grid_idx, lo + grid_idx * ((hi - lo) / {KDE_GRID - 1}) AS x
       FROM (SELECT *, cast(unnest(range(0, {KDE_GRID})) AS INTEGER) AS grid_idx FROM st) s)
 SELECT p.feature, p.generator, p.grid_idx, round(p.x, 6) AS x,
        round(sum(b.cnt * exp(-0.5 * ((p.x - b.centre) / p.h) * ((p.x - b.centre) / p.h))) / (p.n * p.h * sqrt(2 * pi())), 6)
          AS density
 FROM b JOIN p ON p.feature = b.feature AND p.generator = b.generator
 GROUP BY p.feature, p.generator, p.grid_idx, p.x, p.n, p.h
-""", "features_fx"))
+"""
+
+
+@register("kde_curve", with_views(
+    _kde_sql("SELECT generator, feature, cast(value AS DOUBLE) AS value FROM features_fx WHERE value IS NOT NULL"),
+    "features_fx"))
 def q_kde_curve(spark, sf_dir):
-    """Exact Gaussian KDE here (every cohort is below the distinct-value bound at these sizes)."""
-    return FD.kde_curve(FD.unpivot_features(receipts_fx(spark, sf_dir)), grid=KDE_GRID, cut=KDE_CUT, bins=KDE_BINS)
+    """Density curves of the receipt features."""
+    return FD.kde_curve(FD.unpivot_features(receipts_fx(spark, sf_dir)), grid=KDE_GRID)
+
+
+@register("weekly_spend_kde", with_views(
+    _kde_sql("SELECT generator, 'avg_weekly_spend' AS feature, avg_weekly AS value FROM avg_weekly_fx"), "avg_weekly_fx"))
+def q_weekly_spend_kde(spark, sf_dir):
+    """Density curve of the average weekly spend per customer."""
+    return FD.kde_curve(FD.weekly_spend_long(receipts_fx(spark, sf_dir)), grid=KDE_GRID)
 
 
 @register("topn_overlap", with_views(f"""

@@ -116,9 +116,10 @@ def q_json_roundtrip(spark, sf_dir):
     return spark.read.schema("sample_id long, html string, page_type string, summary string").json(path)
 
 
-@register("latest_dataset")
+@register("latest_dataset", with_views("SELECT sample_id, html, page_type, summary FROM page_samples_v",
+                                       "page_samples_v"))
 def q_latest_dataset(spark, sf_dir):
-    """Two timestamped datasets; the newest is read back (S8, L3). Rows-only check."""
+    """Two timestamped datasets; the newest is read back."""
     from cohortkit.session import scratch_path
     base = scratch_path(spark, "datasets")
     samples = PG.page_samples(_validated(spark, sf_dir))

@@ -143,13 +143,13 @@ def q_receipt_rollup(spark, sf_dir):
 @register("header_line_reconcile", with_views("""
 WITH h AS (SELECT 'ORD_' || cast(o_orderkey AS VARCHAR) AS receipt_id,
                   CASE WHEN o_orderkey % 10 = 0 THEN 'LLM' ELSE 'Statistical' END AS generator FROM orders),
-     l AS (SELECT receipt_id, count(*) AS n FROM items_fx GROUP BY receipt_id),
+     l AS (SELECT receipt_id, generator, count(*) AS n FROM items_fx GROUP BY receipt_id, generator),
      o AS (SELECT generator, count(*) AS n FROM items_fx WHERE receipt_id NOT IN (SELECT receipt_id FROM h)
            GROUP BY generator)
 SELECT h.generator, count(*) AS n_headers, count(l.n) AS n_headers_with_lines,
        count(*) - count(l.n) AS n_headers_without_lines, cast(coalesce(sum(l.n), 0) AS BIGINT) AS n_lines,
        coalesce(max(o.n), 0) AS n_orphan_lines
-FROM h LEFT JOIN l ON l.receipt_id = h.receipt_id LEFT JOIN o ON o.generator = h.generator
+FROM h LEFT JOIN l ON l.receipt_id = h.receipt_id AND l.generator = h.generator LEFT JOIN o ON o.generator = h.generator
 GROUP BY h.generator
 """, "items_fx"))
 def q_header_line_reconcile(spark, sf_dir):

@@ -117,7 +117,7 @@ def q_validated_receipts(spark, sf_dir):
 @register("validated_items", with_views("""
 SELECT o.attempt, l.pos, CASE WHEN o.c = 14 THEN NULL ELSE 'ORD_' || cast(o.order_key AS VARCHAR) END AS receipt_id,
        'CUST_S_' || substr(sha1(cast(o.o_custkey AS VARCHAR)), 1, 8) AS customer_id,
-       l.item_name, l.category, cast(l.quantity AS INTEGER) AS quantity, l.unit_price,
+       l.item_name, l.category, cast(l.quantity AS BIGINT) AS quantity, l.unit_price,
        cast(l.quantity * l.unit_price AS DECIMAL(18,2)) AS item_total, 'LLM' AS generator
 FROM resp_outcome o JOIN resp_lines l ON l.order_key = o.order_key
 WHERE o.reason IS NULL AND l.problem IS NULL""", "resp_outcome"))

@@ -83,6 +83,7 @@ def receipts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdr.select(
         F.concat(F.lit("ORD_"), F.col("order_key").cast("string")).alias("receipt_id"),
         hashed_customer_id(F.col("o_custkey")).alias("customer_id"),
+        F.col("o_custkey").alias("customer_key"),
         F.col("n_name").alias("store_name"),
         F.col("r_name").alias("store_location"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("receipt_datetime"),
