@@ -175,7 +175,7 @@ def _kept(customers: DataFrame, n_weeks: int, seed, keep_prob: float) -> DataFra
     return retained(customer_week_grid(ids, n_weeks), seed, keep_prob)
 
 
-def statistical_receipts_from(lines: DataFrame) -> DataFrame:
+def statistical_receipts_from(lines: DataFrame, keep_key: bool = False) -> DataFrame:
     """Receipt headers rolled up from their lines (A1). Grouping starts with ``cust_key`` so a
     hash partitioning on it already satisfies the aggregate's distribution."""
     carried = ["receipt_id", "customer_id", "store_name", "store_location", "receipt_datetime"]
@@ -187,7 +187,7 @@ def statistical_receipts_from(lines: DataFrame) -> DataFrame:
     sub = agg.withColumn("subtotal", cents_to_money(F.col("sub_cents"))).withColumn("tax", tax_of(F.col("subtotal")))
     return sub.select("receipt_id", "customer_id", "store_name", "store_location", "receipt_datetime", "week_num",
                       "num_items", "subtotal", "tax", (F.col("subtotal") + F.col("tax")).cast(MONEY).alias("total_amount"),
-                      F.lit("Statistical").alias("generator"))
+                      F.lit("Statistical").alias("generator"), *([F.col("cust_key").cast("string").alias("customer_key")] if keep_key else []))
 
 
 def statistical_lines(spark: SparkSession, customers: DataFrame, n_weeks: int = K.N_WEEKS,
@@ -197,9 +197,11 @@ def statistical_lines(spark: SparkSession, customers: DataFrame, n_weeks: int =
 
 
 def statistical_receipts(spark: SparkSession, customers: DataFrame, n_weeks: int = K.N_WEEKS,
-                         start: str = K.START_DATE, seed=K.SEED, keep_prob: float = K.KEEP_PROB) -> DataFrame:
-    """Receipt headers of the statistical cohort."""
-    return statistical_receipts_from(statistical_lines(spark, customers, n_weeks, start, seed, keep_prob))
+                         start: str = K.START_DATE, seed=K.SEED, keep_prob: float = K.KEEP_PROB,
+                         keep_key: bool = False) -> DataFrame:
+    """Receipt headers of the statistical cohort (G1, G2); ``keep_key`` adds ``customer_key`` (as text), since the shown
+    ``customer_id`` is a short hash."""
+    return statistical_receipts_from(statistical_lines(spark, customers, n_weeks, start, seed, keep_prob), keep_key)
 
 
 def statistical_items(spark: SparkSession, customers: DataFrame, n_weeks: int = K.N_WEEKS,

@@ -113,8 +113,9 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
     return union_all([
         metric_rows(ks, "fidelity", "ks_d", key="feature", value="d", text="status"),
         metric_rows(ks, "fidelity", "ks_p_value", key="feature", value="p_value", text=F.coalesce("verdict", "status")),
-        metric_rows(hist, "fidelity", "histogram_count", generator="generator", key=at("bin", 4), value="cnt",
-                    text=F.concat_ws(" ", F.col("bin_lo").cast("decimal(18,6)"), F.col("bin_hi").cast("decimal(18,6)"))),
+        metric_rows(hist, "fidelity", "histogram_count", generator="generator", key=at("bin", 4), value="cnt"),
+        metric_rows(hist, "fidelity", "histogram_low", generator="generator", key=at("bin", 4), value="bin_lo"),
+        metric_rows(hist, "fidelity", "histogram_high", generator="generator", key=at("bin", 4), value="bin_hi"),
         metric_rows(hist, "fidelity", "histogram_density", generator="generator", key=at("bin", 4), value="density"),
         metric_rows(kde, "fidelity", "density_x", generator="generator", key=at("grid_idx", 3), value="x"),
         metric_rows(kde, "fidelity", "density_curve", generator="generator", key=at("grid_idx", 3), value="density"),

@@ -24,10 +24,10 @@ PAGE_TYPE_SQL = f"{TYPES_SQL}[1 + {slot_sql(md5_sql('page_id', chr(39) + 'page_t
 
 view("page_outcome", f"""
 SELECT page_id AS sample_id, {PAGE_TYPE_SQL} AS page_type,
-       CASE WHEN page_id % 7 = 0 THEN 'incomplete' WHEN page_id % 7 IN (1, 2) THEN 'generation_failed' END AS reason,
-       CASE WHEN page_id % 7 IN (1, 2) THEN NULL ELSE html END AS html,
-       CASE WHEN page_id % 7 IN (0, 1, 2) THEN NULL ELSE {TITLE_SQL} END AS summary
-FROM pages
+       CASE WHEN page_id % 7 = 0 THEN 'incomplete' WHEN bad THEN 'generation_failed' END AS reason,
+       CASE WHEN bad THEN NULL ELSE html END AS html,
+       CASE WHEN bad OR page_id % 7 = 0 THEN NULL ELSE {TITLE_SQL} END AS summary
+FROM (SELECT *, page_id % 7 IN (1, 2) OR (page_id % 7 >= 3 AND (page_id // 7) % 10 = 0) AS bad FROM pages) p
 """)
 
 view("page_samples_v", """

@@ -17,16 +17,20 @@ from cohortkit.sources.fixtures import responses_fx
 from cohortkit.sources.tables import load
 
 view("resp_lines", """
-SELECT order_key, cast(order_key % 20 AS INTEGER) AS c, pos, n_lines, item_name,
+SELECT order_key, cast(order_key % 20 AS INTEGER) AS c, pos, n_lines,
+       CASE WHEN s19 = 2 AND pos < 3 THEN ['True', '1.0', '7'][pos + 1] ELSE item_name END AS item_name,
        CASE WHEN order_key % 20 = 14 THEN 'None' ELSE category END AS category,
        CASE WHEN order_key % 20 = 10 THEN [2, 2, 2, 1][pos % 4 + 1] WHEN order_key % 20 = 15 THEN 99
+            WHEN s19 = 0 AND pos = 0 THEN 3000000000 WHEN s19 = 1 AND pos = 0 THEN 2000000000
             ELSE quantity END AS quantity,
-       CASE WHEN order_key % 20 = 15 THEN cast(900.00 AS DECIMAL(18,2)) ELSE unit_price END AS unit_price,
+       CASE WHEN order_key % 20 = 15 THEN cast(900.00 AS DECIMAL(18,2))
+            WHEN s19 = 1 AND pos = 0 THEN cast(99999999999.99 AS DECIMAL(18,2)) ELSE unit_price END AS unit_price,
        CASE WHEN order_key % 20 = 12 THEN cast(declared_total + 0.02 AS DECIMAL(18,2)) ELSE declared_total END
          AS declared_total,
        CASE WHEN order_key % 20 = 16 AND pos = 0 THEN 'bad_structure'
-            WHEN (order_key % 20 = 5 AND pos = 0) OR order_key % 20 IN (11, 17) THEN 'bad_types' END AS problem
-FROM (SELECT *, cast(row_number() OVER (PARTITION BY order_key
+            WHEN (order_key % 20 = 5 AND pos = 0) OR order_key % 20 IN (11, 17) THEN 'bad_types'
+            WHEN s19 = 1 AND pos = 0 THEN 'amount_overflow' END AS problem
+FROM (SELECT *, CASE WHEN order_key % 20 = 19 THEN (order_key // 20) % 4 END AS s19, cast(row_number() OVER (PARTITION BY order_key
                        ORDER BY item_name, category, quantity, unit_price, declared_total) - 1 AS INTEGER) AS pos,
              count(*) OVER (PARTITION BY order_key) AS n_lines
       FROM priced_lines_fx) t
@@ -50,7 +54,7 @@ SELECT o.o_orderkey + 1 AS attempt, o.o_orderkey AS order_key, o.o_custkey, o.o_
 FROM orders o
 JOIN (SELECT DISTINCT order_key FROM priced_lines_fx) h ON h.order_key = o.o_orderkey
 LEFT JOIN (SELECT order_key, max(n_lines) AS n_lines, count(*) FILTER (WHERE problem IS NULL) AS n_valid,
-                  sum(CASE WHEN problem IS NULL THEN quantity * cast(unit_price * 100 AS BIGINT) END) AS sub_cents
+                  sum(CASE WHEN problem IS NULL THEN CAST(quantity AS HUGEINT) * cast(unit_price * 100 AS BIGINT) END) AS sub_cents
            FROM resp_lines GROUP BY order_key) v ON v.order_key = o.o_orderkey
 """, ["priced_lines_fx", "resp_lines"])
 
@@ -118,7 +122,7 @@ def q_validated_receipts(spark, sf_dir):
 SELECT o.attempt, l.pos, CASE WHEN o.c = 14 THEN NULL ELSE 'ORD_' || cast(o.order_key AS VARCHAR) END AS receipt_id,
        'CUST_S_' || substr(sha1(cast(o.o_custkey AS VARCHAR)), 1, 8) AS customer_id,
        l.item_name, l.category, cast(l.quantity AS BIGINT) AS quantity, l.unit_price,
-       cast(l.quantity * l.unit_price AS DECIMAL(18,2)) AS item_total, 'LLM' AS generator
+       cast(CAST(l.quantity AS DECIMAL(18,0)) * l.unit_price AS DECIMAL(18,2)) AS item_total, 'LLM' AS generator
 FROM resp_outcome o JOIN resp_lines l ON l.order_key = o.order_key
 WHERE o.reason IS NULL AND l.problem IS NULL""", "resp_outcome"))
 def q_validated_items(spark, sf_dir):
@@ -126,8 +130,8 @@ def q_validated_items(spark, sf_dir):
 
 
 @register("item_total_audit", with_views("""
-SELECT o.attempt, l.pos, l.declared_total, cast(l.quantity * l.unit_price AS DECIMAL(18,2)) AS item_total,
-       abs(cast(l.quantity * l.unit_price AS DECIMAL(18,2)) - l.declared_total) > 0.01 AS item_total_mismatch
+SELECT o.attempt, l.pos, l.declared_total, cast(CAST(l.quantity AS DECIMAL(18,0)) * l.unit_price AS DECIMAL(18,2)) AS item_total,
+       abs(cast(CAST(l.quantity AS DECIMAL(18,0)) * l.unit_price AS DECIMAL(18,2)) - l.declared_total) > 0.01 AS item_total_mismatch
 FROM resp_outcome o JOIN resp_lines l ON l.order_key = o.order_key
 WHERE o.reason IS NULL AND l.problem IS NULL""", "resp_outcome"))
 def q_item_total_audit(spark, sf_dir):

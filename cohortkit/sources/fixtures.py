@@ -124,18 +124,23 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = lines.select("order_key", *order, "item_total", (F.row_number().over(w) - 1).cast("int").alias("pos"))
     cls = (F.col("order_key") % 20).cast("int")
     i = F.col("pos")
-    q = (F.when((cls == 5) & (i == 0), F.lit('"two"'))
+    sub19 = F.when(cls == 19, F.floor(F.col("order_key") / 20) % 4)  # 0 huge quantity, 1 huge product, 2 odd names
+    q = (F.when((sub19 == 0) & (i == 0), F.lit("3000000000"))
+         .when((sub19 == 1) & (i == 0), F.lit("2000000000"))
+         .when((cls == 5) & (i == 0), F.lit('"two"'))
          .when(cls == 10, F.element_at(F.array(*[F.lit(v) for v in QTY_VARIANTS]), (i % 4 + 1).cast("int")))
          .when(cls == 11, F.lit('"2.9"'))
          .when(cls == 15, F.lit("99"))
          .when(cls == 17, F.lit('"x"'))
          .otherwise(F.col("quantity").cast("string")))
-    price = F.when(cls == 15, F.lit("900.00")).otherwise(F.col("unit_price").cast("string"))
+    price = F.when(cls == 15, F.lit("900.00")).when((sub19 == 1) & (i == 0), F.lit("99999999999.99")).otherwise(F.col("unit_price").cast("string"))
     total = F.when(cls == 12, (F.col("declared_total") + F.lit(0.02).cast("decimal(3,2)")).cast(MONEY).cast("string")) \
         .otherwise(F.col("declared_total").cast("string"))
     cat = F.when(cls == 14, F.lit("null")).when((cls == 16) & (i == 0), F.lit(None)).otherwise(_jstr(F.col("category")))
+    name = (F.when((sub19 == 2) & (i == 0), F.lit("true")).when((sub19 == 2) & (i == 1), F.lit("1.0"))
+            .when((sub19 == 2) & (i == 2), F.lit("7")).otherwise(_jstr(F.col("item_name"))))
     line_json = F.concat(F.lit("{"), F.concat_ws(
-        ", ", _pair("item_name", _jstr(F.col("item_name"))), F.when(cat.isNotNull(), _pair("category", cat)),
+        ", ", _pair("item_name", name), F.when(cat.isNotNull(), _pair("category", cat)),
         _pair("quantity", q), _pair("unit_price", price), _pair("item_total", total)), F.lit("}"))
     per_order = numbered.select("order_key", "pos", "item_total", line_json.alias("j")).groupBy("order_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "j"))), lambda x: x["j"]).alias("item_texts"),
@@ -195,9 +200,15 @@ def page_responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages", "page_id", "html")
     title = F.regexp_extract("html", TITLE_PATTERN, 1)
     cls = (F.col("page_id") % 7).cast("int")
+    even = F.floor(F.col("page_id") / 7) % 10 == 0  # every tenth of a class: text after the object, empty results
+    full = F.to_json(F.struct("html", title.alias("summary")))
     raw = (F.when(cls == 0, F.to_json(F.struct("html")))
            .when(cls == 1, F.lit("{}"))
            .when(cls == 2, F.lit('{"html": "<p>unterminated'))
-           .otherwise(F.to_json(F.struct("html", title.alias("summary")))))
+           .when((cls == 3) & even, F.concat(full, F.lit(" and that is the page.")))
+           .when((cls == 4) & even, F.lit("[]"))
+           .when((cls == 5) & even, F.lit("null"))
+           .when((cls == 6) & even, F.concat(full, full))
+           .otherwise(full))
     return pages.select(F.col("page_id").alias("sample_id"), page_type_draw(F.col("page_id")).alias("page_type"),
                         raw.alias("raw"))

@@ -102,8 +102,8 @@ def test_ks_known(spark):
     df = spark.createDataFrame(rows, "generator string, num_items int").select(
         "generator", "num_items", F.col("num_items").cast("decimal(18,2)").alias("subtotal"),
         F.lit(None).cast("decimal(18,2)").alias("total_amount"))
-    for buckets in (1, 4):
-        ks = {r["feature"]: r for r in ks_statistic(spark, df, buckets=buckets).collect()}
+    for rows_per_part in (1, 3, 100):
+        ks = {r["feature"]: r for r in ks_statistic(spark, df, rows_per_part=rows_per_part).collect()}
         assert ks["num_items"]["d"] == 0.5 and ks["subtotal"]["d"] == 0.5
         assert ks["total_amount"]["status"] == "missing"
     same = spark.createDataFrame([(g, v) for g in ("Statistical", "LLM") for v in range(10)], "generator string, num_items int")
@@ -271,12 +271,91 @@ def test_latest_dataset(spark):
         DS.write_dataset(new, base, "20250102_000000")   # an existing dataset is never overwritten
 
 
-def test_uniqueness_screened_flags_equal_exact(spark):
-    from cohortkit.operators.privacy import uniqueness, uniqueness_screened
-    from cohortkit.sources.fixtures import receipts_fx
-    from conftest import SF_SMALL
-    r = receipts_fx(spark, SF_SMALL)
-    exact = {(x["generator"], x["column_name"]): x["flagged"] for x in uniqueness(r).collect()}
-    screened = {(x["generator"], x["column_name"]): (x["flagged"], x["exact"]) for x in uniqueness_screened(r).collect()}
-    assert {k: v[0] for k, v in screened.items()} == exact
-    assert all(ex for f, ex in screened.values() if f)   # every flag rests on an exact count
+def test_any_amount_leaves_the_other_responses_alone(spark):
+    line = '{"item_name": "A", "category": "C", "quantity": %s, "unit_price": %s, "item_total": 1.00}'
+    raws = [(1, receipt()), (2, receipt(items="[" + line % ("3000000000", "1.00") + "]")),
+            (3, receipt(items="[" + line % ("2000000000", "99999999999.99") + "]")),
+            (4, receipt(items="[" + ", ".join(line % ("99999", "99999999999.99") for _ in range(3)) + "]")),
+            (5, receipt(items="[" + line % ("9" * 30, "1.00") + ", " + line % ("1", "9" * 40) + ", " + line % ("2", "3.00") + "]"))]
+    p = V.parse_responses(spark.createDataFrame(raws, "attempt long, raw string"))
+    assert {r["attempt"]: r["reason"] for r in V.validation_outcome(p).collect()} == {
+        1: None, 2: None, 3: "no_valid_items", 4: "amount_overflow", 5: None}
+    assert {r["attempt"]: str(r["subtotal"]) for r in V.accepted_receipts(p).collect()} == {1: "3.55", 2: "3000000000.00", 5: "6.00"}
+    for lines in (V.accepted_items(p), V.item_total_audit(p)):
+        assert sorted(r["attempt"] for r in lines.collect()) == [1, 2, 5]
+
+
+def test_names_read_as_text(spark):
+    names = ["true", "false", "null", "1.0", "2.50", "7", '"x"']
+    items = "[" + ", ".join('{"item_name": %s, "category": "C", "quantity": 1, "unit_price": 1, "item_total": 1}' % n for n in names) + "]"
+    p = V.parse_responses(spark.createDataFrame([(1, receipt(items=items))], "attempt long, raw string"))
+    assert [r["item_name"] for r in V.accepted_items(p).orderBy("pos").collect()] == ["True", "False", "None", "1.0", "2.5", "7", "x"]
+
+
+def test_page_responses_hold_one_object(spark):
+    from cohortkit.operators.pages import validate_page_responses
+    ok = '{"html": "<p>", "summary": "s"}'
+    raws = [(1, ok, None), (2, ok + " trailing", "generation_failed"), (3, ok + ok, "generation_failed"), (4, "[]", "generation_failed"),
+            (5, "null", "generation_failed"), (6, "{}", "generation_failed"), (7, '""', "generation_failed"), (8, "0", "generation_failed"),
+            (9, "false", "generation_failed"), (10, "[1]", "not_an_object"), (11, "3", "not_an_object"), (12, '{"html": "x"}', "incomplete"),
+            (13, ok + ", " + ok, "generation_failed"), (14, "", "generation_failed"), (15, " " + ok + "\n", None)]
+    df = spark.createDataFrame([(i, "commercial", r) for i, r, _ in raws], "sample_id long, page_type string, raw string")
+    assert {r["sample_id"]: r["reason"] for r in validate_page_responses(df).collect()} == {i: why for i, _, why in raws}
+
+
+def test_split_exact_takes_any_fraction(spark):
+    from cohortkit.operators.textprep import split_exact
+    df = spark.range(100).withColumnRenamed("id", "sample_id")
+    for fraction, n in ((0.3, 30), (0.6, 60), (0.2, 20), (0.333, 34), (0.0, 0), (1.0, 100)):
+        assert split_exact(df, test_fraction=fraction).filter("is_test").count() == n
+
+
+def test_third_cohort_is_not_dropped(spark):
+    from cohortkit.operators import utility as U
+    from cohortkit.operators.privacy import extremes
+    items = spark.createDataFrame([(g, f"i{k % 4}", "c") for g in ("Statistical", "LLM", "Other") for k in range(9)],
+                                  "generator string, item_name string, category string")
+    top = U.top_n(U.value_counts(items, "item_name"), "item_name", 2)
+    assert {(r["generator"], r["rank"]) for r in top.collect()} == {(g, k) for g in ("Statistical", "LLM", "Other") for k in (1, 2)}
+    r = spark.createDataFrame([("Other", Decimal("2.00"), 3)], "generator string, total_amount decimal(18,2), num_items int")
+    for df in (extremes(spark, r), U.spend_summary(spark, r)):
+        assert {x["generator"]: x["n_receipts"] for x in df.collect()} == {"Statistical": 0, "LLM": 0, "Other": 1}
+
+
+def test_reconcile_ids_of_both_cohorts(spark):
+    from cohortkit.operators.report import header_line_reconcile
+    h = spark.createDataFrame([("R1", "Statistical"), ("R1", "LLM"), (None, "LLM")], "receipt_id string, generator string")
+    lines = spark.createDataFrame([("R1", "Statistical"), ("R1", "Statistical"), ("R1", "LLM"), (None, "LLM"), ("R9", "LLM")],
+                                  "receipt_id string, generator string")
+    got = {r["generator"]: (r["n_headers"], r["n_headers_with_lines"], r["n_lines"], r["n_orphan_lines"])
+           for r in header_line_reconcile(h, lines).collect()}
+    assert got == {"Statistical": (1, 1, 2, 0), "LLM": (2, 2, 2, 1)}
+
+
+def test_customers_that_share_an_id_stay_apart(spark):
+    from cohortkit.operators import privacy as P
+    from cohortkit.operators import utility as U
+    rows = [("LLM", "CUST_1", k, w, Decimal("10.00") * k) for k in (1, 2) for w in (1, 2)]
+    df = spark.createDataFrame(rows, "generator string, customer_id string, customer_key int, week_num int, total_amount decimal(18,2)")
+    assert sorted(r["avg_weekly_spend"] for r in U.avg_weekly_spend(df).collect()) == [10.0, 20.0]
+    assert {r["column_name"]: r["n_distinct"] for r in P.uniqueness(df).collect()}["customer_id"] == 2
+
+
+def test_tuple_files_of_the_original_form(spark, tmp_path):
+    import json
+    from cohortkit.operators.textprep import read_tuple_files
+    data = [["<p>a</p>", "commercial", "one"], ["<p>b</p>", "navigational", 'two "quoted"']]
+    (tmp_path / "data_1.json").write_text(json.dumps(data, indent=2))
+    (tmp_path / "data_2.json").write_text("[]")
+    got = read_tuple_files(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r["file"], r["html"], r["page_type"], r["summary"]) for r in got] == [("data_1.json", *x) for x in data]
+
+
+def test_report_sink(spark, tmp_path):
+    from cohortkit.operators.report import summary_report, write_report
+    yields = spark.createDataFrame([("LLM", 0.5)], "generator string, yield_ratio double")
+    flags = spark.createDataFrame([("LLM", True)], "generator string, analysis_possible boolean")
+    report = summary_report(spark, yields, flags)
+    write_report(report, str(tmp_path / "metrics"))
+    back = spark.read.parquet(str(tmp_path / "metrics")).select(*report.columns)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, report.collect()), key=repr)

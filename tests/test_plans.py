@@ -23,13 +23,32 @@ def test_receipts_one_exchange_before_fanout(spark):
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(cust_key" in plan
 
 
-def test_ks_large_path_windows_by_bucket(spark):
+def test_ks_windows_by_part(spark):
     from cohortkit.operators.fidelity import ks_statistic
     from cohortkit.sources.fixtures import receipts_fx
-    plan = _plan(ks_statistic(spark, receipts_fx(spark, SF_SMALL), buckets=64))
-    # running sums are windows partitioned by (feature, bucket), never by a whole feature alone
-    assert "Exchange hashpartitioning(feature#" in plan and ", bucket#" in plan
-    assert "SinglePartition" not in plan
+    plan = _plan(ks_statistic(spark, receipts_fx(spark, SF_SMALL)))
+    # running sums of values are windows by (feature, part); the only window by a feature alone runs over the
+    # totals of the parts
+    assert "_part#" in plan and "SinglePartition" not in plan
+    by_value = [x for x in plan.splitlines() if "Window [" in x and "ORDER BY" not in x and "value#" in x]
+    assert by_value and all("_part#" in x for x in by_value)
+
+
+def test_quantiles_and_histograms_keep_no_group_in_a_buffer(spark):
+    from cohortkit.operators.fidelity import density_histogram, unpivot_features, weekly_spend_long
+    from cohortkit.operators.utility import avg_weekly_spend_summary, spend_summary
+    from cohortkit.sources.fixtures import receipts_fx
+    r = receipts_fx(spark, SF_SMALL)
+    for df in (density_histogram(unpivot_features(r)), density_histogram(weekly_spend_long(r)),
+               spend_summary(spark, r), avg_weekly_spend_summary(r)):
+        assert "percentile" not in _plan(df)
+
+
+def test_top_n_reads_the_lines_once(spark):
+    from cohortkit.operators.utility import top_n, value_counts
+    from cohortkit.sources.fixtures import items_fx
+    plan = _plan(top_n(value_counts(items_fx(spark, SF_SMALL), "item_name"), "item_name", 10))
+    assert plan.count("ReadSchema: struct<l_orderkey") == 1 and "WindowGroupLimit" in plan
 
 
 def test_scan_prunes_columns(spark):
