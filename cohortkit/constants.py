@@ -81,16 +81,16 @@ RECEIPT_PROMPT = """
     2.  The JSON object must have the following top-level keys:
         * "receipt_id": A unique string (e.g., "LLM_ followed by random characters).
         * "customer_id": A placeholder string like "CUST_L_XYZ".
-        * "store_name": Choose one from ['MegaMart', 'SuperGrocery', 'Local Foods', 'FreshMart'].
-        * "store_location": Choose one from ['Downtown', 'Uptown', 'Suburbia', 'Westside'].
+        * "store_name": Choose one from <STORES>.
+        * "store_location": Choose one from <LOCATIONS>.
         * "receipt_datetime": A plausible ISO 8601 timestamp string (e.g., "2025-04-07T15:30:00"). Use a realistic date/time for a grocery shop in <YEAR>.
         * "items": A JSON array of purchased items.
         * "subtotal": The sum of all item_total values (calculated by you, the LLM).
-        * "tax": The subtotal multiplied by 0.08 (calculated by you, the LLM).
+        * "tax": The subtotal multiplied by <TAX_RATE> (calculated by you, the LLM).
         * "total_amount": The sum of subtotal and tax (calculated by you, the LLM).
     3.  Each object in the "items" array must have the following keys:
         * "item_name": A common grocery item name (e.g., <SAMPLE_ITEMS>, Milk, Bread, Eggs, Chicken Breast, Apples, Pasta, Rice, etc.).
-        * "category": Assign a plausible category from ['Produce', 'Dairy', 'Bakery', 'Pantry', 'Meat/Fish', 'Beverages', 'Snacks'].
+        * "category": Assign a plausible category from <CATEGORIES>.
         * "quantity": An integer, usually between 1 and 5.
         * "unit_price": A plausible price (float) for the item (e.g., between 0.50 and 15.00).
         * "item_total": The result of quantity * unit_price (calculated by you, the LLM).

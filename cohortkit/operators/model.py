@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.operators.textprep import TOKEN_SPLIT
+from cohortkit.session import materialize
 
 WEIGHT_DECAY = 0.01
 EPOCHS = 3
@@ -30,36 +31,51 @@ def classifier(max_iter: int = EPOCHS, reg: float = WEIGHT_DECAY, num_features:
     ])
 
 
+METRICS = {"accuracy": "accuracy", "weightedFMeasure": "weighted_f1", "logLoss": "log_loss"}
+
+
 def _metrics(pred: DataFrame) -> dict:
-    out = {}
-    for m in ("accuracy", "weightedFMeasure", "logLoss"):
-        out[m] = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
-                                                   probabilityCol="probability", metricName=m).evaluate(pred)
-    return out
+    """The metrics of one prediction frame, which is computed once."""
+    pred = materialize(pred.select("label", "prediction", "probability"))
+    return {name: MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", probabilityCol="probability",
+                                                    metricName=m).evaluate(pred) for m, name in METRICS.items()}
 
 
-def fit_evaluate(spark: SparkSession, split: DataFrame, max_iter: int = EPOCHS) -> DataFrame:
-    """Fit on ``is_test = false`` rows, report accuracy, weighted F1 and log loss per split."""
+def fit_evaluate(spark: SparkSession, split: DataFrame, max_iter: int = EPOCHS) -> tuple[PipelineModel, DataFrame]:
+    """Fit on ``is_test = false`` rows; the model, and accuracy, weighted F1 and log loss per split.
+    ``split`` should be materialized."""
     train = split.filter(~F.col("is_test"))
     model = classifier(max_iter).fit(train)
+    counts = {r["is_test"]: r["n"] for r in split.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
-    for name, part in (("train", train), ("test", split.filter(F.col("is_test")))):
-        pred = model.transform(part)
-        m = _metrics(pred)
-        rows.append((name, part.count(), m["accuracy"], m["weightedFMeasure"], m["logLoss"]))
-    return spark.createDataFrame(rows, "split string, n_rows long, accuracy double, weighted_f1 double, log_loss double")
+    for name, is_test in (("train", False), ("test", True)):
+        if counts.get(is_test):
+            m = _metrics(model.transform(split.filter(F.col("is_test") == is_test)))
+            rows.append((name, counts[is_test], m["accuracy"], m["weighted_f1"], m["log_loss"]))
+    return model, spark.createDataFrame(rows, "split string, n_rows long, accuracy double, weighted_f1 double, log_loss double")
 
 
-def select_iterations(spark: SparkSession, split: DataFrame, grid=(1, 2, 3)) -> DataFrame:
-    """Evaluate after each number of passes and keep the lowest validation log loss."""
+def fit_best(spark: SparkSession, split: DataFrame, grid=(1, 2, EPOCHS)) -> tuple[PipelineModel, DataFrame]:
+    """Fit with each number of passes and evaluate on the test rows; the model of the lowest log loss (ties: fewer
+    passes), and the scores with ``is_best`` (X5). ``split`` should be materialized."""
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    scores = [(k, _metrics(classifier(k).fit(train).transform(test))["logLoss"]) for k in grid]
-    best = min(scores, key=lambda s: (s[1], s[0]))[0]
-    return spark.createDataFrame([(k, ll, k == best) for k, ll in scores], "max_iter int, log_loss double, is_best boolean")
+    best, scores = None, []
+    for k in grid:
+        model = classifier(k).fit(train)
+        loss = _metrics(model.transform(test))["log_loss"]
+        if best is None or loss < best[0]:
+            best = (loss, k, model)
+        scores.append((k, loss))
+    return best[2], spark.createDataFrame([(k, x, k == best[1]) for k, x in scores],
+                                          "max_iter int, log_loss double, is_best boolean")
+
+
+def save(model: PipelineModel, vocabulary: DataFrame, path: str) -> None:
+    """Persist the fitted pipeline (tokenizer settings, IDF weights, coefficients) and the vocabulary."""
+    model.write().overwrite().save(f"{path}/model")
+    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
-def save_and_reload(model: PipelineModel, path: str) -> PipelineModel:
-    """Persist the fitted pipeline (tokenizer settings, IDF weights, coefficients) and load it
-    back for batch scoring (S11, X6)."""
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    """The stored pipeline and vocabulary, for batch scoring."""
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")

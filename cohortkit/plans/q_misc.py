@@ -19,7 +19,11 @@ from cohortkit.sources.tables import load
 
 PROMPT_YEAR = 2025
 NAMES_SQL = "[" + ", ".join(f"'{n}'" for _, n, _ in K.CATALOG) + "]"
-PROMPT_SQL = "'" + K.RECEIPT_PROMPT.replace("'", "''") + "'"
+# the domains are written out here, so that the oracle notices a wrong fill
+_FILLED = (K.RECEIPT_PROMPT.replace("<STORES>", "['MegaMart', 'SuperGrocery', 'Local Foods', 'FreshMart']")
+           .replace("<LOCATIONS>", "['Downtown', 'Uptown', 'Suburbia', 'Westside']").replace("<TAX_RATE>", "0.08")
+           .replace("<CATEGORIES>", "['Produce', 'Dairy', 'Bakery', 'Pantry', 'Meat/Fish', 'Beverages', 'Snacks']"))
+PROMPT_SQL = "'" + _FILLED.replace("'", "''") + "'"
 
 
 @register("prompt_build", f"""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from cohortkit.operators import privacy as P
+from cohortkit.operators.pii import PATTERNS, pii_scan
 from cohortkit.plans.registry import register
 from cohortkit.plans.sqlviews import with_views
 from cohortkit.sources.fixtures import receipts_fx
+from cohortkit.sources.tables import load
 
 COHORTS_SQL = "(VALUES ('Statistical'), ('LLM')) AS g(generator)"
 UNIQ_COLS = ["customer_id", "store_name", "store_location", "receipt_datetime", "week_num", "num_items",
@@ -45,3 +47,12 @@ GROUP BY p.generator
 """, "receipts_fx"))
 def q_privacy_verdict(spark, sf_dir):
     return P.uniqueness_verdict(spark, receipts_fx(spark, sf_dir))
+
+
+@register("pii_scan", "\nUNION ALL\n".join(f"""
+SELECT source, '{k}' AS kind, count(*) AS n_docs, count(*) FILTER (WHERE n > 0) AS n_with, cast(sum(n) AS BIGINT) AS n_matches
+FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n FROM documents) t GROUP BY source"""
+                                           for k, p in PATTERNS.items()))
+def q_pii_scan(spark, sf_dir):
+    """Personal-data patterns per source of all documents (V7)."""
+    return pii_scan(load(spark, sf_dir, "documents", "source", "text"))

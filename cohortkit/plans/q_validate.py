@@ -24,7 +24,8 @@ SELECT order_key, cast(order_key % 20 AS INTEGER) AS c, pos, n_lines,
             WHEN s19 = 0 AND pos = 0 THEN 3000000000 WHEN s19 = 1 AND pos = 0 THEN 2000000000
             ELSE quantity END AS quantity,
        CASE WHEN order_key % 20 = 15 THEN cast(900.00 AS DECIMAL(18,2))
-            WHEN s19 = 1 AND pos = 0 THEN cast(99999999999.99 AS DECIMAL(18,2)) ELSE unit_price END AS unit_price,
+            WHEN s19 = 1 AND pos = 0 THEN cast(99999999999.99 AS DECIMAL(18,2))
+            WHEN s19 = 0 AND pos = 0 THEN cast(0.01 AS DECIMAL(18,2)) ELSE unit_price END AS unit_price,
        CASE WHEN order_key % 20 = 12 THEN cast(declared_total + 0.02 AS DECIMAL(18,2)) ELSE declared_total END
          AS declared_total,
        CASE WHEN order_key % 20 = 16 AND pos = 0 THEN 'bad_structure'

@@ -133,7 +133,8 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(cls == 15, F.lit("99"))
          .when(cls == 17, F.lit('"x"'))
          .otherwise(F.col("quantity").cast("string")))
-    price = F.when(cls == 15, F.lit("900.00")).when((sub19 == 1) & (i == 0), F.lit("99999999999.99")).otherwise(F.col("unit_price").cast("string"))
+    price = F.when(cls == 15, F.lit("900.00")).when((sub19 == 1) & (i == 0), F.lit("99999999999.99")) \
+        .when((sub19 == 0) & (i == 0), F.lit("0.01")).otherwise(F.col("unit_price").cast("string"))
     total = F.when(cls == 12, (F.col("declared_total") + F.lit(0.02).cast("decimal(3,2)")).cast(MONEY).cast("string")) \
         .otherwise(F.col("declared_total").cast("string"))
     cat = F.when(cls == 14, F.lit("null")).when((cls == 16) & (i == 0), F.lit(None)).otherwise(_jstr(F.col("category")))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortkit.operators import validate as V
+from cohortkit.session import materialize
 
 RESPONSE_SCHEMA = "attempt long, raw string"
 
 
 def _write_batch(sink: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = V.parse_responses(batch)
+        parsed = materialize(V.parse_responses(batch))  # parsed once for the three outputs
         for name, df in (("outcome", V.validation_outcome(parsed)), ("receipts", V.accepted_receipts(parsed)),
                          ("items", V.accepted_items(parsed))):
             df.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/{name}/batch={batch_id}")
