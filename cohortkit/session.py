@@ -86,12 +86,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder, for written intermediate tables."""
+    """A fresh folder in the run's folder, for written intermediate tables."""
     import uuid
 
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables that this run wrote to the shared folder. To be called when its results have been
+    stored elsewhere: DataFrames built before may read them."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df):
