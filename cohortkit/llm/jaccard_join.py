@@ -207,10 +207,7 @@ def candidate_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def block_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
-    """``found`` (cls, node, n, ...) once per pair of blocks that its block takes part in.
-
-    Adds ``pair`` (hash of the pair's blocks), ``same`` and ``second``.
-    """
+    """(node, cls, pairs): the pairs of blocks that each node of ``found`` (node, n, cls) takes part in."""
     width = math.log(den / num) * (1 + 1e-9)
     found = found.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
     counts = stored(
@@ -241,16 +238,14 @@ def block_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
         each(F.col("above"), lambda j: entry(F.col("step"), me, 1, j, F.lit(False))),
         each(F.col("below"), lambda j: entry(F.col("step") - 1, j, 1, me, F.lit(True))),
     )
-    return found.withColumn("p", F.explode(pairs)).withColumn(
-        "same", (F.col("p.up") == 0) & (F.col("p.i") == F.col("p.j"))).withColumn("second", F.col("p.second")).drop(
-        "step", "own", "above", "below", "mine")
+    return found.select("node", "cls", pairs.alias("pairs"))
 
 
-def linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links of all pairs of blocks, found by the tree join."""
+def linked(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links of all pairs of blocks, found by the tree join; ``members``: (node, cls, pairs, tokens)."""
     keys = ["cls", "step", "i", "up", "j"]
-    rows = pairs.select("cls", F.col("p.step").alias("step"), F.col("p.i").alias("i"), F.col("p.up").alias("up"),
-                        F.col("p.j").alias("j"), "same", "second", "node", "tokens")
+    rows = members.where(F.length("tokens") > 0).select("cls", "node", "tokens", F.inline("pairs")).select(
+        *keys, ((F.col("up") == 0) & (F.col("i") == F.col("j"))).alias("same"), "second", "node", "tokens")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,14 +278,14 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(shingled(docs, words, num, den, False, ["doc_id"]), "jaccard-sets")
     found = stored(candidate_classes(sets, num, den), "jaccard-candidates")
-    # one text per node: the node's id may stand on several rows, of which one has its set
-    digests = sets.select("doc_id", "digest", "n").where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"))
-    texts = shingled(docs.join(found.select(F.col("node").alias("doc_id"), "cls"), "doc_id"),
-                     words, num, den, True, ["doc_id", "cls"])
-    members = texts.select(F.col("doc_id").alias("node"), "cls", "tokens",
-                           (F.length("tokens") / 8).cast("long").alias("n")).where("n > 0")
-    links = components(linked(block_pairs(members, num, den), num, den), "jaccard-links")
+    digests = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("node"))
+    # the texts of candidates, read again: all shingles of all texts would be a multiple of the input. Always a
+    # shuffle join, which is the plan that the size of a large corpus needs.
+    planned = stored(block_pairs(found, num, den).withColumnRenamed("node", "doc_id"), "jaccard-pairs")
+    texts = docs.join(planned.hint("merge"), "doc_id")
+    members = shingled(texts, words, num, den, True, ["doc_id", "cls", "pairs"]).withColumnRenamed("doc_id", "node")
+    links = components(linked(members, num, den), "jaccard-links")
     labels = digests.join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (
         sets.select("doc_id", "n", "digest").join(labels, "digest", "left")
