@@ -79,7 +79,7 @@ def matching_windows(pieces: list[np.ndarray], at: np.ndarray, length: int) -> l
             if not len(kept):
                 order, common = order[:0], common[:0]
                 continue
-            common = np.minimum.reduceat(common, np.concatenate([[0], kept[:-1] + 1]))
+            common = np.minimum.reduceat(common[:kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
             order = order[kept]
         symbols = cells[column, order]  # the transform's column
         rank = np.argsort(symbols, kind="stable")

@@ -334,6 +334,28 @@ def test_suffix_dedup_brute(spark, group_rows):
     assert 0 < sum(w[1] for w in want) < sum(map(len, data))
 
 
+def test_matching_windows_brute():
+    rnd = random.Random(13)
+    for _ in range(60):
+        length = rnd.randint(2, 9)
+        pieces, at = [], []
+        core = "".join(rnd.choice("ab") for _ in range(30))
+        for _ in range(rnd.randint(1, 14)):  # aligned at the start of the core
+            left, right = rnd.randint(0, 8), rnd.randint(length, 20)
+            t = list("".join(rnd.choice("ab") for _ in range(left)) + core[:right])
+            if rnd.random() < .4:
+                t[rnd.randrange(len(t))] = "c"
+            pieces.append(np.frombuffer("".join(t).encode(), np.uint8))
+            at.append(left)
+        at = np.array(at)
+        shift = at.max() - at
+        count = Counter((int(shift[k]) + i, p[i:i + length].tobytes()) for k, p in enumerate(pieces) for i in range(len(p) - length + 1))
+        for k, (p, found) in enumerate(zip(pieces, sd.matching_windows(pieces, at, length))):
+            for i in range(len(p)):
+                same = i + length <= len(p) and count[int(shift[k]) + i, p[i:i + length].tobytes()] > 1
+                assert found[i] == same
+
+
 def test_suffix_dedup_empty(spark):
     assert sd.suffix_dedup(spark.createDataFrame([], DOCS)).collect() == []
 
