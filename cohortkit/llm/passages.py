@@ -39,7 +39,7 @@ def anchors(text: bytes, length: int) -> list[np.ndarray]:
     anchors at the same offset. ``at`` is the anchor's start, ``low`` .. ``high`` the starts of the run's windows, ``gram``
     the hash of the anchor's string, ``context`` the hash of the run's bytes and of the anchor's place in it.
     """
-    gram = min(GRAM, length)
+    gram = min(GRAM, max(1, length // 2))
     parts = []
     for first in range(0, len(text) - length + 1, CHUNK):
         data = np.frombuffer(text, np.uint8, min(len(text) - first, CHUNK + length - 1), first)

@@ -13,14 +13,17 @@ far, so it runs over pieces instead, which Spark deals out such that equal strin
 2. Runs are counted by (anchor hash, context hash), map-side combined. A run whose anchor occurs once
    has no match. A run whose whole context occurs again is covered: this settles copies and the inside of
    shared passages, also where a group of copies holds a third of all rows.
-3. What is left are the ends of shared passages and near copies: anchors with several contexts. One
-   text piece per distinct context (at most 2 x ``length`` bytes) goes, with the other pieces of its anchor,
-   into a collection of bounded size, and the column-wise construction finds the matching windows in at
-   most 2 x ``length`` rounds. All pieces are aligned at their anchor, so the order per column is enough.
-4. Anchors with more than ``GROUP_ROWS`` distinct contexts are not gathered: their windows are hashed
-   (128 bits), counted map-side combined, and joined back. This is exact too and linear in the rows.
-
-Hashes are 64 bits for anchors and contexts together 128; equality of windows in step 3 is by bytes.
+3. What is left are the ends of shared passages and near copies: one run per distinct context of anchors
+   with several. Their windows are taken in blocks of ``BLOCK`` neighbours and counted in the same way, by the
+   bytes that all windows of the block share: a block is settled like a run, so only the few blocks stay
+   open in which a match begins or ends.
+4. The pieces of open blocks that share an anchor and those bytes go into collections of bounded size, and
+   the column-wise construction finds the matching windows in ``length`` + ``BLOCK`` rounds. All pieces are aligned
+   at their anchor, so the order per column is enough.
+5. Groups with more than ``GROUP_ROWS`` distinct pieces are not gathered: their windows are hashed (128 bits),
+   counted map-side combined, and joined back. This is exact too and linear in the rows.
+
+Hashes are 128 bits (anchor and context); equality of windows in step 4 is by bytes.
 No group, text or match list is gathered but the pieces of one collection and the spans of one text.
 
 Defined cases: null texts count as empty; texts under ``length`` bytes keep every byte; repeated rows are
@@ -45,6 +48,7 @@ from cohortkit.llm.hashing import BASE, mix
 from cohortkit.llm.passages import Hashes, anchors
 
 LENGTH = 400
+BLOCK = 16
 GROUP_ROWS = 256
 COLLECTION_ROWS = 512
 
@@ -137,10 +141,23 @@ def window_runs(docs: DataFrame, length: int) -> DataFrame:
         run, "doc_id long, sd_key binary, at long, low long, high long, gram long, ctx long")
 
 
+def settle(rows: DataFrame, group: list[str], whole: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Split ``rows`` by counting: those whose ``whole`` occurs again in its group, and one row per distinct
+    ``whole`` (with ``contexts``, their number) of the groups that have several. Groups of one row go.
+
+    ``mark`` tells rows apart, so the choice of the one row is a join without a hot key.
+    """
+    counts = stored(rows.groupBy(*group, whole).agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("mark")), f"{name}-counts")
+    per_group = counts.groupBy(*group).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("contexts")).where("rows > 1")
+    judged = stored(counts.join(per_group, group).select(*group, whole, "n", "mark", "contexts"), f"{name}-judged")
+    sure = rows.join(judged.where("n > 1").select(*group, whole), [*group, whole])
+    still = rows.join(judged.where("contexts > 1").drop("n"), [*group, whole, "mark"])
+    return sure, still
+
+
 def pieces_of(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """(gram, contexts, sd_key, low, at, data): the bytes of each open run; ``at`` is relative to ``low``."""
-    per_text = open_runs.groupBy("doc_id", "sd_key").agg(
-        F.collect_list(F.struct("gram", "contexts", "at", "low", "high")).alias("runs"))
+    """(gram, sd_key, low, at, data): the bytes of each open run; ``at`` is relative to ``low``."""
+    per_text = open_runs.groupBy("doc_id", "sd_key").agg(F.collect_list(F.struct("gram", "at", "low", "high")).alias("runs"))
     joined = docs.select("doc_id", "sd_key", "text").join(
         per_text.withColumnRenamed("doc_id", "d").withColumnRenamed("sd_key", "k"),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sd_key") == F.col("k"))).select("sd_key", "text", "runs")
@@ -149,18 +166,49 @@ def pieces_of(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
         for batch in emptied(batches):
             out = []
             for key, text, runs in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist()):
-                out += [(r["gram"], r["contexts"], key, r["low"], r["at"] - r["low"], text[r["low"]:r["high"] + length]) for r in runs]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(6)],
-                                             names=["gram", "contexts", "sd_key", "low", "at", "data"])
+                out += [(r["gram"], key, r["low"], r["at"] - r["low"], text[r["low"]:r["high"] + length]) for r in runs]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(5)],
+                                             names=["gram", "sd_key", "low", "at", "data"])
+
+    return joined.mapInArrow(run, "gram long, sd_key binary, low long, at long, data binary")
+
+
+def window_blocks(pieces: DataFrame, length: int) -> DataFrame:
+    """(gram, block, core, whole, sd_key, low, first, last, mark): the windows of each piece in blocks by their
+    distance to the anchor. ``first`` .. ``last`` are window starts relative to ``low``; ``core`` hashes the bytes that all
+    windows of such a block have, ``whole`` the bytes of the block's windows here."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in emptied(batches):
+            parts, rows = [], []
+            for k, (at, data) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                hashes = Hashes(np.frombuffer(data, np.uint8))
+                top = len(data) - length  # the last window's start; distances to the anchor are at - start
+                block = np.arange((at - top) // BLOCK, at // BLOCK + 1)
+                first = np.maximum(at - block * BLOCK - BLOCK + 1, 0)
+                last = np.minimum(at - block * BLOCK, top)
+                core_from, core_to = at - block * BLOCK, at - block * BLOCK - BLOCK + 1 + length
+                # inside every window of the block, so inside the piece
+                core = hashes.of(core_from, core_to)
+                whole = hashes.of(first, last + length) ^ mix(((at - first) * length + (at - last)).astype(np.uint64))
+                parts.append((block, core.view(np.int64), whole.view(np.int64), first, last))
+                rows += [k] * len(block)
+            cols = [np.concatenate([p[c] for p in parts]) for c in range(5)]
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), batch.column(2).take(taken)]
+                + [pa.array(c, pa.int64()) for c in cols],
+                names=["gram", "sd_key", "low", "block", "core", "whole", "first", "last"])
 
-    return joined.mapInArrow(run, "gram long, contexts long, sd_key binary, low long, at long, data binary")
+    found = pieces.select("gram", "sd_key", "low", "at", "data").mapInArrow(
+        run, "gram long, sd_key binary, low long, block long, core long, whole long, first long, last long")
+    return found.withColumn("mark", F.xxhash64("sd_key", "low", "first"))
 
 
 def collection_spans(pieces: DataFrame, length: int, rows: int) -> DataFrame:
     """(sd_key, from, to) by the column-wise construction over collections of about ``rows`` pieces."""
     n = max(1, -(-pieces.count() // rows))
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("gram", F.lit(11)), F.lit(n)).cast("int"))
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("gram", "block", "core"), F.lit(n)).cast("int"))
     dealt = dealt.repartition(F.col("bin")).sortWithinPartitions("bin").select("bin", "sd_key", "low", "at", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +236,10 @@ def collection_spans(pieces: DataFrame, length: int, rows: int) -> DataFrame:
 
 
 def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """(sd_key, from, to) by counting the hashes of all windows: for anchors with many contexts."""
+    """(sd_key, from, to) by counting the hashes of all windows: for groups with many pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in emptied(batches):
-            for gram, key, low, data in zip(*[c.to_pylist() for c in batch.columns]):
+            for key, low, data in zip(*[c.to_pylist() for c in batch.columns]):
                 hashes = Hashes(np.frombuffer(data, np.uint8))
                 start = np.arange(len(data) - length + 1)
                 one = hashes.of(start, start + length)
@@ -201,7 +249,7 @@ def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
                     [pa.array([key] * len(start), pa.binary()), _long(start + low), _long(one), _long(two)],
                     names=["sd_key", "from", "one", "two"])
 
-    windows = stored(pieces.select("gram", "sd_key", "low", "data").mapInArrow(
+    windows = stored(pieces.select("sd_key", "low", "data").mapInArrow(
         run, "sd_key binary, from long, one long, two long"), "suffix-windows")
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return windows.join(again, ["one", "two"]).select("sd_key", "from", (F.col("from") + length).alias("to"))
@@ -211,21 +259,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROU
                    collection_rows: int = COLLECTION_ROWS) -> DataFrame:
     """(sd_key, spans): the covered spans of each text that has some. ``docs``: (doc_id, sd_key, text)."""
     bound_batches(docs.sparkSession)
-    runs = stored(window_runs(docs, length), "suffix-runs")
-    contexts = stored(runs.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n")), "suffix-contexts")
-    per_gram = contexts.groupBy("gram").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("contexts")).where("rows > 1")
-    judged = stored(contexts.join(per_gram, "gram").select("gram", "ctx", "n", "contexts"), "suffix-judged")
-    placed = runs.join(judged, ["gram", "ctx"])
-    sure = placed.where("n > 1").select("sd_key", F.col("low").alias("from"), (F.col("high") + length).alias("to"))
-    # one run per distinct context of the anchors that have several: the open ones, and what they may equal
-    open_runs = stored(
-        placed.where("contexts > 1").groupBy("gram", "ctx", "contexts")
-        .agg(F.min(F.struct("sd_key", "doc_id", "at", "low", "high")).alias("r")).select("gram", "contexts", "r.*"),
+    runs = stored(window_runs(docs, length).withColumn("mark", F.xxhash64("doc_id", "sd_key", "low")), "suffix-runs")
+    sure, still = settle(runs, ["gram"], "ctx", "suffix-runs")
+    covered_runs = sure.select("sd_key", F.col("low").alias("from"), (F.col("high") + length).alias("to"))
+    pieces = stored(pieces_of(docs, still, length), "suffix-pieces")
+    blocks = stored(window_blocks(pieces, length), "suffix-blocks")
+    sure, still = settle(blocks, ["gram", "block", "core"], "whole", "suffix-blocks")
+    covered_blocks = sure.select("sd_key", (F.col("low") + F.col("first")).alias("from"), (F.col("low") + F.col("last") + length).alias("to"))
+    cut = stored(
+        still.join(pieces.select("gram", "sd_key", "low", "at", "data"), ["gram", "sd_key", "low"])
+        .select("gram", "block", "core", "contexts", "sd_key", (F.col("low") + F.col("first")).alias("low"),
+                (F.col("at") - F.col("first")).alias("at"),
+                F.substring("data", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + length).cast("int")).alias("data")),
         "suffix-open")
-    pieces = stored(pieces_of(docs, open_runs, length), "suffix-pieces")
     found = (
-        sure.unionByName(collection_spans(pieces.where(F.col("contexts") <= group_rows), length, collection_rows))
-        .unionByName(counted_spans(pieces.where(F.col("contexts") > group_rows), length))
+        covered_runs.unionByName(covered_blocks)
+        .unionByName(collection_spans(cut.where(F.col("contexts") <= group_rows), length, collection_rows))
+        .unionByName(counted_spans(cut.where(F.col("contexts") > group_rows), length))
     )
     return found.groupBy("sd_key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
