@@ -89,21 +89,55 @@ def _n(spark, sf_dir):
     return load(spark, sf_dir, "orders", "o_orderkey").agg(F.floor(F.count(F.lit(1)) / 3)).scalar()
 
 
+# the cleaned text of every response, restated from the base tables
+view("resp_texts", """
+SELECT o_orderkey AS order_key, c,
+       '{' || concat_ws(', ',
+         '"receipt_id": ' || CASE WHEN c = 14 THEN 'null' ELSE '"ORD_' || cast(o_orderkey AS VARCHAR) || '"' END,
+         '"customer_id": "CUST_S_' || substr(sha1(cast(o_custkey AS VARCHAR)), 1, 8) || '"',
+         '"store_name": ' || to_json(CASE WHEN c = 15 THEN 'Nowhere Market' ELSE n_name END),
+         '"store_location": ' || to_json(r_name),
+         '"receipt_datetime": ' || CASE WHEN c IN (6, 17) THEN '"soon"' WHEN c = 9 THEN 'null'
+             ELSE '"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN c = 18 THEN '+05:00' ELSE '' END || '"' END,
+         '"items": ' || CASE WHEN c = 4 THEN '[]' WHEN c = 7 THEN js[1] ELSE '[' || array_to_string(js, ', ') || ']' END,
+         '"subtotal": ' || cast(subtotal + bump AS VARCHAR),
+         CASE WHEN c <> 3 THEN '"tax": ' || cast(tax + bump AS VARCHAR) END,
+         '"total_amount": ' || cast(cast(subtotal + tax AS DECIMAL(18,2)) AS VARCHAR)) || '}' AS obj
+FROM (SELECT order_key, c, list(j ORDER BY pos) AS js, cast(sum(item_total) AS DECIMAL(18,2)) AS subtotal,
+             cast(round(cast(sum(item_total) AS DECIMAL(18,2)) * 0.08, 2) AS DECIMAL(18,2)) AS tax,
+             cast(CASE WHEN c = 13 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS bump
+      FROM (SELECT *, '{' || concat_ws(', ',
+              '"item_name": ' || CASE WHEN s19 = 2 AND pos < 3 THEN ['true', '1.0', '7'][pos + 1] ELSE to_json(item_name) END,
+              CASE WHEN c = 14 THEN '"category": null' WHEN c = 16 AND pos = 0 THEN NULL
+                   ELSE '"category": ' || to_json(category) END,
+              '"quantity": ' || CASE WHEN c = 5 AND pos = 0 THEN '"two"' WHEN c = 11 THEN '"2.9"' WHEN c = 15 THEN '99'
+                   WHEN c = 10 THEN ['"2"', '" 2 "', '2.9', 'true'][pos % 4 + 1] WHEN c = 17 THEN '"x"'
+                   WHEN s19 = 0 AND pos = 0 THEN '3000000000' WHEN s19 = 1 AND pos = 0 THEN '2000000000'
+                   ELSE cast(quantity AS VARCHAR) END,
+              '"unit_price": ' || CASE WHEN c = 15 THEN '900.00' WHEN s19 = 0 AND pos = 0 THEN '0.01'
+                   WHEN s19 = 1 AND pos = 0 THEN '99999999999.99' ELSE cast(unit_price AS VARCHAR) END,
+              '"item_total": ' || cast(cast(declared_total + CASE WHEN c = 12 THEN 0.02 ELSE 0 END AS DECIMAL(18,2)) AS VARCHAR)) || '}' AS j
+            FROM (SELECT *, order_key % 20 AS c, CASE WHEN order_key % 20 = 19 THEN (order_key // 20) % 4 END AS s19,
+                         row_number() OVER (PARTITION BY order_key
+                           ORDER BY item_name, category, quantity, unit_price, declared_total) - 1 AS pos
+                  FROM priced_lines_fx) l) t
+      GROUP BY order_key, c) r
+JOIN orders ON r.order_key = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""", ["priced_lines_fx"])
+
+
 @register("strip_fences", with_views("""
-SELECT o_orderkey + 1 AS attempt,
-       CASE WHEN c = 1 THEN 0 WHEN c = 2 THEN 37 ELSE NULL END AS fixed_len,
-       c = 0 AS was_fenced
-FROM (SELECT o_orderkey, o_orderkey % 20 AS c FROM orders
-      WHERE o_orderkey IN (SELECT order_key FROM priced_lines_fx)) t
-""", "priced_lines_fx"))
+SELECT order_key + 1 AS attempt, md5(clean) AS clean_md5, cast(length(clean) AS INTEGER) AS clean_len, c = 0 AS was_fenced
+FROM (SELECT order_key, c, CASE c WHEN 1 THEN '' WHEN 2 THEN 'Sorry, I cannot produce that receipt.'
+                                  WHEN 8 THEN '[' || obj || ']' ELSE obj END AS clean FROM resp_texts) t
+""", "resp_texts"))
 def q_strip_fences(spark, sf_dir):
-    """Cleaned text (C3, C4): fenced responses lose their fences; length reported for the classes
-    whose cleaned text is fixed (empty, plain sentence)."""
-    r = responses_fx(spark, sf_dir)
+    """Cleaned text (C3, C4) of every response: digest, length, and whether it was fenced."""
     clean = strip_fences(F.col("raw"))
-    return r.select("attempt",
-                    F.when(F.col("damage").isin(1, 2), F.length(clean)).alias("fixed_len"),
-                    ((F.col("raw") != clean) & F.col("raw").startswith("```")).alias("was_fenced"))
+    return responses_fx(spark, sf_dir).select(
+        "attempt", F.md5(clean.cast("binary")).alias("clean_md5"), F.length(clean).alias("clean_len"),
+        ((F.col("raw") != clean) & F.col("raw").startswith("```")).alias("was_fenced"))
 
 
 @register("response_validate", with_views("""
