@@ -129,7 +129,7 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
 def utility_report(spark: SparkSession, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Spend, weekly spend, popular items and categories, weekday trend, ran-flag (V2)."""
     keys = [c for c in ("customer_id", "customer_key") if c in receipts.columns]
-    receipts = materialize(receipts.select("generator", *keys, "week_num", "total_amount", "receipt_datetime"))
+    receipts = materialize(receipts.select("generator", *keys, "week_num", "total_amount", "receipt_datetime"), of=receipts)
     items = materialize(U.item_stats(items))
     sp = U.spend_summary(spark, receipts)
     aw = U.avg_weekly_spend_summary(receipts)
@@ -158,7 +158,7 @@ PII_NOTE = "no direct personal data by design"
 
 def privacy_report(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Extremes, high-uniqueness columns with verdict, id kind and the PII note (V3, V4, V5)."""
-    receipts = materialize(receipts)
+    receipts = materialize(receipts, of=receipts)
     ex = P.extremes(spark, receipts).filter(F.col("n_receipts") > 0)
     counts = P.distinct_counts(receipts)  # one pass for the ratios and the verdict
     un, vd = P.uniqueness_of(counts).filter("flagged"), materialize(P.verdict_of(counts))

@@ -123,8 +123,8 @@ def split_exact(rows: DataFrame, key: str = "sample_id", test_fraction: float =
     The fraction is taken as the decimal that it is written as. Only (hash, key) is ordered; the rows
     join their rank.
     """
-    rows = materialize(rows)
-    hashed = materialize(rows.select(key, D.slot(D.key_md5(seed, F.col(key), "split"), 0).alias("_h")))
+    rows = materialize(rows, of=rows)
+    hashed = materialize(rows.select(key, D.slot(D.key_md5(seed, F.col(key), "split"), 0).alias("_h")), of=rows)
     n_test = math.ceil(Fraction(str(test_fraction)) * hashed.count())
     tests = ranked(hashed, ["_h", key], "_rank").select(F.col(key).alias("_k"), (F.col("_rank") <= n_test).alias("is_test"))
     return rows.join(tests, F.col(key) == F.col("_k")).drop("_k")

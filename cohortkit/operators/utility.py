@@ -23,7 +23,7 @@ def _median(df: DataFrame, value: str) -> DataFrame:
 def spend_summary(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Mean and median receipt total per cohort (A2) with availability status."""
     from cohortkit.session import materialize
-    receipts = materialize(receipts.select("generator", "total_amount"))
+    receipts = materialize(receipts.select("generator", "total_amount"), of=receipts)
     agg = receipts.groupBy("generator").agg(
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_values"),
@@ -52,7 +52,7 @@ def _weekly_input(receipts: DataFrame) -> DataFrame:
     key = F.col("customer_key") if "customer_key" in receipts.columns else F.col("customer_id")
     # read twice (guard and groups): materialize the columns once
     f = materialize(receipts.select("generator", "customer_id", key.alias("customer_key"), "week_num", "total_amount")
-                    .dropna(subset=["customer_id", "week_num", "total_amount"]))
+                    .dropna(subset=["customer_id", "week_num", "total_amount"]), of=receipts)
     guard = (f.groupBy("generator")
              .agg(F.min("customer_key").alias("c0"), F.max("customer_key").alias("c1"),
                   F.min("week_num").alias("w0"), F.max("week_num").alias("w1"))
@@ -154,7 +154,7 @@ def utility_flag(spark: SparkSession, receipts: DataFrame, items: DataFrame) ->
     """Whether at least one utility analysis ran per cohort."""
     from cohortkit.session import materialize
     keys = [c for c in ("customer_id", "customer_key") if c in receipts.columns]
-    receipts = materialize(receipts.select("generator", *keys, "week_num", "total_amount", "receipt_datetime"))
+    receipts = materialize(receipts.select("generator", *keys, "week_num", "total_amount", "receipt_datetime"), of=receipts)
     r = receipts.groupBy("generator").agg(
         F.count(F.lit(1)).alias("n_receipts"),
         F.count("total_amount").alias("n_totals"),

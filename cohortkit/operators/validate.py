@@ -199,7 +199,7 @@ def first_n_accepted(parsed: DataFrame, n) -> DataFrame:
     n = F.lit(n) if isinstance(n, int) else n
     budget = n * K.MAX_ATTEMPTS_PER_RECEIPT
     # validated headers within the budget: read by the count and the ranking
-    acc = materialize(accepted_receipts(parsed.filter(F.col("attempt") <= budget)))
+    acc = materialize(accepted_receipts(parsed.filter(F.col("attempt") <= budget)), of=parsed)
     return ranked(acc, "attempt", "accept_rank").filter(F.col("accept_rank") <= n)
 
 
@@ -217,7 +217,7 @@ def attempt_summary(parsed: DataFrame, n) -> DataFrame:
     n = F.lit(n) if isinstance(n, int) else n
     budget = n * K.MAX_ATTEMPTS_PER_RECEIPT
     # (attempt, accepted) is all the loop needs: parse once, keep two columns
-    out = materialize(parsed.select("attempt", F.col("reason").isNull().alias("ok")))
+    out = materialize(parsed.select("attempt", F.col("reason").isNull().alias("ok")), of=parsed)
     acc = out.filter(F.col("ok") & (F.col("attempt") <= budget))
     firsts = ranked(acc, "attempt", "accept_rank").filter(F.col("accept_rank") <= n)
     # one row, read by two scalar subqueries: computed once

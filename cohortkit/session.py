@@ -106,32 +106,24 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df):
+def materialize(df, of=None):
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder
     named by ``spark.checkpoint.dir``.
 
     Used where one intermediate feeds several branches of a plan (which would otherwise each
     recompute it from the scans) and it is much smaller than its inputs. Survives executor loss:
     the data is in the shared folder, not on an executor.
-    """
-    if _cheap(df):
-        return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_CHEAP_NODES = {"Project", "Filter", "LogicalRDD", "LocalRelation", "SubqueryAlias"}
 
+    ``of`` names the frame that ``df`` only projects or filters: if that is materialized itself,
+    reading it again costs no more than reading a copy, so none is made.
+    """
+    if of is not None and getattr(of, _STORED, False):
+        out = df
+    else:
+        checkpoint_dir(df.sparkSession)
+        out = df.checkpoint(eager=True)
+    setattr(out, _STORED, True)
+    return out
 
-def _cheap(df) -> bool:
-    """True when ``df`` is only projections/filters over already materialized (checkpointed or
-    local) data: recomputing it is a scan of that data, so checkpointing again gains nothing."""
-    import re
 
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = set()
-    for line in plan.splitlines():
-        m = re.match(r"^[\s:+\-|]*([A-Za-z]+)", line)
-        if m:
-            nodes.add(m.group(1))
-    return bool(nodes) and nodes <= _CHEAP_NODES
+_STORED = "_cohortkit_stored"
