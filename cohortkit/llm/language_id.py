@@ -200,12 +200,15 @@ def train(docs: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str
     """Languages in order and their piece probabilities (pieces, languages)."""
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
-    # a limit on a rank: at most max_docs rows per language leave a task
-    chosen = stored(
-        labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_docs).select("id", "lang"),
-        "language-sample")
+    ids = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
+    totals = stored(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "language-totals")
+    # about twice max_docs rows of a language have an MD5 this small, however many it has; the window sees no more
+    hashed = ids.withColumn("h", F.md5(F.col("id").cast("string")))
+    small = hashed.join(totals, "lang").where(
+        F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("total") < F.lit(2.0**33 * max_docs))
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = stored(small.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_docs).select("id", "lang"),
+                    "language-sample")
     texts = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = stored(word_counts(texts.join(chosen, ["id", "lang"], "left_semi")), "language-words")
     langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
