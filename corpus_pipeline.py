@@ -31,8 +31,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    return _same_columns(line_dedup(docs, "source", "text"), docs)
+    """Documents without the boilerplate lines of their source, where copies of a document count once: they are
+    removed after this stage, and one of them has to keep its text."""
+    return _same_columns(line_dedup(docs, "source", "text", copies_once=True), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,27 @@ def test_stages_on_awkward_rows(spark):
             if data and name == "near_duplicates":
                 assert sorted((r["doc_id"] for r in docs.collect()), key=repr) == [1, 5, None]
         cp.STAGES[-1][1](spark, docs, DATA).collect()
+
+
+def test_copied_documents_keep_their_text(spark):
+    """Copies and near copies of a document, each a third of a source, are no boilerplate of it; its menu is."""
+    def line(name):
+        return " ".join(f"{name}{i}" for i in range(12)) + "."
+
+    body = [line(f"copied{k}x") for k in range(8)]
+    near = [line(f"near{k}x") for k in range(12)]
+    texts = ["\n".join(body)] * 20
+    texts += ["\n".join([*near[:k % 12], f"{near[k % 12]} Edit {k}.", *near[k % 12 + 1:], line("menu")]) for k in range(20)]
+    texts += ["\n".join([line(f"own{k}x"), line(f"more{k}x"), line("menu")]) for k in range(20)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = cp.stored(cp.line_stage(spark, docs, DATA), "test-copies-lines")
+    got = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x != line("menu")) for i, t in enumerate(texts)}
+    left = {r["doc_id"] for r in cp.near_duplicate_stage(spark, found, DATA).collect()}
+    assert left == {0, 20, *range(40, 60)}
+
+
+def test_five_copies_in_a_small_source(spark):
+    rows = [(i, "one text\nof two lines" if i < 5 else f"text {i}\nof its own {i}", None) for i in range(49)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in cp.line_stage(spark, docs, DATA).collect()} == {i: t for i, t, _ in rows}
