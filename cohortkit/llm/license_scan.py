@@ -1,12 +1,15 @@
 """Licence scan by sentence rules (DataFrame functions only).
 
-Texts are cut into sentences, each sentence is normalised (lower case, runs of other characters than
-letters and digits become one blank) and looked up in a fixed table of known licence sentences; the
-identifiers found form a sequence, against which ordered rules are matched: a rule names the
+Texts are cut into pieces at line ends and closing marks, each piece is normalised (lower case, runs of other
+characters than letters and digits become one blank), and every run of consecutive pieces of one paragraph that
+makes up a sentence of a fixed table of known licence sentences gives its identifier. So a sentence may be wrapped at
+any word, behind comment marks too, and may hold marks of its own ("free software: you can", "v. 2.0"); lines
+without a letter or digit end a paragraph. The identifiers found form a sequence, against which ordered rules are matched: a rule names the
 identifiers that must follow each other, and a match consumes them, so a rule of a whole notice goes
 before the rule of its first sentence.
 
-Plan: one projection, no shuffle. Sentences are only built for texts that hold one of the trigger
+Plan: one projection, no shuffle. The pieces stand in one string between marks, and one pattern of all known
+sentences, the longest first, finds the runs. Pieces are only built for texts that hold one of the trigger
 words; each known sentence holds one (checked at import), so no text is missed.
 
 Defined cases: null or empty text has no sentence and no licence; a sentence that is not in the table
@@ -94,18 +97,30 @@ SENTENCE_END = r"[.!?;:]+[ \t\r\n]+|[.!?;:]+$|\n"
 
 assert all(re.search(TRIGGERS, s) for s in SENTENCES), "a known sentence without a trigger word"
 
+CUT, BREAK = "\x02", "\x01"  # stand between pieces and between paragraphs
+# a line end and the lines after it that hold no letter or digit
+PARAGRAPH_END = r"\n(?:[^a-z0-9\n]*\n)+"
+KNOWN = CUT + "(" + "|".join(
+    s.replace(" ", f"[ {CUT}]") for s in sorted(SENTENCES, key=len, reverse=True)) + f")(?={CUT})"
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; runs of other characters than a-z and 0-9 become one blank; trimmed."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+
+def pieces(text: Column) -> Column:
+    """The normalised pieces of ``text`` as one string: each stands between two ``CUT``, paragraphs are parted by
+    ``BREAK``."""
+    own = F.regexp_replace(F.lower(text), f"[{CUT}{BREAK}]", "_")
+    cut = F.regexp_replace(F.regexp_replace(own, PARAGRAPH_END, f"\n{BREAK}"), SENTENCE_END, CUT)
+    words = F.regexp_replace(cut, f"[^a-z0-9{CUT}{BREAK}]+", " ")
+    merged = F.regexp_replace(F.concat(F.lit(CUT), words, F.lit(CUT)), f" *{CUT}[ {CUT}]*", CUT)
+    return F.regexp_replace(merged, f"[ {CUT}]*{BREAK}[ {CUT}{BREAK}]*", CUT + BREAK + CUT)
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of ``text``, in order."""
     table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    known = F.transform(F.split(text, SENTENCE_END), lambda s: F.try_element_at(table, normalised(s)))
+    runs = F.regexp_extract_all(pieces(text), F.lit(KNOWN), F.lit(1))
+    known = F.transform(runs, lambda s: F.try_element_at(table, F.translate(s, CUT, " ")))
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(F.lower(text).rlike(TRIGGERS), F.filter(known, lambda x: x.isNotNull())), none)
+    return F.coalesce(F.when(F.lower(text).rlike(TRIGGERS), known), none)
 
 
 def match_rules(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:

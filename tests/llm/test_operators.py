@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -170,6 +171,52 @@ def test_license_scan(spark):
     assert lic.license_scan(df.limit(0)).collect() == []
 
 
+GPL = ("This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License "
+       "as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
+WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty."
+MIT = ["Copyright (c) 2020 Somebody", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and '
+       'associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+       "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+       "whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission "
+       "notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS".']
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+       "conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+       "following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+       "the following disclaimer in the documentation and/or other materials provided with the distribution.", "3. Neither the name of "
+       "the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+       "without specific prior written permission."]
+NOTICES = [
+    ([GPL.format(":", ",", 3), WARRANTY], ["GPL-3.0-or-later"]),
+    ([GPL.format(";", ";", 2), WARRANTY], ["GPL-2.0-or-later"]),
+    (["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+      "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."], ["MPL-2.0"]),
+    (MIT, ["MIT"]), (BSD, ["BSD-3-Clause"]), (BSD[:3], ["BSD-2-Clause"]),
+    (["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+      "provided that the above copyright notice and this permission notice appear in all copies."], ["ISC"]),
+    (['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+      "You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0"], ["Apache-2.0"]),
+    # a heading, a blank line and a text of its own are no sentence
+    (["Permission to use, copy", "modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+      "that the above copyright notice and this permission notice appear in all copies."], []),
+    (["Not all rights", "reserved seats were taken."], []),
+]
+
+
+def test_license_scan_whole_notices(spark):
+    data, want = [], {}
+    for paragraphs, licences in NOTICES:
+        for width in (10000, 72, 30, 1):
+            for mark, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n")):
+                wrapped = [[mark + x for x in textwrap.wrap(p, width, break_long_words=False)] for p in paragraphs]
+                text = (end + mark.rstrip() + end).join(end.join(x) for x in wrapped)
+                want[len(data)] = licences
+                data.append((len(data), text, ""))
+    got = {r["doc_id"]: r["licenses"] for r in lic.license_scan(spark.createDataFrame(data, DOCS)).collect()}
+    assert [(i, got[i], want[i], data[i][1][:80]) for i in want if got[i] != want[i]] == []
+    marks = spark.createDataFrame([(1, "All rights\x02reserved. \x01All rights reserved\x01.", ""), (2, "Some rights. All\nrights reserved", "")], DOCS)
+    assert [r["license_sentences"] for r in lic.license_scan(marks).orderBy("doc_id").collect()] == [["Reserved"] * 2, ["Reserved"]]
+
+
 # --- 6 packing ---
 
 def brute_bounds(hist, k):
