@@ -7,6 +7,11 @@ much of its text by that is rejected:
 * navigation: separators between items, or link words alone on a line;
 * boilerplate: wording of notices, forms and page furniture.
 
+Wording in lines of any length: as the SQL of op3 states them, the navigation and boilerplate rules hold for a line
+of any length, so one phrase or two separators fail a long paragraph. With ``by_share`` (the pipeline) they have to
+make up a share of the line: the phrases ``MIN_SHARE_PERCENT`` of its words, the separators as much together with
+the words of the short items beside them; » of a quotation and · inside a Catalan word are no separators then.
+
 Base figures of the whole text (words, symbols, repeated lines, repeated three-word windows) reject a
 document before the line rules count. Python over Arrow batches: the figures need the words of a text
 in order, which no built-in expression gives without building arrays of windows; there is no shuffle
@@ -36,6 +41,9 @@ MAX_LOSS_PERCENT = 30  # of the characters in words
 SHORT_LINE_WORDS = 10  # a line of fewer words has to end in a closing mark
 MAX_MARK_PERCENT = 10  # symbols and exclamation marks against the characters in words of a line
 
+MIN_SHARE_PERCENT = 20  # by share: phrases, or separators and short items beside them, in words of a line
+ITEM_WORDS = 4  # a short item between separators has at most so many words
+
 # --- FIXED VALUES of the line rules ---
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"#*$%&|<>!{}=~^"
@@ -57,7 +65,28 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 CLOSING_BYTES = tuple(x.encode() for x in CLOSING)
 
 
-def line_verdict(line: bytes) -> str:
+# between two l of a Catalan word; a quotation with its marks
+CATALAN_POINT = re.compile("(?<=[lL])·(?=[lL])".encode())
+QUOTED = re.compile("«([^«»]*)»|»([^«»]*)«".encode())
+SEPARATOR_RE = re.compile(b"|".join(map(re.escape, SEPARATORS)))
+
+
+def items_share(line: bytes) -> bool:
+    """Whether the line has two separators or more that make up, with the short items beside them, their share of it."""
+    items = SEPARATOR_RE.split(QUOTED.sub(rb" \1\2 ", CATALAN_POINT.sub(b"", line)))
+    if len(items) < 3:
+        return False
+    words = [len(x.split()) for x in items]
+    marks = len(items) - 1
+    return (marks + sum(n for n in words if n <= ITEM_WORDS)) * 100 >= MIN_SHARE_PERCENT * (marks + sum(words))
+
+
+def phrases_share(lower: bytes, n_words: int) -> bool:
+    """Whether boilerplate phrases make up their share of the line's words."""
+    return sum(len(x.split()) for x in BOILERPLATE_RE.findall(lower)) * 100 >= MIN_SHARE_PERCENT * n_words
+
+
+def line_verdict(line: bytes, by_share: bool = False) -> str:
     """'' for a line that passes, else the rule that it fails. The line holds a word."""
     words = line.split()
     chars = sum(map(len, words))
@@ -66,12 +95,12 @@ def line_verdict(line: bytes) -> str:
     marks = chars - sum(len(w.translate(None, MARKS)) for w in words)
     if marks * 100 > MAX_MARK_PERCENT * chars:
         return "punctuation"
-    if sum(map(line.count, SEPARATORS)) >= 2:
+    if sum(map(line.count, SEPARATORS)) >= 2 and (not by_share or items_share(line)):
         return "navigation"
     lower = line.lower()
     if len(words) <= 4 and all(w.strip(b".,:;!?") in LINK_WORDS for w in lower.split()):
         return "navigation"
-    if BOILERPLATE_RE.search(lower):
+    if BOILERPLATE_RE.search(lower) and (not by_share or phrases_share(lower, len(words))):
         return "boilerplate"
     return ""
 
@@ -90,7 +119,7 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-def measure(text: bytes | None) -> dict:
+def measure(text: bytes | None, by_share: bool = False) -> dict:
     """The figures and the verdict of one text, and the text without the lines that failed."""
     text = b"" if text is None else text
     words = text.split()  # splits on ASCII white space alone
@@ -110,7 +139,7 @@ def measure(text: bytes | None) -> dict:
             continue
         dup += line in seen
         seen.add(line)
-        rule = line_verdict(line)
+        rule = line_verdict(line, by_share)
         if rule:
             failed[rule] += 1
             lost += len(bare.translate(None, CONTINUATION))
@@ -132,9 +161,9 @@ LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FLAGS = ["base_failed", "kept"]
 
 
-def quality_rules(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", clean: bool = False, by_share: bool = False) -> DataFrame:
     """``docs`` with the figures, ``base_failed`` and ``kept``; with ``clean``, the column ``text`` holds
-    what the line rules left (a null text stays null). A column of ``docs`` with the name of a figure is
+    what the line rules left (a null text stays null); ``by_share`` as above. A column of ``docs`` with the name of a figure is
     replaced."""
     bound_batches(docs.sparkSession)
     names = LONGS + FLAGS
@@ -152,7 +181,7 @@ def quality_rules(docs: DataFrame, text: str = "text", clean: bool = False) -> D
         for batch in emptied(batches):
             at = batch.schema.get_field_index("qr_text")
             texts = binary_texts(batch.column(at))
-            found = [measure(x) for x in texts]
+            found = [measure(x, by_share) for x in texts]
             columns, cols = [f.name for f in fields], []
             for name in columns:
                 if clean and name == text:

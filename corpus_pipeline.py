@@ -26,8 +26,9 @@ def _same_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that failed."""
-    return _same_columns(quality_rules(docs, clean=True).where("kept"), docs)
+    """Documents that pass the quality rules, without the lines that failed; phrases and separators fail a line by
+    their share of it, so a long clean line is not lost for one of them."""
+    return _same_columns(quality_rules(docs, clean=True, by_share=True).where("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

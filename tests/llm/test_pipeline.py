@@ -85,3 +85,34 @@ def test_five_copies_in_a_small_source(spark):
     rows = [(i, "one text\nof two lines" if i < 5 else f"text {i}\nof its own {i}", None) for i in range(49)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r["doc_id"]: r["text"] for r in cp.line_stage(spark, docs, DATA).collect()} == {i: t for i, t, _ in rows}
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+CLEAN_LINES = [
+    f"{LONG}, as one could read more about in a book that was powered by nothing.",
+    f"{LONG}; terms of use were never read.",
+    f"Il a dit « bonjour » et puis « bonsoir » avant de partir, {LONG}.",
+    f"Она сказала «да», а он ответил «нет», {LONG}.",
+    f"La col·lecció i la intel·ligència, el col·legi, {LONG}.",
+    f"{LONG} | {LONG.replace('word', 'more')} | {LONG.replace('word', 'other')}.",
+    f"»Ja«, sagte sie, »nein« sagte er, {LONG}.",
+]
+FURNITURE_LINES = [
+    "Home | About | Contact us | Imprint and more | Legal notes of ours | Help for all.",
+    "Start » News » Sports » Football results of the last week and all before it.",
+    "Start · News · Sports · Football results of the last week and the next.",
+    "We use cookies on this site, see our privacy policy and our terms of use.",
+    "All rights reserved.", "Click here to sign up for the letter that we send each week.",
+    f"Home | {' | '.join(f'item{i}' for i in range(14))} | {LONG}.",
+]
+
+
+def test_long_clean_lines_stay(spark):
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(CLEAN_LINES)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in cp.quality_stage(spark, docs, DATA).collect()} == dict(enumerate(CLEAN_LINES))
+
+
+def test_furniture_lines_go(spark):
+    body = "\n".join(f"{' '.join(f'{c}{i}' for i in range(40))}." for c in "abcdefghijkl")
+    docs = spark.createDataFrame([(i, f"{x}\n{body}") for i, x in enumerate(FURNITURE_LINES)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in cp.quality_stage(spark, docs, DATA).collect()} == dict.fromkeys(range(len(FURNITURE_LINES)), body)
