@@ -9,7 +9,8 @@ their id. The counts are summed by Spark over a fixed set of kinds, so the drive
 rows at most. Extraction is one pass over the pages, no shuffle.
 
 Furniture: elements that never hold content (menus, asides, forms, scripts, ...), page headers and
-footers, and elements whose class, id or role names such a part. Its words score as furniture and are not
+footers, and elements whose class, id or role names such a part: each word of the value is a part or says which one or where
+("related-posts", but not "related-work", "ad-free", "has-sidebar"); headings are never named a part. Its words score as furniture and are not
 returned, also where they stand inside the region. Opening the content element ends furniture that was
 never closed.
 
@@ -60,6 +61,14 @@ PARTS = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist "
     "disqus respond replies reactions pagination pager widget widgets search searchbox skip skiplink "
     "complementary contentinfo search".split())
+# words that say which part it is, or where
+PART_QUALIFIERS = frozenset(
+    "top bottom left right main primary secondary site page global local inner outer upper lower first second third "
+    "container wrapper wrap box bar list block section area item items link links button buttons btn icon icons form "
+    "post posts article articles story stories recent latest popular more entry entries header head body panel slot unit "
+    "group holder row col column user author mobile desktop sticky fixed floating dropdown collapse toggle google dfp "
+    "leaderboard facebook twitter media network networks the on by to js id".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_PARTS = frozenset(["header", "siteheader", "pageheader"])
 BLOCK_KINDS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre figcaption dd dt div section article main body".split())
 # --- end of fixed values ---
@@ -74,16 +83,23 @@ _BITS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def names_part(bits: list[str]) -> bool:
+    """Whether the words of a class, id or role name a page part and nothing else."""
+    if bits[:1] == ["skip"] or "".join(bits) in PARTS:
+        return True
+    return any(b in PARTS for b in bits) and all(b in PARTS or b in PART_QUALIFIERS or b.isdigit() for b in bits)
+
+
 def is_furniture(name: str, tag: str, in_content: bool) -> bool:
     """Whether an element is page furniture by its name or by its class, id and role."""
     if name in FURNITURE or (name == "header" and not in_content):
         return True
-    if name in CONTENT or name in ("html", "body") or "=" not in tag:
+    if name in CONTENT or name in HEADINGS or name in ("html", "body") or "=" not in tag:
         return False
     for found in _PART.findall(tag):
         for value in "".join(found).split():
             bits = [b.lower() for b in _BITS.findall(value)]
-            if any(b in PARTS for b in bits) or "".join(bits) in HEADER_PARTS and not in_content:
+            if names_part(bits) or "".join(bits) in HEADER_PARTS and not in_content:
                 return True
     return False
 

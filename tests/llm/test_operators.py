@@ -320,6 +320,20 @@ def test_html_extraction(spark):
     assert hx.extract_pages(df.limit(0), hx.fit_weights(df.limit(0))).collect() == []
 
 
+def test_html_names_that_hold_a_part_word():
+    body = " ".join(f"word{i}" for i in range(40))
+    inside = ('<h2 id="related-work">Related work</h2><p>One.</p><section id="social-impact"><p>Two.</p></section>'
+              '<div class="ad-free"><p>Three.</p></div><h3 id="comments" class="search">On comments</h3>'
+              '<div class="related-posts"><p>Gone.</p></div><div class="ad"><p>Gone.</p></div><div id="siteNav">Gone.</div>'
+              '<div class="sidebar-left widget_2">Gone.</div><a class="skip-to-content">Gone.</a><div id="cookie-banner">Gone.</div>')
+    weights = {f"t:{t}": -0.01 for t in "p div h2 h3 section article body a".split()} | {"w:furniture": -0.01}
+    want = f"{body}\nRelated work\nOne.\nTwo.\nThree.\nOn comments"
+    assert hx.extract(f"<body><article><p>{body}</p>{inside}</article></body>", weights) == want
+    for name in ("content has-sidebar", "no-sidebar", "content-sidebar-wrap", "with-sidebar", "hasSidebar"):
+        page = f'<body><div class="{name}"><p>{body}</p>{inside}</div></body>'
+        assert hx.extract(page, weights) == want, name
+
+
 def test_best_region_is_maximal():
     rnd = random.Random(8)
     for _ in range(50):
