@@ -19,6 +19,7 @@ from cohortkit.llm.line_dedup import line_dedup
 from cohortkit.llm.packing import pack
 from cohortkit.llm.quality_rules import quality_rules
 from cohortkit.llm.suffix_dedup import suffix_dedup
+from cohortkit.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +125,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that 400-byte strings starting elsewhere cover."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup(docs, keep_text=False)
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding."""
+    return whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
