@@ -207,3 +207,42 @@ SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.gone,
        sha256(unhex(CASE WHEN k.n IS NULL THEN d.x ELSE k.head || substr(d.x, CAST(2 * k.last + 1 AS BIGINT)) END)) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: list_transform(range(0, 8), lambda j: (ascii({text}[i]) >> j) & 1)))"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform({bits}, lambda b: CAST(b AS BIGINT))), "
+            "lambda c, b: xor(c >> 1, CAST(3988292384 AS BIGINT) * (xor(c, b) & 1))), CAST(4294967295 AS BIGINT))")
+
+
+CONVERSATION_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS b,
+         md5(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''), coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, k, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS head, {_crc32("s")} % 9 AS h
+  FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+r AS (
+  SELECT c.conv_id, pos, k, b FROM c JOIN p ON p.conv_id = c.head AND pos < h
+  UNION ALL SELECT c.conv_id, pos, k, b FROM c JOIN p ON p.conv_id = c.conv_id AND pos >= h),
+q AS (
+  SELECT conv_id, b, row_number() OVER w AS d, string_agg(k, '') OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT conv_id, d, b, path FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, max(b) AS b FROM a GROUP BY path, d),
+kids AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(kids.n, 0) AS kids FROM n LEFT JOIN kids ON kids.path = n.path),
+up AS (SELECT (n - 1) * b AS saved, kids, path, unnest(range(0, d + 1)) AS depth FROM f),
+below AS (
+  SELECT left(path, 32 * depth) AS path, sum(saved) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves FROM up GROUP BY 1),
+ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, d) AS path FROM a GROUP BY conv_id) GROUP BY path)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(f.kids AS BIGINT) AS n_children,
+       CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM f JOIN below ON below.path = f.path LEFT JOIN ends ON ends.path = f.path
+LEFT JOIN n AS up ON f.d > 0 AND up.d = f.d - 1 AND up.path = left(f.path, 32 * (f.d - 1))
+"""

@@ -11,6 +11,7 @@ from cohortkit.llm import language_id as lid
 from cohortkit.llm import oracles
 from cohortkit.llm.byte_bpe import bpe_digests
 from cohortkit.llm.common import read_table
+from cohortkit.llm.conversation_trie import conversations_of, prefix_trie
 from cohortkit.llm.exact_topk import exact_topk
 from cohortkit.llm.html_extraction import extract_pages, fit_weights
 from cohortkit.llm.jaccard_join import jaccard_classes
@@ -127,6 +128,25 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs, keep_text=False)
 
 
+MAX_SHARED = 9  # shared first turns of op11: crc32 of the id modulo this
+FAMILY = 5  # conversations whose ids differ in the rest of a division by this share first turns
+
+
+@register("op11_conversation_trie", oracles.CONVERSATION_TRIE)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the conversations, each rebuilt with the first turns of its family's first one."""
+    own = conversations_of(read_table(spark, sf_dir, "conversations"))
+    heads = own.select(F.col("conv_id").alias("head_id"), F.slice("symbols", 1, MAX_SHARED - 1).alias("head"))
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % MAX_SHARED).cast("int")
+    rebuilt = own.join(heads, F.col("conv_id") - F.col("conv_id") % FAMILY == F.col("head_id"), "left").select(
+        "conv_id", F.concat(F.slice(F.coalesce("head", F.array().cast("array<binary>")), F.lit(1), shared),
+                            F.slice("symbols", shared + 1, F.size("symbols"))).alias("symbols"))
+    empty = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
+    return prefix_trie(rebuilt).select(
+        *[c for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")],
+        F.lower(F.hex(F.coalesce("ends", empty))).alias("ends_sha256"))
+
+
 @register("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four leading whitened components of every embedding."""
