@@ -18,6 +18,7 @@ from cohortkit.llm.jaccard_join import jaccard_classes
 from cohortkit.llm.license_scan import license_scan
 from cohortkit.llm.line_dedup import line_dedup
 from cohortkit.llm.packing import pack
+from cohortkit.llm.pitman_yor import pitman_yor_scores
 from cohortkit.llm.quality_rules import quality_rules
 from cohortkit.llm.suffix_dedup import suffix_dedup
 from cohortkit.llm.whitening import whiten
@@ -151,3 +152,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four leading whitened components of every embedding."""
     return whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@register("op13_lm_scoring")
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by the hierarchical Pitman-Yor model; a tenth is held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return pitman_yor_scores(read_table(spark, sf_dir, "documents"), "doc_id", held_out).withColumnRenamed("id", "doc_id")
