@@ -32,8 +32,8 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 BYTE_VALUES = stream(1, 256)
 BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so it has an inverse modulo 2**64
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACES)] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -50,7 +50,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_words(data: np.ndarray) -> np.ndarray:
-    word = ~_IS_SPACE[data]
+    word = ~IS_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):

@@ -187,9 +187,14 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 
 JACCARD_CLASSES = _jaccard_classes(3, 90, 100)
 
+# UTF-8 characters in hex digits; bytes that a removal left of a character match none of them
+_NEXT = "[89AB]."
+_CHARACTER = (f"[0-7].|(?:C[2-9A-F]|D.){_NEXT}|E0[AB].{_NEXT}|ED[89].{_NEXT}|E[1-9A-CEF]{_NEXT}{_NEXT}|F0[9AB].{_NEXT}{_NEXT}"
+              f"|F[1-3]{_NEXT}{_NEXT}{_NEXT}|F48.{_NEXT}{_NEXT}")
+
 # every byte is two hex digits, so byte strings are text of twice the length
-SUFFIX_DEDUP = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS x FROM documents),
 k AS (SELECT doc_id, unnest(range(0, CAST(len(x) // 2 - 399 AS BIGINT))) AS p, x FROM d WHERE len(x) >= 800),
 h AS (SELECT doc_id, p, md5(substr(x, CAST(2 * p + 1 AS BIGINT), 800)) AS g FROM k),
 hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS n FROM h) WHERE n > 1),
@@ -201,11 +206,16 @@ part AS (
 kept AS (
   SELECT p.doc_id, count(*) AS n, sum(p.b - p.a) AS gone, max(p.b) AS last,
          string_agg(substr(d.x, CAST(2 * p.since + 1 AS BIGINT), CAST(2 * (p.a - p.since) AS BIGINT)), '' ORDER BY p.a) AS head
-  FROM part p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
-SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(k.n, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN k.n IS NULL THEN d.x ELSE k.head || substr(d.x, CAST(2 * k.last + 1 AS BIGINT)) END)) AS kept_sha256
-FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+  FROM part p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+left_over AS (
+  SELECT d.doc_id, d.text, d.x, k.gone, k.n,
+         CASE WHEN k.n IS NULL THEN d.x ELSE k.head || substr(d.x, CAST(2 * k.last + 1 AS BIGINT)) END AS y
+  FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256,
+       CASE WHEN n IS NULL THEN text ELSE decode(unhex(array_to_string(list_filter(
+         regexp_extract_all(y, '{_CHARACTER}|..'), lambda c: len(c) > 2 OR c < '8'), ''))) END AS text
+FROM left_over
 """
 
 

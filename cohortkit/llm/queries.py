@@ -124,9 +124,9 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that 400-byte strings starting elsewhere cover."""
+    """Bytes of every document that 400-byte strings starting elsewhere cover, and the text without them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup(docs, keep_text=False)
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 MAX_SHARED = 9  # shared first turns of op11: crc32 of the id modulo this

@@ -24,6 +24,10 @@ far, so it runs over pieces instead, which Spark deals out such that equal strin
    counted map-side combined, and joined back. This is exact too and linear in the rows.
 
 Hashes are 128 bits (anchor and context); equality of windows in step 4 is by bytes.
+
+By words: with ``words``, a string is that many words in a row, whatever the bytes and the white space between them. A text is then read as the
+64-bit hashes of its words, 8 bytes each, on which all of the above runs with a length of 8 bytes a word; matches at other places than the
+beginning of a hash are as likely as equal hashes of different words. What goes is the text from a run's first word to its last.
 No group, text or match list is gathered but the pieces of one collection and the spans of one text.
 
 Defined cases: null texts count as empty; texts under ``length`` bytes keep every byte; repeated rows are
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortkit.llm.common import binary_texts, bound_batches, emptied, stored
-from cohortkit.llm.hashing import BASE, mix
+from cohortkit.llm.hashing import BASE, IS_SPACE, mix, word_hashes
 from cohortkit.llm.passages import Hashes, anchors
 
 LENGTH = 400
@@ -117,6 +121,28 @@ def covered(text: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+WORD_BYTES = 8
+
+
+def word_symbols(text: bytes) -> bytes:
+    """The hashes of the words in a row, ``WORD_BYTES`` each."""
+    return word_hashes(text).tobytes()
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    inside = ~IS_SPACE[np.frombuffer(text, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def words_covered(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes of runs of :func:`word_symbols`, from a run's first word to its last."""
+    start, end = word_places(text)
+    words = [(-(-a // WORD_BYTES), b // WORD_BYTES) for a, b in runs]
+    return [(int(start[a]), int(end[b - 1])) for a, b in words if b > a]
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -126,11 +152,11 @@ def text_key(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def window_runs(docs: DataFrame, length: int) -> DataFrame:
+def window_runs(docs: DataFrame, length: int, symbols=bytes) -> DataFrame:
     """(doc_id, sd_key, at, low, high, gram, ctx): the runs of windows of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in emptied(batches):
-            found = [anchors(t or b"", length) for t in binary_texts(batch.column(2))]
+            found = [anchors(symbols(t or b""), length) for t in binary_texts(batch.column(2))]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]), pa.int64())
             cols = [np.concatenate([x[k] for x in found]) for k in range(5)]
             yield pa.RecordBatch.from_arrays(
@@ -155,7 +181,7 @@ def settle(rows: DataFrame, group: list[str], whole: str, name: str) -> tuple[Da
     return sure, still
 
 
-def pieces_of(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
+def pieces_of(docs: DataFrame, open_runs: DataFrame, length: int, symbols=bytes) -> DataFrame:
     """(gram, sd_key, low, at, data): the bytes of each open run; ``at`` is relative to ``low``."""
     per_text = open_runs.groupBy("doc_id", "sd_key").agg(F.collect_list(F.struct("gram", "at", "low", "high")).alias("runs"))
     joined = docs.select("doc_id", "sd_key", "text").join(
@@ -166,6 +192,7 @@ def pieces_of(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
         for batch in emptied(batches):
             out = []
             for key, text, runs in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist()):
+                text = symbols(text)
                 out += [(r["gram"], key, r["low"], r["at"] - r["low"], text[r["low"]:r["high"] + length]) for r in runs]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(5)],
@@ -256,13 +283,14 @@ def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS,
-                   collection_rows: int = COLLECTION_ROWS) -> DataFrame:
-    """(sd_key, spans): the covered spans of each text that has some. ``docs``: (doc_id, sd_key, text)."""
+                   collection_rows: int = COLLECTION_ROWS, symbols=bytes) -> DataFrame:
+    """(sd_key, spans): the covered spans of each text that has some. ``docs``: (doc_id, sd_key, text); ``symbols`` gives the
+    bytes that a text is read as."""
     bound_batches(docs.sparkSession)
-    runs = stored(window_runs(docs, length).withColumn("mark", F.xxhash64("doc_id", "sd_key", "low")), "suffix-runs")
+    runs = stored(window_runs(docs, length, symbols).withColumn("mark", F.xxhash64("doc_id", "sd_key", "low")), "suffix-runs")
     sure, still = settle(runs, ["gram"], "ctx", "suffix-runs")
     covered_runs = sure.select("sd_key", F.col("low").alias("from"), (F.col("high") + length).alias("to"))
-    pieces = stored(pieces_of(docs, still, length), "suffix-pieces")
+    pieces = stored(pieces_of(docs, still, length, symbols), "suffix-pieces")
     blocks = stored(window_blocks(pieces, length), "suffix-blocks")
     sure, still = settle(blocks, ["gram", "block", "core"], "whole", "suffix-blocks")
     covered_blocks = sure.select("sd_key", (F.col("low") + F.col("first")).alias("from"), (F.col("low") + F.col("last") + length).alias("to"))
@@ -281,14 +309,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROU
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-                 group_rows: int = GROUP_ROWS, collection_rows: int = COLLECTION_ROWS, keep_text: bool = True) -> DataFrame:
+                 group_rows: int = GROUP_ROWS, collection_rows: int = COLLECTION_ROWS, keep_text: bool = True,
+                 words: int | None = None) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256; ``text`` without the covered bytes (or, with
-    ``keep_text`` false, left out). A column of ``docs`` with such a name is replaced."""
+    ``keep_text`` false, left out). With ``words``, strings of so many words instead of ``length`` bytes. A column of
+    ``docs`` with such a name is replaced."""
+    symbols = bytes if words is None else word_symbols
+    length = length if words is None else words * WORD_BYTES
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
              T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     names = [f.name for f in added]
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("sd_key"), F.col(text).alias("text"))
-    found = stored(repeated_spans(keyed, length, group_rows, collection_rows), "suffix-spans")
+    found = stored(repeated_spans(keyed, length, group_rows, collection_rows, symbols), "suffix-spans")
     reserved = (text, "sd_text", "sd_of", "sd_key", "spans")
     rest = [f for f in docs.schema.fields if f.name not in (*reserved, *names)]
     joined = (
@@ -305,6 +337,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             for value, marks in zip(binary_texts(batch.column(0)), batch.column(1).to_pylist()):
                 data = value or b""
                 runs = covered(data, [(m["from"], m["to"]) for m in marks or []])
+                if words is not None:
+                    runs = words_covered(data, runs)
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(data[at:a])

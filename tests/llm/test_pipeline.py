@@ -1,9 +1,11 @@
 """The pipeline against a brute-force version, and on the awkward cases."""
 
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
-from test_operators import brute_classes, brute_flags
+from test_operators import brute_classes
 
 import corpus_pipeline as cp
 from cohortkit.llm import line_dedup as ld
@@ -23,9 +25,28 @@ def brute(docs):
     kept.sort()  # so the first of a class is that of the smallest id
     classes = brute_classes([t for _, t in kept], 5, 80, 100)
     kept = [x for x, (place, _, first) in zip(kept, classes) if place == first]
-    data = [t.encode() for _, t in kept]
-    return {i: bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")
-            for (i, _), t, gone in zip(kept, data, brute_flags(data, 400))}
+    return {i: t for (i, _), t in zip(kept, brute_passages([t for _, t in kept], 50))}
+
+
+def brute_passages(texts, n):
+    """Texts without the words of ``n``-word strings that stand elsewhere too, and what is between them."""
+    words = [list(re.finditer(r"[^ \t\n\x0b\x0c\r]+", t)) for t in texts]
+    strings = [[tuple(w.group() for w in ws[k:k + n]) for k in range(len(ws) - n + 1)] for ws in words]
+    counts = Counter(x for s in strings for x in s)
+    out = []
+    for t, ws, found in zip(texts, words, strings):
+        gone = [False] * len(ws)
+        for k, x in enumerate(found):
+            if counts[x] > 1:
+                gone[k:k + n] = [True] * n
+        kept, at = "", 0
+        for k, w in enumerate(ws):
+            if gone[k] and (k == 0 or not gone[k - 1]):
+                kept += t[at:w.start()]
+            if gone[k]:
+                at = w.end()
+        out.append(kept + t[at:])
+    return out
 
 
 def test_pipeline_brute(spark):
@@ -47,22 +68,57 @@ def test_pipeline_brute(spark):
     assert sorted({r["bucket"] for r in packed}) == pk.optimal_bounds(hist)
 
 
+CLASHES = ["n_words", "spans", "kept", "n_bytes", "sd_key", "sd_text", "sd_of", "qr_text", "ld_x", "ld_host", "n_lines", "a.b", "column_0", "sd key"]
+
+
 def test_stages_on_awkward_rows(spark):
     text = " ".join(f"word{i}" for i in range(80)) + "."
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, None, None, None), (None, text + " more words here.", "en", "s", 1),
             (3, None, "en", "s", 1), (4, "", "en", "s", 1), (5, " ".join(f"other{i}" for i in range(20000)) + ".", "en", "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for data in (rows, []):
-        docs = spark.createDataFrame(data, schema).withColumn("n_words", F.lit("clash")).withColumn("spans", F.lit(1))
+        docs = spark.createDataFrame(data, schema)
+        for name in CLASHES:
+            docs = docs.withColumn(name, F.lit(f"own {name}"))
         for name, stage in cp.STAGES[:-1]:
             columns = docs.columns
             docs = cp.stored(stage(spark, docs, DATA), f"test-{name}")
             assert docs.columns == columns, name
+            got = docs.collect()
+            assert all(r[c] == f"own {c}" for r in got for c in CLASHES), name
             if data and name == "near_duplicates":
-                assert sorted((r["doc_id"] for r in docs.collect()), key=repr) == [1, 5, None]
+                assert sorted((r["doc_id"] for r in got), key=repr) == [1, 5, None]
         cp.STAGES[-1][1](spark, docs, DATA).collect()
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    """Whatever their bytes; shorter ones and clean texts stay."""
+    rnd = random.Random(8)
+
+    def words(n, most):
+        return ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, most))) for _ in range(n)]
+
+    passages = [words(51, 4), words(51, 9), words(60, 5), words(49, 9), words(400, 6)]
+    sizes = [len(" ".join(p).encode()) for p in passages]
+    assert sizes[0] < 200 and sizes[1] < 400
+    texts = []
+    for k in range(40):
+        body = words(rnd.randint(5, 200), 12)
+        at = rnd.randint(0, len(body))
+        passage = passages[k % len(passages)] if k < 30 else []
+        texts.append(" ".join(body[:at]) + rnd.choice([" ", "\n", " \t"]) + rnd.choice([" ", "\n"]).join(passage) + "\n" + " ".join(body[at:]))
+    texts.append(" ".join(["again"] * 60))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in cp.passage_stage(spark, docs, DATA).collect()}
+    assert got == dict(enumerate(brute_passages(texts, 50)))
+    for k in range(40):
+        words_left = got[k].split()
+        if k < 30 and k % 5 != 3:
+            assert passages[k % 5][25] not in words_left or len(words_left) < len(texts[k].split())
+        else:
+            assert got[k] == texts[k]
+
+
 def test_copied_documents_keep_their_text(spark):
     """Copies and near copies of a document, each a third of a source, are no boilerplate of it; its menu is."""
     def line(name):
