@@ -7,6 +7,8 @@ the columns of ``docs``; where a stage changes the text, ``n_chars`` follows it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +20,31 @@ from cohortkit.llm.quality_rules import quality_rules
 from cohortkit.llm.suffix_dedup import suffix_dedup
 
 
-def _same_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with ``n_chars`` as the length of the text."""
+PASSAGE_WORDS = 50  # a passage is this many words in a row that stand elsewhere too
+READ = ("doc_id", "text", "source")  # the columns that stages read
+
+
+def _same_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stage`` leaves of ``docs``, in the columns of ``docs``; ``n_chars`` follows the text. Other columns go through the stage
+    under names by their place, so whatever they are called, they meet no name that an operator adds."""
+    inside = [c if c in READ else f"column_{i}" for i, c in enumerate(docs.columns)]
+    found = stage(docs.toDF(*inside))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+        at = docs.columns.index("n_chars")
+        found = found.withColumn(inside[at], F.length("text").cast(docs.schema[at].dataType))
+    return found.select(inside).toDF(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that failed; phrases and separators fail a line by
     their share of it, so a long clean line is not lost for one of them."""
-    return _same_columns(quality_rules(docs, clean=True, by_share=True).where("kept"), docs)
+    return _same_columns(docs, lambda d: quality_rules(d, clean=True, by_share=True).where("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source, where copies of a document count once: they are
     removed after this stage, and one of them has to keep its text."""
-    return _same_columns(line_dedup(docs, "source", "text", copies_once=True), docs)
+    return _same_columns(docs, lambda d: line_dedup(d, "source", "text", copies_once=True))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +58,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not twice.isEmpty():  # rows that share a doc_id
         left = left.join(twice, "doc_id", "left_anti").unionByName(
             left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return _same_columns(left, docs)
+    return left
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of passages that stand elsewhere too."""
-    return _same_columns(suffix_dedup(docs), docs)
+    """Documents without the passages of ``PASSAGE_WORDS`` words or more that stand elsewhere too, from the first word to the last."""
+    return _same_columns(docs, lambda d: suffix_dedup(d, words=PASSAGE_WORDS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-# Removed bytes may cut a character, whose rest is dropped when the bytes become text again: DuckDB has no such
-# decoding, so SQL cannot state the rows. tests/llm holds the pipeline against a brute-force version.
+# The line rules by their share of a line (quality_rules) need the words beside each separator, which SQL cannot state within
+# reason. tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
