@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortkit import constants as K
 from cohortkit.operators import model as M
 from cohortkit.operators import textprep as TP
 from cohortkit.operators.pages import generate_pages, label_of
@@ -74,3 +75,22 @@ def q_model_roundtrip(spark, sf_dir):
     other = vocab.exceptAll(stored_vocab).unionAll(stored_vocab.exceptAll(vocab)).agg(F.count(F.lit(1))).scalar()
     return stored.transform(test).join(live, F.col("sample_id") == F.col("id")).select(
         "sample_id", "label", (F.col("prediction") == F.col("live")).alias("same_prediction"), (other == 0).alias("same_vocabulary"))
+
+
+@register("classifier_epochs")
+def q_classifier_epochs(spark, sf_dir):
+    """A line per epoch of the classifier over sub-words, trained on the generated pages, with the loss of the best one as its stored
+    state gives it (X5, X6). SQL cannot fit it; tests hold it against numpy."""
+    from cohortkit.operators import epochs as EP
+    from cohortkit.operators import subword as SW
+    from cohortkit.plans.q_subword import VOCABULARY
+
+    pieces = SW.read_vocabulary(VOCABULARY)
+    encoded = SW.encode_subwords(_texts(spark, sf_dir), pieces)
+    rows = EP.deal(TP.split_exact(encoded.select("sample_id", "label", "input_ids")))
+    path = scratch_path(spark, "page-intent-epochs")
+    n_classes = len(K.PAGE_TYPES)
+    report = EP.fit_epochs(spark, rows, path, max(pieces.values()) + 1, n_classes)
+    best = report.where("is_best").first()
+    again = EP.evaluate(EP._of_step(spark, rows, EP.TEST_STEP), EP.load_state(spark, path, best["epoch"]))["loss"] if best else None
+    return report.withColumn("reloaded_loss", F.when(F.col("is_best"), F.lit(again).cast("double")))

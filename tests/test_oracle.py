@@ -35,4 +35,4 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert not rows_only
+    assert rows_only == {"classifier_epochs"}  # fitted; held against numpy in test_epochs.py
