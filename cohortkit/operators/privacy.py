@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +27,74 @@ def extremes(spark: SparkSession, receipts: DataFrame) -> DataFrame:
         "generator", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"), "max_total_amount", "max_num_items")
 
 
-def distinct_counts(receipts: DataFrame) -> DataFrame:
-    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones, computed
-    once (cohorts x columns rows): it feeds the ratios and the verdict.
-
-    One aggregate over the receipts, unpivoted with ``stack``; a ``customer_key`` column stands for the
-    shown ``customer_id``, which is a short hash that different customers can share.
-    """
+def _counted(receipts: DataFrame) -> dict[str, str]:
+    """Shown column -> the column that is counted: a ``customer_key`` stands for the shown ``customer_id``, which is a short hash that
+    different customers can share."""
     cols = [c for c in receipts.columns if c not in (*EXCLUDED, KEY)]
-    counted = {c: KEY if c == "customer_id" and KEY in receipts.columns else c for c in cols}
-    agg = receipts.groupBy("generator").agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.countDistinct(counted[c]).alias(f"d_{c}") for c in cols])
-    stack = "stack({n}, {pairs}) as (column_name, n_distinct)".format(
-        n=len(cols), pairs=", ".join(f"'{c}', d_{c}" for c in cols))
-    return materialize(agg.selectExpr("generator", "n_rows", stack))
+    return {c: KEY if c == "customer_id" and KEY in receipts.columns else c for c in cols}
+
+
+def _exact_counts(receipts: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``(generator, column_name, n_distinct)``: a narrow distinct per column, combined map-side; no row is copied for each column."""
+    parts = [receipts.select("generator", F.col(of).alias("v")).where("v IS NOT NULL").distinct().groupBy("generator").agg(
+        F.count(F.lit(1)).alias("n_distinct")).select("generator", F.lit(shown).alias("column_name"), "n_distinct")
+        for shown, of in columns.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _with_rows(receipts: DataFrame, columns: list[str]) -> DataFrame:
+    """``(generator, n_rows, column_name)``: cohorts x columns rows."""
+    rows = receipts.groupBy("generator").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.select("generator", "n_rows", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+
+
+def distinct_counts(receipts: DataFrame) -> DataFrame:
+    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones, exact and computed
+    once (cohorts x columns rows): it feeds the ratios and the verdict. ``receipts`` should be materialized."""
+    columns = _counted(receipts)
+    if not columns:
+        return materialize(_with_rows(receipts, []).withColumn("n_distinct", F.lit(0).cast("long")))
+    found = _exact_counts(receipts, columns)
+    return materialize(_with_rows(receipts, list(columns)).join(found, ["generator", "column_name"], "left").select(
+        "generator", "n_rows", "column_name", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
+
+
+SKETCH_SIZE = 14  # log2 of the registers of a distinct-count sketch
+SKETCH_ERROR = 5 * 1.04 / math.sqrt(1 << SKETCH_SIZE)  # five standard errors
+
+
+def sketched_flags(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
+    """``(generator, n_rows, column_name, flagged)`` from one mergeable sketch per cohort and column: a pass over the rows, and what is shuffled is
+    the sketches alone. ``flagged`` is null where the estimate's bounds (five standard errors) leave either threshold open."""
+    columns = _counted(receipts)
+    sketches = receipts.groupBy("generator").agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.col(of).cast("string"), F.lit(SKETCH_SIZE))).alias(f"d_{c}") for c, of in columns.items()])
+    pairs = ", ".join(f"'{c}', `d_{c}`" for c in columns)
+    estimates = sketches.selectExpr("generator", "n_rows", f"stack({len(columns)}, {pairs}) as (column_name, estimate)")
+    low, high = F.col("estimate") * (1 - SKETCH_ERROR), F.col("estimate") * (1 + SKETCH_ERROR)
+    least = F.greatest(F.lit(ratio) * F.col("n_rows"), F.lit(float(min_distinct)))  # both thresholds have to be exceeded
+    return estimates.select("generator", "n_rows", "column_name", F.when(high <= least, F.lit(False)).when(low > least, F.lit(True)).alias("flagged"))
+
+
+def uniqueness_flags(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
+    """``(generator, column_name, flagged)`` as :func:`uniqueness` flags them: by sketches, and by exact counts for the columns that these leave
+    open in some cohort. ``receipts`` should be materialized."""
+    flags = materialize(sketched_flags(receipts, ratio, min_distinct))
+    unsure = [r["column_name"] for r in flags.where("flagged IS NULL").select("column_name").distinct().collect()]  # columns
+    decided = flags.where("n_rows > 1")
+    if not unsure:
+        return decided.select("generator", "column_name", "flagged")
+    columns = _counted(receipts)
+    exact = _exact_counts(receipts, {c: columns[c] for c in sorted(unsure)})
+    d = F.coalesce("n_distinct", F.lit(0))
+    return decided.join(exact, ["generator", "column_name"], "left").select("generator", "column_name", F.coalesce(
+        "flagged", (d / F.col("n_rows") > F.lit(ratio)) & (d > F.lit(min_distinct))).alias("flagged"))
 
 
 def uniqueness(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
     """Exact distinct count and ratio per cohort and column; flag ratio > 0.95 and > 10 distinct
     (A11, P16). Nulls are not distinct values but stay in the row count (Q9)."""
-    return uniqueness_of(distinct_counts(receipts), ratio, min_distinct)
+    return uniqueness_of(distinct_counts(materialize(receipts, of=receipts)), ratio, min_distinct)
 
 
 def uniqueness_of(counts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
@@ -56,15 +107,19 @@ def uniqueness_of(counts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct
 
 
 def uniqueness_verdict(spark: SparkSession, receipts: DataFrame) -> DataFrame:
-    """Warning with the flagged columns, or a clean verdict, per cohort (V4)."""
-    return verdict_of(distinct_counts(receipts))
+    """Warning with the flagged columns, or a clean verdict, per cohort (V4). Columns far from the threshold are settled by sketches."""
+    receipts = materialize(receipts, of=receipts)
+    return _verdict(receipts.select("generator").distinct(), uniqueness_flags(receipts))
 
 
 def verdict_of(counts: DataFrame) -> DataFrame:
     """:func:`uniqueness_verdict` from :func:`distinct_counts`."""
-    u = uniqueness_of(counts).filter("flagged").groupBy("generator").agg(
-        F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
-    out = counts.select("generator").distinct().join(u, "generator", "left")
+    return _verdict(counts.select("generator").distinct(), uniqueness_of(counts))
+
+
+def _verdict(cohorts: DataFrame, flags: DataFrame) -> DataFrame:
+    u = flags.filter("flagged").groupBy("generator").agg(F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
+    out = cohorts.join(u, "generator", "left")
     cols = F.coalesce("flagged_columns", F.array().cast("array<string>"))
     return out.select("generator", cols.alias("flagged_columns"),
                       F.when(F.size(cols) > 0, F.lit("warning")).otherwise(F.lit("clean")).alias("verdict"))

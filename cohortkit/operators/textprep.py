@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit import constants as K
 from cohortkit.functions import draws as D
 from cohortkit.functions.scalars import combine_text
-from cohortkit.operators.ranking import ranked
+from cohortkit.operators.selection import hash_threshold
 from cohortkit.session import materialize
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -44,14 +44,6 @@ def sample_tuples(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", F.to_json(F.array("html", "page_type", "summary")).alias("value"))
 
 
-def read_tuple_files(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of dataset files in the original's form: one JSON array of 3-element arrays
-    ``[html, page_type, summary]`` per file. Each file is read as one text; ``file`` and ``place`` name the sample."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    return files.select("file", F.posexplode(F.from_json("value", "array<array<string>>")).alias("place", "a")).select(
-        "file", "place", F.col("a")[0].alias("html"), F.col("a")[1].alias("page_type"), F.col("a")[2].alias("summary"))
-
-
 def unpack_tuples(tuples: DataFrame) -> DataFrame:
     """``[html, page_type, summary]`` JSON arrays back to columns."""
     a = F.from_json("value", "array<string>")
@@ -118,13 +110,15 @@ def split_hash(rows: DataFrame, key: str = "sample_id", test_fraction: float = K
 
 def split_exact(rows: DataFrame, key: str = "sample_id", test_fraction: float = K.TEST_FRACTION,
                 seed=K.SEED) -> DataFrame:
-    """Exact split: order by keyed hash, the first ``ceil(fraction·n)`` rows are test.
+    """Exact split: in the order of a keyed hash (ties by key), the first ``ceil(fraction·n)`` rows are test.
 
-    The fraction is taken as the decimal that it is written as. Only (hash, key) is ordered; the rows
-    join their rank.
+    The fraction is taken as the decimal that it is written as. The last test row's hash and key are selected by radix, so the rows
+    are only compared with them: nothing is ordered, joined or shuffled.
     """
     rows = materialize(rows, of=rows)
-    hashed = materialize(rows.select(key, D.slot(D.key_md5(seed, F.col(key), "split"), 0).alias("_h")), of=rows)
-    n_test = math.ceil(Fraction(str(test_fraction)) * hashed.count())
-    tests = ranked(hashed, ["_h", key], "_rank").select(F.col(key).alias("_k"), (F.col("_rank") <= n_test).alias("is_test"))
-    return rows.join(tests, F.col(key) == F.col("_k")).drop("_k")
+    hashed = D.slot(D.key_md5(seed, F.col(key), "split"), 0)
+    narrow = rows.select(key, hashed.alias("_h"))
+    last = hash_threshold(narrow, "_h", key, math.ceil(Fraction(str(test_fraction)) * rows.count()))
+    if last is None:
+        return rows.withColumn("is_test", F.lit(False))
+    return rows.withColumn("is_test", (hashed < last[0]) | ((hashed == last[0]) & (F.col(key) <= F.lit(last[1]))))

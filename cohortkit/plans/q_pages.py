@@ -15,6 +15,7 @@ from cohortkit.plans.registry import register
 from cohortkit.plans.sqlviews import view, with_views
 from cohortkit.session import checkpoint_dir
 from cohortkit.sources import datasets as DS
+from cohortkit.sources import tuple_files as TF
 from cohortkit.sources.fixtures import page_responses_fx
 from cohortkit.sources.tables import load
 
@@ -106,6 +107,15 @@ def q_tuple_unpack(spark, sf_dir):
     return TP.unpack_tuples(TP.sample_tuples(PG.page_samples(_validated(spark, sf_dir))))
 
 
+@register("tuple_file_read", with_views("SELECT html, page_type, summary FROM page_samples_v", "page_samples_v"))
+def q_tuple_file_read(spark, sf_dir):
+    """The samples written as files of the original form and read back from them."""
+    from cohortkit.session import scratch_path
+    path = scratch_path(spark, "tuple-files")
+    TF.write_tuple_files(PG.page_samples(_validated(spark, sf_dir)), path)
+    return TF.read_tuple_files(spark, path).select("html", "page_type", "summary")
+
+
 @register("json_roundtrip", with_views("SELECT sample_id, html, page_type, summary FROM page_samples_v",
                                        "page_samples_v"))
 def q_json_roundtrip(spark, sf_dir):

@@ -343,7 +343,7 @@ def test_customers_that_share_an_id_stay_apart(spark):
 
 def test_tuple_files_of_the_original_form(spark, tmp_path):
     import json
-    from cohortkit.operators.textprep import read_tuple_files
+    from cohortkit.sources.tuple_files import read_tuple_files
     data = [["<p>a</p>", "commercial", "one"], ["<p>b</p>", "navigational", 'two "quoted"']]
     (tmp_path / "data_1.json").write_text(json.dumps(data, indent=2))
     (tmp_path / "data_2.json").write_text("[]")

@@ -87,7 +87,7 @@ def test_distributed_median_matches_exact(spark):
     df = spark.createDataFrame(rows, "g string, x double")
     want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
     for b in (7, 100, 100_000):
-        got = {r["g"]: r["median"] for r in exact_median(df, "g", "x", rows_per_part=b).collect()}
+        got = {r["g"]: r["median"] for r in exact_median(df, "g", "x", bins=b).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) <= 1e-12 for k in want)
 
