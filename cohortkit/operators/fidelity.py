@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,38 @@ def ks_pvalue(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * series)))
 
 
+EXACT_LIMIT = 10_000  # the larger sample's size up to which the p-value is exact
+
+
+def exact_ks_pvalue(n_a: int, n_b: int, d: float) -> float:
+    """P(D >= d) of two samples of one distribution, by counting lattice paths (F2).
+
+    All interleavings of the samples are equally likely; each is a path from (0, 0) to (n, m), and D < d holds
+    for the paths that stay where |i · m - j · n| < d · n · m. Row i of the counts is the running sum of row i - 1 inside the
+    band; rows are scaled to 1 and the scale is kept as a logarithm.
+    """
+    n, m = max(n_a, n_b), min(n_a, n_b)
+    k = round(d * n * m)
+    log_scale, lo, row = 0.0, 0, np.ones(min(m, -(-k // n) - 1) + 1)
+    for i in range(1, n + 1):
+        low, high = max(0, (i * m - k) // n + 1), min(m, -(-(i * m + k) // n) - 1)
+        if low > high or not len(row):
+            return 1.0
+        row = np.concatenate([row[low - lo:], np.zeros(max(0, high - (lo + len(row) - 1)))])[:high - low + 1].cumsum()
+        lo, top = low, row.max(initial=0.0)
+        if top == 0:
+            return 1.0
+        row, log_scale = row / top, log_scale + math.log(top)
+    paths = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
+    return min(1.0, max(0.0, 1.0 - math.exp(math.log(row[-1]) + log_scale - paths))) if row[-1] > 0 else 1.0
+
+
+def _exact_pvalues(n_a: pd.Series, n_b: pd.Series, d: pd.Series) -> pd.Series:
+    """:func:`exact_ks_pvalue` of a row per feature; null where it does not apply."""
+    return pd.Series([exact_ks_pvalue(int(a), int(b), x) if x == x and 0 < min(a, b) and max(a, b) <= EXACT_LIMIT else None
+                      for a, b, x in zip(n_a, n_b, d.astype(float))], dtype=float)
+
+
 def distribution(long: DataFrame, value_type: str | None = None) -> DataFrame:
     """``(generator, feature, value, c)``: rows per distinct value, nulls included; computed once."""
     v = F.col("value") if value_type is None else F.col("value").cast(value_type)
@@ -46,15 +80,18 @@ def distribution(long: DataFrame, value_type: str | None = None) -> DataFrame:
 
 
 def ks_statistic(spark: SparkSession, receipts: DataFrame, features: list[str] = K.FIDELITY_FEATURES,
-                 a: str = A, b: str = B, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+                 a: str = A, b: str = B, rows_per_part: int = ROWS_PER_PART, method: str = "auto") -> DataFrame:
     """Two-sample Kolmogorov–Smirnov statistic, p-value, verdict and status per feature (F1–F3): the two
-    empirical CDFs are compared at every distinct value."""
-    return ks_of(spark, distribution(unpivot_features(receipts, features)), features, a, b, rows_per_part)
+    empirical CDFs are compared at every distinct value. The p-value is exact while the larger sample has at most
+    ``EXACT_LIMIT`` values, else (or with ``method="asymptotic"``) asymptotic."""
+    return ks_of(spark, distribution(unpivot_features(receipts, features)), features, a, b, rows_per_part, method)
 
 
 def ks_of(spark: SparkSession, dist: DataFrame, features: list[str], a: str = A, b: str = B,
-          rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+          rows_per_part: int = ROWS_PER_PART, method: str = "auto") -> DataFrame:
     """:func:`ks_statistic` from the counts of :func:`distribution`."""
+    if method not in ("auto", "asymptotic"):
+        raise ValueError(f"unknown method {method!r}")
     cnt = materialize(dist.groupBy("feature", "value").agg(
         F.sum(F.when(F.col("generator") == a, F.col("c")).otherwise(0)).cast("bigint").alias("ca"),
         F.sum(F.when(F.col("generator") == b, F.col("c")).otherwise(0)).cast("bigint").alias("cb")))
@@ -80,12 +117,16 @@ def ks_of(spark: SparkSession, dist: DataFrame, features: list[str], a: str = A,
     # a rebound name after Catalyst splits or collapses the projections.
     raw = out.select("feature", n_a.cast("bigint").alias("n_a"), n_b.cast("bigint").alias("n_b"),
                      status.alias("status"), "d_raw")
-    raw = raw.withColumn("p_raw", F.when(F.col("status") == "ok", ks_pvalue(F.col("d_raw"), F.col("n_a"), F.col("n_b"))))
     ok = F.col("status") == "ok"
+    exact = ok & (F.greatest("n_a", "n_b") <= EXACT_LIMIT) & F.lit(method == "auto")
+    raw = raw.withColumn("p_raw", F.when(ok, ks_pvalue(F.col("d_raw"), F.col("n_a"), F.col("n_b"))))
+    if method == "auto":  # a row per feature
+        raw = raw.withColumn("p_exact", F.pandas_udf(_exact_pvalues, "double")("n_a", "n_b", "d_raw")).withColumn(
+            "p_raw", F.when(exact, F.col("p_exact")).otherwise(F.col("p_raw")))
     return raw.select(
         "feature", "n_a", "n_b", stat6(F.when(ok, F.col("d_raw"))).alias("d"), stat6(F.col("p_raw")).alias("p_value"),
         F.when(ok, F.when(F.col("p_raw") < K.KS_ALPHA, F.lit(K.KS_DIFFER)).otherwise(F.lit(K.KS_SIMILAR))).alias("verdict"),
-        "status", F.lit("asymptotic").alias("method"))
+        "status", F.when(exact, F.lit("exact")).otherwise(F.lit("asymptotic")).alias("method"))
 
 
 def _bin_stats(dist: DataFrame) -> DataFrame:

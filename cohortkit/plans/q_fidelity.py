@@ -12,6 +12,28 @@ from cohortkit.sources.fixtures import items_fx, receipts_fx
 
 FEATS_SQL = "(VALUES ('num_items'), ('subtotal'), ('total_amount')) AS f(feature)"
 
+# lattice paths inside the band, row by row of the larger sample; rows are scaled to 1
+EXACT_SQL = f"""
+WITH RECURSIVE o AS (
+  SELECT feature, greatest(n_a, n_b) AS n, least(n_a, n_b) AS m, CAST(round(d * n_a * n_b) AS BIGINT) AS k
+  FROM ks WHERE status = 'ok' AND greatest(n_a, n_b) <= {FD.EXACT_LIMIT}),
+lat AS (
+  SELECT feature, n, m, k, CAST(0 AS BIGINT) AS i, unnest(range(0, CAST(least(m, ceil(k / n) - 1) AS BIGINT) + 1)) AS j, CAST(1 AS DOUBLE) AS a,
+         CAST(0 AS DOUBLE) AS log_scale
+  FROM o
+  UNION ALL
+  SELECT feature, n, m, k, i, j, a / top, log_scale + ln(top)
+  FROM (SELECT *, max(a) OVER (PARTITION BY feature) AS top
+        FROM (SELECT feature, n, m, k, i, j, log_scale, sum(a) OVER (PARTITION BY feature ORDER BY j) AS a
+              FROM (SELECT feature, n, m, k, i + 1 AS i, next_j AS j, log_scale, CASE WHEN next_j = j THEN a ELSE 0 END AS a
+                    FROM (SELECT *, unnest(CASE WHEN j = max(j) OVER (PARTITION BY feature)
+                                                THEN range(j, greatest(j, CAST(least(m, ceil(((i + 1) * m + k) / n) - 1) AS BIGINT)) + 1) ELSE [j] END) AS next_j
+                          FROM lat WHERE i < n) e) w
+              WHERE j >= CAST(floor((i * m - k) / n) AS BIGINT) + 1 AND j <= ceil((i * m + k) / n) - 1) c) t
+  WHERE top > 0)
+SELECT feature, least(1, greatest(0, 1 - exp(ln(a) + log_scale - lgamma(n + m + 1) + lgamma(n + 1) + lgamma(m + 1)))) AS p
+FROM lat WHERE i = n AND j = m AND a > 0"""
+
 KS_CORE = f"""
 WITH cnt AS (SELECT feature, value,
                     sum(CASE WHEN generator = 'Statistical' THEN 1 ELSE 0 END) AS ca,
@@ -31,7 +53,10 @@ ks AS (SELECT f.feature, cast(coalesce(t.n_a, 0) AS BIGINT) AS n_a, cast(coalesc
                    WHEN coalesce(t.n_a, 0) <= 1 OR coalesce(t.n_b, 0) <= 1 THEN 'not_enough_points'
                    ELSE 'ok' END AS status
        FROM {FEATS_SQL} LEFT JOIN tot t ON t.feature = f.feature LEFT JOIN dm ON dm.feature = f.feature),
-ksp AS (SELECT *, CASE WHEN status = 'ok' THEN {sql_ks_pvalue('d', 'n_a', 'n_b')} END AS p FROM ks)
+ksp AS (SELECT ks.*, CASE WHEN status = 'ok' THEN CASE WHEN greatest(n_a, n_b) <= {FD.EXACT_LIMIT} THEN coalesce(x.p, 1)
+                          ELSE {sql_ks_pvalue('d', 'n_a', 'n_b')} END END AS p,
+               CASE WHEN status = 'ok' AND greatest(n_a, n_b) <= {FD.EXACT_LIMIT} THEN 'exact' ELSE 'asymptotic' END AS method
+        FROM ks LEFT JOIN ({EXACT_SQL}) x ON x.feature = ks.feature)
 """
 
 
@@ -39,7 +64,7 @@ ksp AS (SELECT *, CASE WHEN status = 'ok' THEN {sql_ks_pvalue('d', 'n_a', 'n_b')
 SELECT feature, n_a, n_b, round(CASE WHEN status = 'ok' THEN d END, 6) AS d, round(p, 6) AS p_value,
        CASE WHEN status = 'ok' THEN CASE WHEN p < 0.05 THEN 'Distributions differ significantly'
                                          ELSE 'Distributions similar' END END AS verdict,
-       status, 'asymptotic' AS method
+       status, method
 FROM ksp
 """, "features_fx"))
 def q_ks_statistic(spark, sf_dir):

@@ -130,7 +130,7 @@ def _e2e(spark, sf_dir):
 SELECT feature, n_a, n_b, round(CASE WHEN status = 'ok' THEN d END, 6) AS d, round(p, 6) AS p_value,
        CASE WHEN status = 'ok' THEN CASE WHEN p < 0.05 THEN 'Distributions differ significantly'
                                          ELSE 'Distributions similar' END END AS verdict,
-       status, 'asymptotic' AS method
+       status, method
 FROM ksp""", "e2e_features"))
 def q_cohort_ks_statistic(spark, sf_dir):
     """KS of the generated statistical cohort against the validated LLM cohort (F1–F3 on the

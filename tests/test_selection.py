@@ -99,3 +99,29 @@ def test_sketches_flag_as_exact_counts(spark):
     plan = P.sketched_flags(df)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
     assert "Expand" not in P._exact_counts(df, P._counted(df))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_ks_pvalues():
+    # two samples of 5: the counts of the published tables over 252
+    for d, paths in ((0.2, 252), (0.6, 90), (0.8, 20), (1.0, 2)):
+        assert FD.exact_ks_pvalue(5, 5, d) == pytest.approx(paths / 252, abs=1e-12)
+    import itertools
+    for n, m in ((5, 5), (6, 4), (7, 3), (4, 4), (8, 2)):
+        by_d = {}
+        for where in itertools.combinations(range(n + m), n):
+            i = j = worst = 0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in where else (i, j + 1)
+                worst = max(worst, abs(i * m - j * n))
+            by_d[worst] = by_d.get(worst, 0) + 1
+        total = math.comb(n + m, n)
+        for k in by_d:
+            want = sum(c for w, c in by_d.items() if w >= k) / total
+            assert FD.exact_ks_pvalue(n, m, k / (n * m)) == pytest.approx(want, abs=1e-12)
+            assert FD.exact_ks_pvalue(m, n, k / (n * m)) == pytest.approx(want, abs=1e-12)
+    assert FD.exact_ks_pvalue(10, 12, 0.0) == 1.0
+    # large samples: near the asymptotic value
+    d, n, m = 0.03, 9000, 4000
+    lam = d * math.sqrt(n * m / (n + m))
+    series = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 50))
+    assert FD.exact_ks_pvalue(n, m, d) == pytest.approx(series, abs=0.002)
