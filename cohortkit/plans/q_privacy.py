@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortkit.operators import privacy as P
-from cohortkit.operators.pii import PATTERNS, pii_scan
+from cohortkit.operators.pii import LETTERS, PATTERNS, pii_scan
 from cohortkit.plans.registry import register
 from cohortkit.plans.sqlviews import with_views
 from cohortkit.sources.fixtures import receipts_fx
@@ -49,10 +49,21 @@ def q_privacy_verdict(spark, sf_dir):
     return P.uniqueness_verdict(spark, receipts_fx(spark, sf_dir))
 
 
+_MOVED = "(substr(x, 5) || substr(x, 1, 4))"
+VALID_SQL = {
+    "long_number": "list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(x), i, 1) AS INTEGER) "
+                   "ELSE (2 * CAST(substr(reverse(x), i, 1) AS INTEGER)) // 10 + (2 * CAST(substr(reverse(x), i, 1) AS INTEGER)) % 10 END)) % 10 = 0",
+    "ipv4": "len(list_filter(string_split(x, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0",
+    "iban": f"list_reduce(list_prepend(0, list_transform(range(1, len{_MOVED} + 1), lambda i: CAST(position(substr({_MOVED}, i, 1) IN '{LETTERS}') - 1 AS INTEGER))), "
+            "lambda r, v: (r * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1",
+}
+
+
 @register("pii_scan", "\nUNION ALL\n".join(f"""
-SELECT source, '{k}' AS kind, count(*) AS n_docs, count(*) FILTER (WHERE n > 0) AS n_with, cast(sum(n) AS BIGINT) AS n_matches
-FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n FROM documents) t GROUP BY source"""
+SELECT source, '{k}' AS kind, count(*) AS n_docs, count(*) FILTER (WHERE len(found) > 0) AS n_with, cast(sum(len(found)) AS BIGINT) AS n_matches,
+       cast(sum(len(list_filter(found, lambda x: {VALID_SQL.get(k, 'true')}))) AS BIGINT) AS n_valid
+FROM (SELECT source, regexp_extract_all(coalesce(text, ''), '{p}') AS found FROM documents) t GROUP BY source"""
                                            for k, p in PATTERNS.items()))
 def q_pii_scan(spark, sf_dir):
-    """Personal-data patterns per source of all documents (V7)."""
+    """Personal-data patterns and their valid matches per source of all documents (V7)."""
     return pii_scan(load(spark, sf_dir, "documents", "source", "text"))
