@@ -73,10 +73,9 @@ HEADER_PARTS = frozenset(["header", "siteheader", "pageheader"])
 BLOCK_KINDS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre figcaption dd dt div section article main body".split())
 # --- end of fixed values ---
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|noembed|noframes)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|</?[A-Za-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[A-Za-z][^>]*>|<[!?][^>]*>|[^<]+|<",
-    re.DOTALL | re.IGNORECASE)
+_RAW = re.compile(r"<(script|style|textarea|title|xmp|noembed|noframes)\b", re.IGNORECASE)
+_SPECIAL = re.compile("[\"'>]")
+_TAG_START = re.compile("</?[A-Za-z]")
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _PART = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _BITS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -104,17 +103,79 @@ def is_furniture(name: str, tag: str, in_content: bool) -> bool:
     return False
 
 
+def tokens_of(page: str) -> Iterator[tuple[str, str | None]]:
+    """(token, name of a raw element or None): comments, raw elements with their text, tags, declarations and text, in order.
+
+    A tag ends at the first ``>`` outside of quotes; if a quote is never closed, at the first ``>`` at all; without one, its ``<`` is text.
+    Forward only: where a search has found nothing it is not made again, so the time is linear in the page, however broken.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    hopeless: set[int] = set()  # quotes that, opened in a tag, lead to no end
+
+    def tag_end(at: int) -> int:
+        """Behind the tag's ``>`` outside of quotes, from ``at`` on; -1 if there is none."""
+        seen = []
+        while (m := _SPECIAL.search(page, at)) is not None:
+            if m[0] == ">":
+                return m.end()
+            opened = m.start()
+            if opened in hopeless or opened >= last[m[0]]:
+                seen.append(opened)
+                break
+            seen.append(opened)
+            at = page.find(m[0], opened + 1) + 1
+        hopeless.update(seen)
+        return -1
+
+    at, n, closing = 0, len(page), {}
+    while at < n:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            yield page[at:end], None
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield page[at:end], None
+        elif at > last[">"]:  # no tag can end
+            end = at + 1
+            yield "<", None
+        elif (start := _TAG_START.match(page, at)) is not None:
+            raw = _RAW.match(page, at)
+            end = tag_end(start.end())
+            if raw is not None and end > 0:
+                name = raw[1].lower()
+                close = closing.setdefault(name, re.compile(rf"</{name}\s*>", re.IGNORECASE)).search(page, end)
+                end = n if close is None else close.end()
+                yield page[at:end], raw[1]
+            else:
+                end = end if end > 0 else page.find(">", start.end()) + 1
+                yield page[at:end], None
+        elif page[at + 1] in "!?" and (close := page.find(">", at + 2)) >= 0:
+            end = close + 1
+            yield page[at:end], None
+        else:
+            end = at + 1
+            yield "<", None
+        at = end
+
+
 def scan(page: str) -> list[tuple]:
     """The page as ('w', kind, furniture, content, text) and ('t', name, furniture, content, breaks)."""
     out = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, furniture, content (each or above it)
-    for m in _TOKEN.finditer(page):
-        token = m.group()
-        name = m.group(1)
-        furniture, content = stack[-1][1:] if stack else (False, False)
+    # open elements: name, furniture, content (each or above it), the nearest block; furniture is a stretch at the end
+    stack: list[tuple[str, bool, bool, str]] = []
+    open_names: Counter = Counter()
+
+    def close() -> str:
+        name = stack.pop()[0]
+        open_names[name] -= 1
+        return name
+
+    for token, name in tokens_of(page):
+        furniture, content, block = stack[-1][1:] if stack else (False, False, "none")
         if token[0] != "<" or token == "<":
             if not token.isspace():
-                block = next((e[0] for e in reversed(stack) if e[0] in BLOCK_KINDS), "none")
                 linked = any(e[0] == "a" for e in stack[-4:])
                 kind = "furniture" if furniture else "a" if linked else block
                 out.append(("w", kind, furniture, content, token))
@@ -128,19 +189,22 @@ def scan(page: str) -> list[tuple]:
             continue
         name = _NAME.match(token).group(1).lower()
         if token[1] == "/":
-            if any(e[0] == name for e in stack):
-                while stack.pop()[0] != name:
+            if open_names[name]:
+                while close() != name:
                     pass
             out.append(("t", name, furniture, content, name not in INLINE))
             continue
         if name in CONTENT and furniture and not content:
-            stack = [e for e in stack if not e[1]]  # furniture that was not closed ends here
-            furniture = False
+            while stack and stack[-1][1]:  # furniture that was not closed ends here
+                close()
+            furniture, block = False, stack[-1][3] if stack else "none"
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()  # their end tags are optional
+            close()  # their end tags are optional
+            block = stack[-1][3] if stack else "none"
         out.append(("t", name, furniture, content, name not in INLINE))
         if name not in VOID and not token.endswith("/>"):
-            stack.append((name, furniture or is_furniture(name, token, content), content or name in CONTENT))
+            stack.append((name, furniture or is_furniture(name, token, content), content or name in CONTENT, name if name in BLOCK_KINDS else block))
+            open_names[name] += 1
     return out
 
 
