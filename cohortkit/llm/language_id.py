@@ -3,7 +3,9 @@
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a word is
 the sum over all its segmentations into pieces (forward algorithm); a text's is the product over its
 words; the prediction is the language of highest probability, the score its posterior under equal
-priors. Words are lower-cased runs of letters with a word mark before them, as in the vocabulary.
+priors. Words are lower-cased runs of letters, with the combining marks that belong to them, and a word mark before, as in the
+vocabulary; a word may have any length. Words up to ``SHORT_WORD`` letters are summed many at once, a matrix per length; longer ones
+one at a time in logarithms, by the same recursion.
 
 Training: expectation maximisation of the piece probabilities per language, where the expected counts
 come from forward and backward sums over the words of a sample of labelled texts: at most
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +41,7 @@ from cohortkit.llm.hashing import mix
 MAX_TRAIN_DOCS = 1000
 ROUNDS = 4
 MAX_PIECE = 16
-MAX_WORD = 32
+SHORT_WORD = 32
 CACHE_WORDS = 300_000
 WORDS_AT_ONCE = 8192
 UNKNOWN = 1e-7  # probability of a letter that is no piece, the same in every language
@@ -46,15 +49,16 @@ SMOOTHING = 0.1
 UNDEFINED = "und"
 MARK = "▁"
 
-_WORD = re.compile(r"[^\W\d_]+")
+# below U+0300 there are no combining marks, and no numerals that the pattern takes but these
+_LATIN_WORD = re.compile(r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-cased runs of letters, cut at MAX_WORD letters."""
-    found = _WORD.findall(text.lower())
-    if not text.isascii():  # the pattern also takes numerals such as superscripts
-        found = [w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in found]
-    return [w[i:i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
+    """The lower-cased runs of letters and their marks."""
+    text = text.lower()
+    return (_LATIN_WORD if text.isascii() or max(text) < "\u0300" else _WORD).findall(text)
 
 
 def vocabulary(path: str) -> list[str]:
@@ -65,7 +69,7 @@ def vocabulary(path: str) -> list[str]:
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size())
               if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
     body = ((p, p.removeprefix(MARK)) for p in pieces)
-    return [p for p, b in body if len(p) <= MAX_PIECE and b == b.lower() and (b.isalpha() or p == MARK)]
+    return [p for p, b in body if len(p) <= MAX_PIECE and b == b.lower() and (_LETTERS.fullmatch(b) or p == MARK)]
 
 
 class PieceIndex:
@@ -106,6 +110,18 @@ class PieceIndex:
             out[start, 0, unknown] = self.n + 1
         return out
 
+    def substrings_of(self, word: str) -> np.ndarray:
+        """For one word: number[start, length - 1], as :meth:`substrings`."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        out = np.full((n, min(n, self.longest)), self.n, np.int32)
+        h = np.zeros(n, np.uint64)
+        for k in range(out.shape[1]):
+            h = mix(h[:n - k] + codes[k:])
+            out[:n - k, k] = self._find(h)
+        out[out[:, 0] == self.n, 0] = self.n + 1
+        return out
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         at = h & self.mask
         found = np.where(self.keys[at] == h, self.values[at], -1)
@@ -120,10 +136,35 @@ class PieceIndex:
         return np.where(found < 0, self.n, found).astype(np.int32)
 
 
+def log_forward(number: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over the segmentations of every prefix of one word (prefix, language); the last ``longest`` sums make the next.
+    ``logs``: (pieces + 2, language)."""
+    n, longest = number.shape
+    out = np.zeros((n + 1, logs.shape[1]))
+    for end in range(1, n + 1):
+        start = np.arange(max(0, end - longest), end)
+        each = out[start] + logs[number[start, end - start - 1]]
+        top = each.max(axis=0)  # a letter is a piece or unknown, so one is finite
+        out[end] = top + np.log(np.exp(each - top).sum(axis=0))
+    return out
+
+
+def log_backward(number: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The same for every suffix of one word, in one language (``logs``: pieces + 2)."""
+    n, longest = number.shape
+    out = np.zeros(n + 1)
+    for start in range(n - 1, -1, -1):
+        k = np.arange(min(longest, n - start))
+        each = logs[number[start, k]] + out[start + k + 1]
+        top = each.max()
+        out[start] = top + np.log(np.exp(each - top).sum())
+    return out
+
+
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Places and words of equal length, in batches."""
+    """Places and words of equal length up to ``SHORT_WORD``, in batches."""
     lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[lengths <= SHORT_WORD]):
         at = np.flatnonzero(lengths == n)
         for k in range(0, len(at), WORDS_AT_ONCE):
             part = at[k:k + WORDS_AT_ONCE]
@@ -159,9 +200,23 @@ def expected_counts(index: PieceIndex, words: list[str], counts: np.ndarray, p:
             for k in range(min(longest, n - start)):
                 uses = ahead[start][:, 0] * p[number[start, k]] * back[start + k + 1] * share
                 out += np.bincount(number[start, k], uses, minlength=index.n + 2)
+    logs = _logs(p)
+    for i in (i for i, w in enumerate(words) if len(w) > SHORT_WORD):
+        number = index.substrings_of(words[i])
+        n, longest = number.shape
+        ahead, back = log_forward(number, logs[:, None])[:, 0], log_backward(number, logs)
+        for k in range(longest):
+            at = np.arange(n - k)
+            uses = np.exp(ahead[at] + logs[number[at, k]] + back[at + k + 1] - ahead[n]) * counts[i]
+            out += np.bincount(number[at, k], uses, minlength=index.n + 2)
     return out
 
 
+def _logs(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
 def with_specials(p: np.ndarray) -> np.ndarray:
     """Rows for "no piece" (0) and "unknown letter" under the piece probabilities."""
     return np.concatenate([p, np.zeros((1, *p.shape[1:])), np.full((1, *p.shape[1:]), UNKNOWN)])
@@ -253,7 +308,10 @@ class Scorer:
         new = np.zeros((len(words), self.table.shape[1]))
         for at, part in by_length(words):
             sums = forward(self.index.substrings(part), self.table)
-            new[at] = np.log(np.maximum(sums[-1], 1e-300))
+            new[at] = np.log(sums[-1])
+        logs = _logs(self.table)
+        for i in (i for i, w in enumerate(words) if len(w) > SHORT_WORD):
+            new[i] = log_forward(self.index.substrings_of(words[i]), logs)[-1]
         base = len(self.logs)
         self.known.update((w, base + i) for i, w in enumerate(words))
         self.logs = np.concatenate([self.logs, new])
