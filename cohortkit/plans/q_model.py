@@ -79,14 +79,17 @@ def q_model_roundtrip(spark, sf_dir):
 
 @register("classifier_epochs")
 def q_classifier_epochs(spark, sf_dir):
-    """A line per epoch of the classifier over sub-words, trained on the generated pages, with the loss of the best one as its stored
+    """A line per epoch of the classifier over sub-words, trained on the pages of the grammar, with the loss of the best one as its stored
     state gives it (X5, X6). SQL cannot fit it; tests hold it against numpy."""
     from cohortkit.operators import epochs as EP
     from cohortkit.operators import subword as SW
+    from cohortkit.operators.grammar import generate_varied_pages
     from cohortkit.plans.q_subword import VOCABULARY
 
     pieces = SW.read_vocabulary(VOCABULARY)
-    encoded = SW.encode_subwords(_texts(spark, sf_dir), pieces)
+    pages = generate_varied_pages(load(spark, sf_dir, "pages", "page_id", "html"))
+    texts = TP.combined(TP.training_rows(pages.withColumn("label", label_of(F.col("page_type")))))
+    encoded = SW.encode_subwords(texts, pieces)
     rows = EP.deal(TP.split_exact(encoded.select("sample_id", "label", "input_ids")))
     path = scratch_path(spark, "page-intent-epochs")
     n_classes = len(K.PAGE_TYPES)

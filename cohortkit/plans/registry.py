@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load_all() -> None:
     """Import every module that registers queries."""
     from cohortkit.plans import (  # noqa: F401
-        q_utility, q_privacy, q_fidelity, q_generate, q_validate, q_pages, q_misc, q_model, q_report, q_subword,
+        q_utility, q_privacy, q_fidelity, q_generate, q_validate, q_pages, q_misc, q_model, q_report, q_subword, q_grammar,
     )
