@@ -9,6 +9,7 @@ from cohortkit.functions.scalars import MONEY, tax_of
 from cohortkit.operators import utility as U
 from cohortkit.plans.registry import register
 from cohortkit.plans.sqlviews import sql_topn, with_views
+from cohortkit.session import materialize
 from cohortkit.sources.fixtures import cohort_of, items_fx, receipts_fx
 from cohortkit.sources.tables import load
 
@@ -83,6 +84,14 @@ def q_top15_items(spark, sf_dir):
     return U.top_n(U.value_counts(items_fx(spark, sf_dir), "item_name"), "item_name", K.TOP_ITEMS_FIDELITY)
 
 
+@register("frequent_items", with_views(sql_topn("items_fx", "item_name", K.TOP_ITEMS_FIDELITY), "items_fx"))
+def q_frequent_items(spark, sf_dir):
+    """The top 15 items per cohort by a sketch and the recount of its candidates."""
+    from cohortkit.operators.frequent import top_frequent
+    items = materialize(items_fx(spark, sf_dir).select("generator", "item_name"))
+    return top_frequent(items, "item_name", K.TOP_ITEMS_FIDELITY)
+
+
 @register("top15_lists", with_views(f"""
 SELECT generator, list(item_name ORDER BY rank) AS top_item_names
 FROM ({sql_topn("items_fx", "item_name", K.TOP_ITEMS_FIDELITY)}) t GROUP BY generator
