@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
 Vectors are packed into blocks: a block is one row that holds ids and a matrix in vertical layout
-(dimension by dimension). Every query block meets every candidate block in an equi-join on the block
-number, so a task works on two matrices of bounded size. For a query, scores are accumulated over a
+(dimension by dimension). Every query block is listed once per number of a candidate block, where it stands, and meets that block in an
+equi-join on the number, so the smaller query blocks travel, tasks are as many as candidate blocks, and work on two matrices of bounded size at a time. For a query, scores are accumulated over a
 few dimensions at a time; after each step, by Cauchy-Schwarz, the rest of a candidate's score lies
 within +-(rest of the query's norm x rest of the candidate's norm). Candidates whose upper bound is
 below the k-th best lower bound cannot be among the k best; survivors are compacted, and later
@@ -42,8 +42,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """``vectors`` (id, dim, vec array<double>) as stored blocks: (dim, block, ids, cells).
+def blocks(vectors: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+    """``vectors`` (id, dim, vec array<double>) as stored blocks: (dim, block, ids, cells), and the number of blocks of a length.
 
     ``cells`` is the matrix dim x n in vertical layout. The block of a row is a hash of its id, so a block
     holds about ``rows`` rows whatever the values are.
@@ -61,7 +61,7 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         })
 
     packed = dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, cells binary")
-    return stored(packed, name)
+    return stored(packed, name), n
 
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray,
@@ -107,15 +107,14 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = K, block_rows
         df = df.where(F.col("id").isNotNull() & usable(F.col("vec")))
         return df.dropDuplicates(["id", "vec"]).withColumn("dim", F.size("vec"))
 
-    packed = blocks(prepared(candidates), block_rows, "topk-candidates")
-    asked = blocks(prepared(queries), query_block_rows, "topk-queries")
-    of = packed.select("dim", "block")
-    pairs = (
-        asked.select("dim", F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"))
-        .join(of, "dim")  # block numbers alone: each query block gets the number of each candidate block
-        .join(packed, ["dim", "block"])
-        .select("dim", "query_ids", "query_cells", "ids", "cells")
-    )
+    packed, n = blocks(prepared(candidates), block_rows, "topk-candidates")
+    asked, m = blocks(prepared(queries), query_block_rows, "topk-queries")
+    # with few candidate blocks, each is dealt out several times, so that its query blocks go to several tasks
+    salts = min(m, -(-candidates.sparkSession.sparkContext.defaultParallelism // n))
+    to_all = asked.select("dim", F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"), (F.col("block") % salts).alias("salt"),
+                          F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    dealt = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = to_all.join(dealt.hint("merge"), ["dim", "block", "salt"]).select("dim", "query_ids", "query_cells", "ids", "cells")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in emptied(batches):
@@ -128,8 +127,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = K, block_rows
                     [pa.array([f[c] for f in found], kind) for c, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))],
                     names=["query_id", "id", "score"])
 
-    tasks = pairs.repartition(F.xxhash64("query_ids", "ids"))
-    found = tasks.mapInArrow(search, "query_id long, id long, score double")
+    found = pairs.mapInArrow(search, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
