@@ -45,13 +45,13 @@ def _exact_counts(receipts: DataFrame, columns: dict[str, str]) -> DataFrame:
 def _with_rows(receipts: DataFrame, columns: list[str]) -> DataFrame:
     """``(generator, n_rows, column_name)``: cohorts x columns rows."""
     rows = receipts.groupBy("generator").agg(F.count(F.lit(1)).alias("n_rows"))
-    return rows.select("generator", "n_rows", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+    return rows.select("generator", "n_rows", F.explode(F.array(*[F.lit(c) for c in columns]).cast("array<string>")).alias("column_name"))
 
 
-def distinct_counts(receipts: DataFrame) -> DataFrame:
-    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones, exact and computed
+def distinct_counts(receipts: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """``(generator, n_rows, column_name, n_distinct)`` for every column but the excluded ones (or for ``columns``), exact and computed
     once (cohorts x columns rows): it feeds the ratios and the verdict. ``receipts`` should be materialized."""
-    columns = _counted(receipts)
+    columns = _counted(receipts) if columns is None else columns
     if not columns:
         return materialize(_with_rows(receipts, []).withColumn("n_distinct", F.lit(0).cast("long")))
     found = _exact_counts(receipts, columns)
@@ -76,6 +76,15 @@ def sketched_flags(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_disti
     return estimates.select("generator", "n_rows", "column_name", F.when(high <= least, F.lit(False)).when(low > least, F.lit(True)).alias("flagged"))
 
 
+def open_counts(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
+    """:func:`distinct_counts` of the columns that sketches do not rule out in every cohort: all that :func:`uniqueness_of` can flag.
+    ``receipts`` should be materialized."""
+    flags = materialize(sketched_flags(receipts, ratio, min_distinct))
+    left = flags.where(F.coalesce("flagged", F.lit(True))).select("column_name").distinct().collect()  # columns
+    columns = _counted(receipts)
+    return distinct_counts(receipts, {c: columns[c] for c in sorted(r["column_name"] for r in left)})
+
+
 def uniqueness_flags(receipts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct: int = K.UNIQUE_MIN_DISTINCT) -> DataFrame:
     """``(generator, column_name, flagged)`` as :func:`uniqueness` flags them: by sketches, and by exact counts for the columns that these leave
     open in some cohort. ``receipts`` should be materialized."""
@@ -109,15 +118,16 @@ def uniqueness_of(counts: DataFrame, ratio: float = K.UNIQUE_RATIO, min_distinct
 def uniqueness_verdict(spark: SparkSession, receipts: DataFrame) -> DataFrame:
     """Warning with the flagged columns, or a clean verdict, per cohort (V4). Columns far from the threshold are settled by sketches."""
     receipts = materialize(receipts, of=receipts)
-    return _verdict(receipts.select("generator").distinct(), uniqueness_flags(receipts))
+    return verdict_from(receipts.select("generator").distinct(), uniqueness_flags(receipts))
 
 
 def verdict_of(counts: DataFrame) -> DataFrame:
     """:func:`uniqueness_verdict` from :func:`distinct_counts`."""
-    return _verdict(counts.select("generator").distinct(), uniqueness_of(counts))
+    return verdict_from(counts.select("generator").distinct(), uniqueness_of(counts))
 
 
-def _verdict(cohorts: DataFrame, flags: DataFrame) -> DataFrame:
+def verdict_from(cohorts: DataFrame, flags: DataFrame) -> DataFrame:
+    """The verdict of every cohort of ``cohorts`` (generator) from (generator, column_name, flagged)."""
     u = flags.filter("flagged").groupBy("generator").agg(F.array_sort(F.collect_list("column_name")).alias("flagged_columns"))
     out = cohorts.join(u, "generator", "left")
     cols = F.coalesce("flagged_columns", F.array().cast("array<string>"))
