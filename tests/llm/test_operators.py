@@ -96,6 +96,28 @@ def test_bpe_equals_library_and_round_trips(spark, reference):
         assert r["decoded_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_bpe_whole_lines_as_matches(spark, reference):
+    lines = r"[^\n]+|\n+"  # matches hold blanks, so texts may not be cut at them
+    other = tiktoken.Encoding("lines", pat_str=lines, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    texts = ["two words and  more\n\nlines ", " a b\tc", "", "x" * 600 + " y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.bpe_encode(df, PATH, lines).collect():
+        assert r["ids"] == other.encode_ordinary(texts[r["doc_id"]])
+
+
+def test_bpe_groups_and_a_full_cache(spark, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 40)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    with open(PATH, "rb") as f:
+        coder = bpe.ByteBpe(f.read(), public_tokenizers.PATTERN)
+    texts = [t.encode() for t in awkward_texts()]
+    got = []
+    for group in bpe._in_groups(texts):
+        ids, at = coder.encode(group)
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [reference.encode_ordinary(t.decode()) for t in texts]
+
+
 def test_bpe_empty(spark):
     assert bpe.bpe_digests(spark.createDataFrame([], DOCS), PATH, public_tokenizers.PATTERN).collect() == []
 
