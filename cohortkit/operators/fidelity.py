@@ -129,17 +129,18 @@ def ks_of(spark: SparkSession, dist: DataFrame, features: list[str], a: str = A,
         "status", F.when(exact, F.lit("exact")).otherwise(F.lit("asymptotic")).alias("method"))
 
 
-def _bin_stats(dist: DataFrame) -> DataFrame:
-    """Count, range and standard deviation (two passes over the counts) per feature and cohort."""
+def bin_stats(dist: DataFrame) -> DataFrame:
+    """Count, range and standard deviation (two passes over the counts) per feature and cohort: a handful of rows,
+    computed once, which then are a local table of the plans that read them."""
     vals = dist.filter(F.col("value").isNotNull())
     st = vals.groupBy("feature", "generator").agg(
         F.sum("c").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
     # features x cohorts rows
-    dev = vals.join(F.broadcast(st.select("feature", "generator", "mean", "n")), ["feature", "generator"]).groupBy(
-        "feature", "generator").agg(
+    dev = vals.join(F.broadcast(st), ["feature", "generator"]).groupBy("feature", "generator").agg(
+        F.max("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"),
         F.sqrt(F.sum(F.col("c") * F.pow(F.col("value") - F.col("mean"), 2)) / F.nullif(F.max("n") - 1, F.lit(0))).alias("sd"))
-    return st.drop("mean").join(dev, ["feature", "generator"])
+    return dist.sparkSession.createDataFrame(dev.collect(), dev.schema)
 
 
 def auto_bins(n: Column, lo: Column, hi: Column, q25: Column, q75: Column, integral: Column) -> Column:
@@ -171,10 +172,10 @@ def density_histogram(long: DataFrame, bins="auto", integer_features=INTEGER_FEA
     return histogram_of(distribution(long, "double"), bins, integer_features)
 
 
-def histogram_of(dist: DataFrame, bins="auto", integer_features=INTEGER_FEATURES) -> DataFrame:
-    """:func:`density_histogram` from the counts of :func:`distribution` (values as double)."""
+def histogram_of(dist: DataFrame, bins="auto", integer_features=INTEGER_FEATURES, stats: DataFrame | None = None) -> DataFrame:
+    """:func:`density_histogram` from the counts of :func:`distribution` (values as double) and their :func:`bin_stats`."""
     vals = dist.filter(F.col("value").isNotNull())
-    st = _bin_stats(dist)
+    st = bin_stats(dist) if stats is None else stats
     if bins == "auto":
         qs = quantiles_of_counts(vals, ["feature", "generator"], "value", [0.25, 0.75])
         st = st.join(qs.drop("n_values"), ["feature", "generator"])
@@ -241,9 +242,10 @@ def kde_curve(long: DataFrame, grid: int = 200, cut: float = 0.0, tolerance: flo
     return kde_of(distribution(long, "double"), grid, cut, tolerance)
 
 
-def kde_of(dist: DataFrame, grid: int = 200, cut: float = 0.0, tolerance: float | None = KDE_TOLERANCE) -> DataFrame:
-    """:func:`kde_curve` from the counts of :func:`distribution` (values as double)."""
-    st = _bin_stats(dist).filter((F.col("n") >= 2) & (F.col("sd") > 0)).select(
+def kde_of(dist: DataFrame, grid: int = 200, cut: float = 0.0, tolerance: float | None = KDE_TOLERANCE,
+           stats: DataFrame | None = None) -> DataFrame:
+    """:func:`kde_curve` from the counts of :func:`distribution` (values as double) and their :func:`bin_stats`."""
+    st = (bin_stats(dist) if stats is None else stats).filter((F.col("n") >= 2) & (F.col("sd") > 0)).select(
         "feature", "generator", "n", "lo", "hi",
         (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
     g_lo = F.col("lo") - F.lit(cut) * F.col("h")

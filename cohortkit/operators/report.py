@@ -105,7 +105,8 @@ def fidelity_report(spark: SparkSession, receipts: DataFrame, items: DataFrame)
     ks = FD.ks_of(spark, dist, K.FIDELITY_FEATURES)
     as_double = dist.withColumn("value", F.col("value").cast("double"))
     # features x cohorts x bins or points: read by several sections
-    hist, kde = materialize(FD.histogram_of(as_double)), materialize(FD.kde_of(as_double))
+    stats = FD.bin_stats(as_double)
+    hist, kde = materialize(FD.histogram_of(as_double, stats=stats)), materialize(FD.kde_of(as_double, stats=stats))
     at = lambda c, n: F.concat_ws(" ", "feature", F.lpad(F.col(c).cast("string"), n, "0"))
     top = U.top_n(U.value_counts(items, "item_name"), "item_name", K.TOP_ITEMS_FIDELITY)
     ov = FD.topn_overlap(items)
