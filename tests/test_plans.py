@@ -55,3 +55,14 @@ def test_scan_prunes_columns(spark):
     from cohortkit.sources.fixtures import receipts_fx
     plan = _plan(receipts_fx(spark, SF_SMALL))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    from cohortkit.operators.utility import value_counts
+    from cohortkit.sources.fixtures import items_fx, receipts_fx, responses_fx
+    for column in ("item_name", "category"):
+        plan = _plan(value_counts(items_fx(spark, SF_SMALL), column))
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    for df in (receipts_fx(spark, SF_SMALL), responses_fx(spark, SF_SMALL)):
+        plan = _plan(df)
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 3  # nation and region alone
