@@ -66,3 +66,16 @@ def test_growing_tables_are_not_broadcast(spark):
     for df in (receipts_fx(spark, SF_SMALL), responses_fx(spark, SF_SMALL)):
         plan = _plan(df)
         assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 3  # nation and region alone
+
+
+def test_generated_receipts_are_hashed_not_sorted(spark):
+    plan = _plan(G.statistical_receipts(spark, load(spark, SF_SMALL, "customer", "c_custkey"), keep_key=True))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_responses_are_parsed_and_their_lines_sorted_once(spark):
+    from cohortkit.operators.validate import accepted_receipts, parse_responses
+    from cohortkit.sources.fixtures import responses_fx
+    raw = spark.createDataFrame([(1, "{}")], "attempt long, raw string")
+    assert _plan(accepted_receipts(parse_responses(raw))).count("parseJson") == 1
+    assert "ObjectHashAggregate" not in _plan(responses_fx(spark, SF_SMALL))

@@ -120,3 +120,18 @@ def test_kde_matches_numpy(spark):
         want = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
         exact = sorted((r["grid_idx"], r["density"]) for r in (kde_curve(df, cut=cut) if cut else kde_curve(df)).collect())
         assert max(abs(d - w) for (_, d), w in zip(exact, want)) < 2e-6
+
+
+def test_strip_fences_equals_the_four_strips(spark):
+    from cohortkit.functions.scalars import strip_fences
+    texts = ["", " ", "{}", "a{}", "é{}é", "{} ", "　{}", "{}`", "json", "j", "```json\n{}\n```", "{\n}", "n{}", "{}s", "` {} `", "\x85x ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    got = {r[0]: r[1] for r in df.select("raw", strip_fences(F.col("raw"))).collect()}
+    assert got == {t: None if t is None else t.strip().strip("```json").strip("```").strip() for t in texts}
+
+
+def test_response_amounts_are_the_decimals(spark):
+    from cohortkit.functions.scalars import cents_to_money
+    from cohortkit.sources.fixtures import _money_text
+    df = spark.createDataFrame([(c,) for c in (0, 1, -1, 5, 99, 100, -100, -105, 123456789, 10 ** 17, None)], "c long")
+    assert df.where(~_money_text(F.col("c")).eqNullSafe(cents_to_money(F.col("c")).cast("string"))).count() == 0
