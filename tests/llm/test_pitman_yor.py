@@ -228,3 +228,75 @@ def test_nothing_to_learn_from(spark):
     got = py.pitman_yor_scores(df, "doc_id", F.lit(True)).collect()
     assert sorted((r["id"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got) == [(10, 0, 0, 0.0, 0.0), (20, 0, 0, 0.0, 0.0)]
     assert py.pitman_yor_scores(df.where("false"), "doc_id", F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_every_word_is_a_context(spark, monkeypatch, parts):
+    """No word shares a restaurant with others, however rare it is; only a few have numbers."""
+    monkeypatch.setattr(py, "FLUSH_TOKENS", 300)
+    monkeypatch.setattr(py, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(py, "CONTEXTS", 12)
+    monkeypatch.setattr(py, "SPREAD", 3)
+    data = corpus(150, 1) + [(1000 + i, "rare1 rare2 w0") for i in range(4)] + [(2000, None), (2010, "never1 never2 w0 never1")]
+    df = spark.createDataFrame(data, SCHEMA).repartition(parts)
+    rows = df.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10 == 0).alias("flag"), "text")
+    model, before, table = py.fit(rows.where("not flag"))
+    got = {r["id"]: r for r in py.score(rows, model, before, table).collect()}
+    assert len(got) == len(data) and 0 < len(model.frequent) < 12
+
+    def pairs(t):
+        return list(zip(["<", *t[:-1]], t))
+
+    train = [tokens(t) for i, t in data if i % 10]
+    count, customers = Counter(x for t in train for x in t), Counter(p for t in train for p in pairs(t))
+    words = {int(token_hash(x)): x for x in count}
+    number = {py.START: "<"} | {int(np.searchsorted(model.frequent, token_hash(x))) + py.FIRST: x for x in count if token_hash(x) in model.frequent}
+    number |= {int(py.own_context(np.array([token_hash(x)]))[0]): x for x in count if token_hash(x) not in model.frequent}
+    n, tables = {}, {}
+    for r in table.collect():
+        for k, (c, many) in enumerate(zip(r["ctx"], r["n"])):
+            p = number[c], words[r["word"] % (1 << 64)]
+            n[p], tables[p] = many, r["tables"][k * py.SAMPLES:(k + 1) * py.SAMPLES]
+    for r in model.rest[1].collect():
+        for c in r["single"]:
+            p = number[c], words[r["word"] % (1 << 64)]
+            n[p], tables[p] = 1, [1] * py.SAMPLES
+    assert n == customers and all(1 <= t <= n[p] for p in n for t in tables[p])
+    d0, d1 = model.discounts
+
+    def probability(u, w):
+        each = []
+        for k in range(py.SAMPLES):
+            t_u, c_u = sum(t[k] for p, t in tables.items() if p[0] == u), sum(c for p, c in n.items() if p[0] == u)
+            s_all, s_w = sum(t[k] for t in tables.values()), sum(t[k] for p, t in tables.items() if p[1] == w)
+            root = (s_w - d0) / (1 + s_all) if w in count else (1 + d0 * len(count)) / (1 + s_all)
+            own = n[u, w] - d1 * tables[u, w][k] if (u, w) in n else 0
+            each.append((own + (1 + d1 * t_u) * root) / (1 + c_u))
+        return sum(each) / len(each)
+
+    assert abs(sum(probability("rare1", w) for w in [*count, "never"]) - 1) < 1e-9 and probability("rare1", "rare2") > 5 * probability("w0", "rare2")
+    for i, text in data[:30] + data[-6:]:
+        assert abs(got[i]["score"] - sum(math.log10(probability(*p)) for p in pairs(tokens(text)))) < 1e-8
+        assert got[i]["n_known"] == sum(w in count for w in tokens(text))
+    # the last pass moves the customers from where the pass before left them
+    s = py.Seats(table.toArrow().combine_chunks().to_batches()[0], model.frequent)
+    assert (py.sampled(s, before, py.PASSES - 1, py.SAMPLES) == s.tables).all()
+
+
+def test_a_pass_goes_on_with_the_seating_of_the_one_before(monkeypatch):
+    names = ["word", "spread", "ctx", "n", "alone", "own", "seating"]
+    u = int(py.own_context(np.array([9], np.uint64))[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 7, 8]), pa.array([0, 2, 0], pa.int32()), pa.array([[u, 1, 2], [1], [1]]), pa.array([[4, 1, 6], [5], [3]]), pa.array([2, 0, 0]),
+                                        pa.array([[11], [], []]), pa.array([[3, 1, 2, 2, 2], [5], [1, 1, 1]])], names=names)
+    s = py.Seats(batch, np.array([7], np.uint64))
+    model = py.Model(20, 4, np.array([7], np.uint64), np.array([5]), None, (0.6, 0.7), np.array([[3, 4, 5]]), np.array([[6]]), (1.0, 1.0), True, np.array([3]))
+    assert s.own.tolist() == [11, 0, 0, 0, 0] and s.per_word(np.ones(5)).tolist() == [5, 1, 1] and model.root_total().tolist() == [15]
+    ends, sweep, mine = [], py.sweep, []
+    monkeypatch.setattr(py, "sweep", lambda held, table, *_: mine.extend(held.mine) or table)
+    assert list(py.gibbs(s, model, 1, sweeps=1, ends=ends))[0].tolist() == [2, 1, 3, 1, 3]
+    assert ends[0].tolist() == [3, 1, 2, 2, 2, 5, 1, 1, 1] and mine[0] == 1 + 0.7 * 11
+    monkeypatch.setattr(py, "sweep", sweep)
+    ends.clear()
+    tables = list(py.gibbs(s, model, 1, sweeps=3, ends=ends))[-1]
+    at = np.cumsum(tables[s.n > 1])
+    assert [int(x.sum()) for x in np.split(ends[0], at[:-1])] == s.n[s.n > 1].tolist() and tables[1] == 1
